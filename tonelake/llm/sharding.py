@@ -81,7 +81,7 @@ def minimax_cuts(b: Boundaries, shards: int, largest: int) -> tuple[int, list[in
     least = [b.total]
     for _ in range(shards - 1):
         least.append(b.ceil(max(0, least[-1] - low)))
-    least = least[::-1][1:]
+    least.reverse()
     cuts, at = [], 0
     for k in range(shards - 1):
         goal = at + (b.total - at) // (shards - k)
