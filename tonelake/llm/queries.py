@@ -6,18 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import op7
 from .decontamination import op3
+from .embedding_dedup import op8
 from .mixing import op4
 from .ngram_join import op9
+from .secrets import op6
 from .sharding import op1
+from .token_counts import op10
 from .toxicity import op2
+from .warc import op5
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1,
     "op2_toxicity": op2,
     "op3_decontamination": op3,
     "op4_mixing": op4,
+    "op5_warc": op5,
+    "op6_secrets": op6,
+    "op7_chat": op7,
+    "op8_embedding_dedup": op8,
     "op9_ngram_jaccard_join": op9,
+    "op10_token_counts": op10,
 }
 
 ORACLE_SQL: dict[str, str] = {}
