@@ -26,7 +26,7 @@ PLACEHOLDERS = {"image": "<|image|>", "audio": "<|audio|>", "document": "<|docum
 #: Tokens that attachments expand to: of an image per square of PATCH pixels, of a second of audio, of a document's page.
 PATCH, AUDIO_TOKENS, PAGE_TOKENS = 28, 25, 512
 #: A control string, less its first character and the backslashes that escape it: of this template and of common others.
-_REST = r"\\*(?=\||/?s>|unk>|pad>|/?SYS>>|<SYS>>|</SYS>>|/?INST\])"
+_REST = r"\\*(?=\||/?s>|unk>|pad>|/?SYS>>|/?INST\])"
 _ESCAPE = re.compile(rf"([<\[])(?={_REST})")
 _UNESCAPE = re.compile(rf"([<\[])\\(?={_REST})")
 _SEGMENT = re.compile(rf"{re.escape(OPEN)}(.*?){re.escape(BODY)}(.*){re.escape(CLOSE)}\n", re.DOTALL)

@@ -79,6 +79,11 @@ def _pairs(token: str, label: int) -> Iterator[tuple[int, int, int]]:
     return zip([label] * len(c), [0, *c[:-1]], c, strict=True)
 
 
+def ordinary(text: str) -> list[str]:
+    """Words and identifiers too short to be judged themselves."""
+    return [t for t in IDENTIFIER.findall(text) if len(t) < TOKEN_MIN]
+
+
 def random_strings(n: int = RANDOM_STRINGS) -> list[str]:
     rng = random.Random(17)
     return ["".join(rng.choices(ALPHABETS[k % len(ALPHABETS)], k=rng.randrange(20, 49))) for k in range(n)]
@@ -87,8 +92,8 @@ def random_strings(n: int = RANDOM_STRINGS) -> list[str]:
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> MarkovPair:
     """The models from at most rows documents.
 
-    Random samples are the values that the base patterns match there and made strings; ordinary samples are all other
-    words and identifiers of those documents. Only counts of character pairs reach the driver.
+    Random samples are the values that the base patterns match there and made strings; ordinary samples are the
+    shorter words and identifiers outside them. Only counts of character pairs reach the driver.
     """
     spark = docs.sparkSession
     ids = materialize(docs.select("doc_id").filter("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).distinct(), "sample")
@@ -100,12 +105,12 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> MarkovPair:
             for text in b.column("text").to_pylist():
                 text, at = text or "", 0
                 for start, end, _ in sorted(base_spans(text)):
-                    for t in IDENTIFIER.findall(text[at:start]):
+                    for t in ordinary(text[at:start]):
                         n.update(_pairs(t, 0))
                     for t in TOKEN.findall(text[start:end]):
                         n.update(_pairs(t, 1))
                     at = max(at, end)
-                for t in IDENTIFIER.findall(text[at:]):
+                for t in ordinary(text[at:]):
                     n.update(_pairs(t, 0))
         rows = [(*k, v) for k, v in n.items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(4)], ["label", "a", "b", "n"])
