@@ -1 +1 @@
-
+"""Operators over parameter, trial, measurement and signal tables; each takes and returns DataFrames."""

@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import measurement_queries, parameter_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = parameter_queries.QUERIES | measurement_queries.QUERIES
+ORACLE_SQL: dict[str, str] = parameter_queries.SQL | measurement_queries.SQL

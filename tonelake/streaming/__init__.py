@@ -1 +1 @@
-
+"""The trial log as a stream."""
