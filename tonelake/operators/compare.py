@@ -106,7 +106,8 @@ def objectives(t: str, c: str, scales: Mapping[str, float], residual_db: Column
         "spatial": mean_of(*(F.when(stereo, term(f"spatial.{n}", n)) for n in ("width", "correlation"))),
     }
     if residual_db is not None:
-        out["residual"] = F.greatest(finite(residual_db) - scales["residual_floor_db"], F.lit(0.0)) / scales["residual_db"]
+        left = finite(residual_db)
+        out["residual"] = F.when(left.isNotNull(), F.greatest(left - scales["residual_floor_db"], F.lit(0.0)) / scales["residual_db"])
     return out
 
 
@@ -136,10 +137,11 @@ def outside_ranges(targets: DataFrame, ranges: DataFrame, group: str, target: st
 def front_of_two(rows: DataFrame, group: Sequence[str], first: str, second: str) -> DataFrame:
     """Rows that none of their group dominates in two objectives (smaller is better, ties on both are kept); one sort."""
     usable = rows.filter(F.col(first).isNotNull() & F.col(second).isNotNull())
-    before = W.partitionBy(*group).orderBy(first).rangeBetween(W.unboundedPreceding, -1)
+    usable = usable.withColumn("_rank", F.dense_rank().over(W.partitionBy(*group).orderBy(first)))
+    before = W.partitionBy(*group).orderBy("_rank").rangeBetween(W.unboundedPreceding, -1)
     same = W.partitionBy(*group, first)
     low = F.min(second).over(before)
-    return usable.withColumns({"_low": low, "_own": F.min(second).over(same)}).filter((F.col(second) == F.col("_own")) & (F.col("_low").isNull() | (F.col(second) < F.col("_low")))).drop("_low", "_own")
+    return usable.withColumns({"_low": low, "_own": F.min(second).over(same)}).filter((F.col(second) == F.col("_own")) & (F.col("_low").isNull() | (F.col(second) < F.col("_low")))).drop("_low", "_own", "_rank")
 
 
 def undominated(rows: DataFrame, group: str, key: str, values: Sequence[str]) -> DataFrame:
