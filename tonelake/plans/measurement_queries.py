@@ -106,7 +106,7 @@ def appendable_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     return T.appendable(table(spark, sf, "labels"), table(spark, sf, "documents").filter("lang = 'en'"), "doc_id", old, ["doc_id"]).select("doc_id", "quality")
 
 
-_RANGES = """r AS (SELECT label, f.i AS feature, min(f.x) AS low, max(f.x) AS high FROM (SELECT label, unnest([{'i': 'f1', 'x': embedding[1]::DOUBLE}, {'i': 'f2', 'x': embedding[2]::DOUBLE}, {'i': 'f3', 'x': embedding[3]::DOUBLE}]) AS f FROM embeddings WHERE vec_id % 2 = 0) GROUP BY ALL)"""
+_RANGES = """r AS (SELECT label, f.i AS feature, min(f.x) AS low, max(f.x) AS high FROM (SELECT label, unnest([{'i': 'f1', 'x': embedding[1]::DOUBLE}, {'i': 'f2', 'x': embedding[2]::DOUBLE}, {'i': 'f3', 'x': embedding[3]::DOUBLE}]) AS f FROM embeddings) GROUP BY ALL)"""
 _FEATURES = ["f1", "f2", "f3"]
 
 
@@ -116,15 +116,16 @@ def _features(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {_RANGES} SELECT label, feature, low, high FROM r""")
 def achievable_ranges(spark: SparkSession, sf: str) -> DataFrame:
-    return C.feature_ranges(_features(spark, sf).filter("vec_id % 2 = 0"), "label", _FEATURES)
+    return C.feature_ranges(_features(spark, sf), "label", _FEATURES)
 
 
-@query(f"""WITH {_RANGES}, t AS (SELECT vec_id, label, unnest([{{'i': 'f1', 'x': embedding[1]::DOUBLE}}, {{'i': 'f2', 'x': embedding[2]::DOUBLE}}, {{'i': 'f3', 'x': embedding[3]::DOUBLE}}]) AS f FROM embeddings WHERE vec_id % 2 = 1)
-SELECT vec_id, r.feature, f.x AS x FROM t JOIN r ON t.label = r.label AND t.f.i = r.feature WHERE f.x < low OR f.x > high""")
+@query(f"""WITH {_RANGES}, t AS (SELECT vec_id, label, unnest([{{'i': 'f1', 'x': embedding[1]::DOUBLE}}, {{'i': 'f2', 'x': embedding[2]::DOUBLE}}, {{'i': 'f3', 'x': embedding[3]::DOUBLE}}]) AS f FROM embeddings)
+SELECT vec_id, r.feature, f.x AS x FROM t JOIN r ON (t.label + 1) % 10 = r.label AND t.f.i = r.feature WHERE f.x < low OR f.x > high""")
 def outside_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """All rows against the ranges of the next topology."""
     f = _features(spark, sf)
-    ranges = C.feature_ranges(f.filter("vec_id % 2 = 0"), "label", _FEATURES)
-    return C.outside_ranges(f.filter("vec_id % 2 = 1"), ranges, "label", "vec_id", _FEATURES).select("vec_id", "feature", "x")
+    ranges = C.feature_ranges(f, "label", _FEATURES)
+    return C.outside_ranges(f.withColumn("label", (F.col("label") + 1) % 10), ranges, "label", "vec_id", _FEATURES).select("vec_id", "feature", "x")
 
 
 @query("""SELECT o_custkey, o_orderkey FROM orders a WHERE NOT EXISTS (SELECT 1 FROM orders b WHERE a.o_custkey = b.o_custkey AND b.o_totalprice <= a.o_totalprice AND b.o_orderdate <= a.o_orderdate AND (b.o_totalprice < a.o_totalprice OR b.o_orderdate < a.o_orderdate))""")
