@@ -30,4 +30,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+_WARC = """WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages), d AS (SELECT *, sha1(body) AS hex, min(page_id) OVER (PARTITION BY body) AS first FROM p),
+b AS (SELECT *, list_transform(range(0, 8), lambda i: CAST('0x' || substr(hex, i * 5 + 1, 5) AS INTEGER)) AS parts FROM d)
+SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes,
+array_to_string(list_transform(parts, lambda v: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v >> 15) % 32 + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v >> 10) % 32 + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v >> 5) % 32 + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', v % 32 + 1, 1)), '') AS payload_digest,
+CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id != first THEN first END AS refers_to FROM b"""
+
+_CHAT = r"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, regexp_replace(text, '([<\[])(\\*)(\||/?s>|unk>|pad>|/?SYS>>|/?INST\])', '\1\\\2\3', 'g') AS body FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(24 + length(role) + length(body)) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id"""
+
+_COMPONENTS = "reach AS (SELECT id AS node, id AS root FROM nodes UNION SELECT y, root FROM reach JOIN links ON x = node)"
+
+_VECTORS = f"""WITH RECURSIVE v AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS e FROM embeddings), nodes AS (SELECT id FROM v),
+ok AS (SELECT * FROM v WHERE label IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x != 0)) > 0),
+links AS (SELECT a.id AS x, b.id AS y FROM ok a JOIN ok b ON a.label = b.label AND a.id != b.id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.98), {_COMPONENTS},
+c AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node)
+SELECT node AS vec_id, (SELECT count(*) FROM links WHERE x = node) AS n_links, component_id, node = component_id AS kept FROM c"""
+
+_SHINGLES = f"""WITH RECURSIVE w AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda x: x != '') AS w FROM documents),
+nodes AS (SELECT id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w),
+g AS (SELECT id, len(s) AS n, unnest(s) AS s FROM nodes), p AS (SELECT a.id AS x, b.id AS y, any_value(a.n) + any_value(b.n) AS n, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.id != b.id GROUP BY a.id, b.id),
+links AS (SELECT x, y FROM p WHERE 100 * c >= 80 * (n - c)), {_COMPONENTS}, r AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node)
+SELECT id AS doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id FROM nodes JOIN r ON node = id"""
+
+ORACLE_SQL: dict[str, str] = {"op5_warc": _WARC, "op7_chat": _CHAT, "op8_embedding_dedup": _VECTORS, "op9_ngram_jaccard_join": _SHINGLES}
