@@ -29,7 +29,9 @@ MEMO = 300_000
 #: A shingle counts as recurring where so many documents of one block of BLOCK shingles hold it.
 LOCAL_MIN, BLOCK = 3, 2_000_000
 #: Recurring shingles that the order knows by their counts; the others keep hash order, which costs time, not links.
-KNOWN = 200_000
+KNOWN = 1_000_000
+#: Leading bits of a hash by which a worker first asks whether it may be known.
+BITS = 22
 
 _MULTIPLIERS = [np.uint64(2 * int.from_bytes(blake2b(bytes([k]), digest_size=8).digest(), "big") % 2**64 | 1) for k in range(WORDS)]
 
@@ -71,7 +73,7 @@ def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
     return pc.cast(batch.column("text"), pa.binary()).to_pylist()
 
 
-def recurring(docs: DataFrame, key: str) -> DataFrame:
+def recurring(docs: DataFrame) -> DataFrame:
     """(h, n): shingles that at least LOCAL_MIN documents of a block hold, with the sum of their counts over all blocks."""
 
     def counted(held: list[np.ndarray]) -> pa.RecordBatch:
@@ -94,9 +96,9 @@ def recurring(docs: DataFrame, key: str) -> DataFrame:
     return docs.select("text").mapInArrow(blocks, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def known_counts(docs: DataFrame, key: str) -> tuple[np.ndarray, np.ndarray]:
+def known_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and counts of up to KNOWN of the most frequent recurring shingles, a bounded table; sorted by hash."""
-    found = materialize(recurring(docs, key), "recurring")
+    found = materialize(recurring(docs), "recurring")
     levels = found.groupBy(F.floor(F.log2("n") * 8).alias("level")).count().orderBy(F.desc("level")).collect()
     total, least = 0, None
     for r in levels:
@@ -112,10 +114,14 @@ def known_counts(docs: DataFrame, key: str) -> tuple[np.ndarray, np.ndarray]:
     return h[order], n[order]
 
 
+def _leading(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - BITS)).astype(np.int64)
+
+
 def prefix_of(shingles: np.ndarray, known: np.ndarray, counts: np.ndarray, maybe: np.ndarray) -> np.ndarray:
-    """The first size // 5 + 1 shingles of a sorted set in the global order. maybe: whether a known hash has the leading 20 bits."""
+    """The first size // 5 + 1 shingles of a sorted set in the global order. maybe: whether a known hash has the leading BITS bits."""
     need = len(shingles) // 5 + 1
-    at = np.flatnonzero(maybe[(shingles >> np.uint64(44)).astype(np.int64)])
+    at = np.flatnonzero(maybe[_leading(shingles)])
     if len(at):
         place = np.minimum(np.searchsorted(known, shingles[at]), len(known) - 1)
         hit = known[place] == shingles[at]
@@ -131,13 +137,13 @@ def prefix_of(shingles: np.ndarray, known: np.ndarray, counts: np.ndarray, maybe
 
 def signatures(docs: DataFrame, key: str) -> DataFrame:
     """(doc_id, n, digest, prefix_key, prefix) of each document: set size, digests of the set and of its prefix, the prefix."""
-    known, counts = known_counts(docs, key)
+    known, counts = known_counts(docs)
     shared = docs.sparkSession.sparkContext.broadcast((known, counts))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = shared.value
-        maybe = np.zeros(1 << 20, bool)
-        maybe[(known >> np.uint64(44)).astype(np.int64)] = True
+        maybe = np.zeros(1 << BITS, bool)
+        maybe[_leading(known)] = True
         hashes = _WordHashes()
         for batch in batches:
             sizes, digests, keys, prefixes = [], [], [], []
@@ -185,10 +191,26 @@ def _verified(pairs: DataFrame, docs: DataFrame, key: str, name: str) -> DataFra
     return materialize(shared.filter("100 * same >= 80 * (nx + ny - same)").select("a", "b"), f"{name}_links")
 
 
+def _sizes_fit(na: str, nb: str) -> str:
+    return f"5 * least({na}, {nb}) >= 4 * greatest({na}, {nb})"
+
+
+def _overlap(na: str, nb: str) -> str:
+    """How many shingles sets of these sizes share at a similarity of 0.8."""
+    return f"((4 * ({na} + {nb}) + 8) div 9)"
+
+
 def _needed(na: str, nb: str) -> str:
-    """How many prefix shingles a pair of these set sizes has to share: its smaller surplus over the required overlap."""
-    overlap = f"((4 * ({na} + {nb}) + 8) div 9)"
-    return f"least({na} div 5 + 1 - {na}, {nb} div 5 + 1 - {nb}) + {overlap}"
+    """How many of them lie in both prefixes: the smaller surplus of the prefixes over the sets less the overlap."""
+    return f"least({na} div 5 + 1 - {na}, {nb} div 5 + 1 - {nb}) + {_overlap(na, nb)}"
+
+
+def _prefixes_overlap(pairs: DataFrame, signed: DataFrame) -> DataFrame:
+    """Those of the (a, b, na, nb) pairs whose prefixes share as many shingles as similar sets' prefixes do."""
+    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "pair_ids")
+    prefixes = by_ids(signed.filter("n > 0").select("doc_id", "prefix"), ids, "doc_id", "left_semi")
+    both = pairs.join(prefixes.select(F.col("doc_id").alias("a"), F.col("prefix").alias("x")), "a").join(prefixes.select(F.col("doc_id").alias("b"), F.col("prefix").alias("y")), "b")
+    return both.filter(F.size(F.array_intersect("x", "y")) >= F.expr(_needed("na", "nb"))).select("a", "b").distinct()
 
 
 def similar_components(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -209,22 +231,24 @@ def similar_components(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     leaders = members.select(F.col("group").alias("doc_id")).distinct()
     others = materialize(rows.select("doc_id").join(leaders, "doc_id", "left_anti").distinct(), "others")
     lead = by_ids(signed.filter("n > 0 and doc_id is not null"), others, "doc_id", "left_anti")
-    postings = lead.select(F.explode("prefix").alias("h"), F.col("doc_id").alias("group"), "n")
+    # A posting's place in its prefix and the set's size share a number, for the shuffle's sake.
+    postings = lead.select(F.posexplode("prefix").alias("pos", "h"), F.col("doc_id").alias("group"), "n").select("h", "group", F.expr("shiftleft(bigint(pos), 32) + n").alias("place"))
     by_shingle = W.partitionBy("h")
-    centre = F.min(F.struct("group", "n")).over(by_shingle)
-    shared = postings.withColumns({"centre": centre, "last": F.max("group").over(by_shingle)}).filter("centre.group != last")
-    shared = materialize(shared.select("h", "group", "n", F.col("centre.group").alias("c"), F.col("centre.n").alias("cn")), "shared")
-
-    # Each group against the centre of its shingles, and each member of a group against its leader.
-    size_fits = "5 * least(n, cn) >= 4 * greatest(n, cn)"
-    starred = shared.filter(f"group != c and {size_fits}").groupBy("group", "c", "n", "cn").count().filter(f"count >= {_needed('n', 'cn')}")
-    stars = (
-        starred.select("group", "c")
-        .join(members.select("group", "rep"), "group")
-        .select(F.col("c").alias("a"), F.col("rep").alias("b"))
-        .unionByName(members.filter("rep != group").select(F.col("group").alias("a"), F.col("rep").alias("b")))
-        .distinct()
+    # The centre of a shingle's groups has the fewest rarer shingles before it: of near copies, the one changed least.
+    centre = {"centre": F.min(F.struct("place", "group")).over(by_shingle), "least": F.min("group").over(by_shingle), "last": F.max("group").over(by_shingle)}
+    shared = postings.withColumns(centre).filter("least != last")
+    size = "{} & 4294967295"
+    shared = shared.select("h", F.expr("shiftright(place, 32)").alias("pos"), "group", F.expr(size.format("place")).alias("n"), F.col("centre.group").alias("c"), F.expr(size.format("centre.place")).alias("cn"))
+    shared = materialize(shared, "shared")
+
+    # Each group against the centres of its shingles, and each member of a group against its leader.
+    starred = (
+        shared.filter(f"group != c and {_sizes_fit('n', 'cn')}")
+        .groupBy(F.least("group", "c").alias("a"), F.greatest("group", "c").alias("b"), F.expr("least(n, cn)").alias("x"), F.expr("greatest(n, cn)").alias("y"))
+        .count()
+        .filter(f"count >= {_needed('x', 'y')}")
     )
+    stars = starred.select("a", "b").unionByName(members.filter("rep != group").select(F.col("group").alias("a"), F.col("rep").alias("b"))).distinct()
     stars = materialize(stars, "stars")
     links = _verified(stars, docs, key, "star")
     component = connected_components(links)
@@ -232,20 +256,16 @@ def similar_components(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     # What still shares a prefix shingle (or a whole prefix) across components.
     placed = members.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "n", "group", "members", F.coalesce("component", "rep").alias("comp"))
     placed = materialize(placed, "placed")
-    entries = shared.select("h", "group").join(placed, "group").select(F.lit(0).alias("kind"), "h", "rep", "n", "comp")
-    entries = entries.unionByName(placed.filter("members > 1").select(F.lit(1).alias("kind"), F.col("group").alias("h"), "rep", "n", "comp"))
+    entries = shared.select("h", "pos", "group").join(placed, "group").select(F.lit(0).alias("kind"), "h", "pos", "rep", "n", "comp")
+    entries = entries.unionByName(placed.filter("members > 1").select(F.lit(1).alias("kind"), F.col("group").alias("h"), F.lit(0).alias("pos"), "rep", "n", "comp"))
     mixed = entries.groupBy("kind", "h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x != y").select("kind", "h")
     open_ = materialize(entries.join(mixed, ["kind", "h"], "left_semi"), "open")
-    left = open_.select("kind", "h", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    right = open_.select("kind", "h", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    pairs = (
-        left.join(right, ["kind", "h"])
-        .filter("a < b and ca != cb and 5 * least(na, nb) >= 4 * greatest(na, nb)")
-        .groupBy("a", "b", "na", "nb")
-        .agg(F.count("*").alias("count"), F.max("kind").alias("kind"))
-        .filter(f"kind = 1 or count >= {_needed('na', 'nb')}")
-        .select("a", "b")
-    )
+    left = open_.select("kind", "h", F.col("pos").alias("pa"), F.col("rep").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
+    right = open_.select("kind", "h", F.col("pos").alias("pb"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
+    # The first shingle that a pair shares leaves room for the overlap behind it in both sets.
+    room = f"na - pa >= {_overlap('na', 'nb')} and nb - pb >= {_overlap('na', 'nb')}"
+    pairs = left.join(right, ["kind", "h"]).filter(f"a < b and ca != cb and {_sizes_fit('na', 'nb')} and {room}").select("a", "b", "na", "nb").distinct()
+    pairs = _prefixes_overlap(materialize(pairs, "pairs"), signed)
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "rest")
     if rest.head(1):
