@@ -3,16 +3,20 @@
 Each source's documents are cut into blocks of equal bytes. With a weight w, block i of a source may run from slot
 floor(i / w) and has to before slot ceil((i + 1) / w); of the blocks released, the one with the earliest deadline runs.
 As the weights sum to one, every deadline is met, and after any number of slots a source deviates from its share by less
-than one block. Weights are fractions of a period, so that the schedule repeats and only one period of it is worked out
-on the driver; a block's slot then follows from its number by arithmetic. When a source runs out, the weights of the
-others are scaled up and a new phase begins: all blocks are placed.
+than one block. Weights are taken as they are: releases and deadlines are exact in whole numbers, and nothing repeats, so
+no error builds up. When a source runs out, the weights of the others are scaled up and a new phase begins: all blocks are
+placed. One task makes the schedule and passes it on as it goes; it holds a few numbers a source, at most.
 """
 
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_left
+from collections.abc import Iterator
+from fractions import Fraction
+from itertools import islice
+from math import lcm
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -20,63 +24,113 @@ from pyspark.sql import Window as W
 from .common import documents, materialize
 
 BLOCK_BYTES = 65_536
-#: Slots of a period per source in the mix, and at least.
-PERIOD, LEAST_PERIOD = 8, 512
 #: Sources beyond this number are pooled by a hash of their names, so that the schedule stays small.
 SOURCES = 256
 #: Parts of a source in which positions are counted apart.
 RANGES = 1024
+#: Blocks of the schedule that are written at once.
+SLOTS = 65_536
+#: Rows of the positions or of the schedule that may be broadcast; beyond it joins shuffle.
+BROADCAST_ROWS = 500_000
 #: Target weights where none are given: bytes of the source to this power.
 TEMPERATURE = 0.5
 
 
-def shares(weights: dict[str, float], period: int) -> dict[str, int]:
-    """Whole slots of a period for each source, at least one, by largest remainders."""
-    total = sum(weights.values())
-    exact = {s: w / total * (period - len(weights)) for s, w in weights.items()}
-    out = {s: 1 + int(x) for s, x in exact.items()}
-    for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))[: period - sum(out.values())]:
-        out[s] += 1
-    return out
+def whole(weights: list[float]) -> list[int]:
+    """Whole numbers in exactly the ratios of the weights."""
+    if not all(0 < w < float("inf") for w in weights):
+        raise ValueError("weights have to be positive")
+    exact = [Fraction(w) for w in weights]
+    scale = lcm(*(x.denominator for x in exact))
+    return [int(x * scale) for x in exact]
 
 
-def edf_period(counts: dict[str, int], period: int) -> dict[str, list[int]]:
-    """The slots that each source's blocks get in one period under earliest deadline first."""
-    released: list[list[tuple[int, str, int]]] = [[] for _ in range(period)]
-    for s, a in counts.items():
-        for i in range(a):
-            released[i * period // a].append((-(-(i + 1) * period // a), s, i))
-    heap: list[tuple[int, str, int]] = []
-    out: dict[str, list[int]] = {s: [] for s in counts}
-    for slot in range(period):
-        for x in released[slot]:
-            heapq.heappush(heap, x)
-        out[heapq.heappop(heap)[1]].append(slot)
-    return out
+def slots(blocks: list[int], weights: list[float]) -> Iterator[tuple[int, int, int, int]]:
+    """(source, block, phase, phase's first slot) of every slot in turn, under earliest deadline first; sources by place.
+
+    A phase begins anew with the sources that are left. Those that haven't had a slot in it are all released and stand in
+    the order of their weights, so that a new phase only costs as much as the one before it had slots.
+    """
+    part = whole(weights)
+    idle = [(-part[s], s) for s, n in enumerate(blocks) if n]
+    heapq.heapify(idle)
+    total, done, start, phase = sum(part[s] for _, s in idle), [0] * len(blocks), 0, 0
+    while idle:
+        first: dict[int, int] = {}
+        ready: list[tuple[int, int]] = []
+        later: list[tuple[int, int]] = []
+        at = 0
+        while True:
+            while later and later[0][0] <= at:
+                s = heapq.heappop(later)[1]
+                heapq.heappush(ready, (-(-(done[s] - first[s] + 1) * total // part[s]), s))
+            if idle and (not ready or (-(total // idle[0][0]), idle[0][1]) < ready[0]):
+                s = heapq.heappop(idle)[1]
+                first[s] = done[s]
+            else:
+                s = heapq.heappop(ready)[1]
+            yield s, done[s], phase, start
+            done[s] += 1
+            at += 1
+            if done[s] == blocks[s]:
+                break
+            heapq.heappush(later, ((done[s] - first[s]) * total // part[s], s))
+        total -= part[s]
+        start += at
+        phase += 1
+        for s in first:
+            if done[s] < blocks[s]:
+                heapq.heappush(idle, (-part[s], s))
 
 
 def schedule(blocks: dict[str, int], weights: dict[str, float]) -> tuple[list[tuple], list[tuple]]:
-    """Phases (source, phase, first block, end block, first slot, period, blocks per period) and periods (source, phase, r, offset)."""
-    left, done, start, phases, periods = {s: n for s, n in blocks.items() if n}, dict.fromkeys(blocks, 0), 0, [], []
-    for phase in range(len(left)):
-        if not left:
-            break
-        period = max(LEAST_PERIOD, PERIOD * len(left))
-        counts = shares({s: weights[s] for s in left}, period)
-        slots = edf_period(counts, period)
-        end = min(left[s] // counts[s] * period + slots[s][left[s] % counts[s]] for s in left)
-        for s in list(left):
-            taken = end // period * counts[s] + bisect_left(slots[s], end % period)
-            phases.append((s, phase, done[s], done[s] + taken, start, period, counts[s]))
-            periods += [(s, phase, r, x) for r, x in enumerate(slots[s])]
-            done[s] += taken
-            left[s] -= taken
-            if not left[s]:
-                del left[s]
-        start += end
+    """Phases (source, phase, first block, end block, first slot, period, blocks per period) and periods (source, phase, r, offset).
+
+    A small mix as a whole. A period is longer than its phase, in the source's exact share; blocks per period over period is
+    the share.
+    """
+    names = sorted(blocks)
+    placed: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+    for slot, (s, block, phase, start) in enumerate(slots([blocks[s] for s in names], [weights[s] for s in names])):
+        placed.setdefault((phase, s), []).append((block, slot - start, start))
+    left, phases, periods = {s for s in names if blocks[s]}, [], []
+    starts = {phase: v[0][2] for (phase, _), v in placed.items()}
+    done = dict.fromkeys(names, 0)
+    for phase in sorted(starts):
+        total = sum(Fraction(weights[s]) for s in left)
+        for s in sorted(left):
+            got = placed.get((phase, names.index(s)), [])
+            per = blocks[s] + 1
+            phases.append((s, phase, done[s], done[s] + len(got), starts[phase], per * total / Fraction(weights[s]), per))
+            periods += [(s, phase, r, x) for r, (_, x, _) in enumerate(got)]
+            done[s] += len(got)
+        left -= {s for s in left if done[s] == blocks[s]}
     return phases, periods
 
 
+def _placed(totals: DataFrame, weights: dict[str, float] | None, block_bytes: int) -> DataFrame:
+    """The schedule (_id, block, phase, slot) of the sources in totals (_id, _source, bytes), written by one task."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, names, sizes = [], [], []
+        for b in batches:
+            ids += b.column("_id").to_pylist()
+            names += b.column("_source").to_pylist()
+            sizes += b.column("bytes").to_pylist()
+        least = min(weights.values()) if weights else 0
+        target = [weights.get(s, least) for s in names] if weights else [n**TEMPERATURE for n in sizes]
+        order = sorted(range(len(names)), key=names.__getitem__)  # equal deadlines fall by name
+        made = slots([-(-sizes[k] // block_bytes) for k in order], [target[k] for k in order])
+        at = 0
+        while part := list(islice(made, SLOTS)):
+            source, block, phase, _ = zip(*part)
+            columns = [pa.array([ids[order[s]] for s in source], pa.int64()), pa.array(block, pa.int64()), pa.array(phase, pa.int32()), pa.array(range(at, at + len(part)), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["_id", "block", "phase", "slot"])
+            at += len(part)
+
+    return totals.select("_id", "_source", "bytes").coalesce(1).mapInArrow(rows, "_id long, block long, phase int, slot long")
+
+
 def _source(column: str, pooled: bool) -> Column:
     """The label of a source; null is a source of its own."""
     named = F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit("null"))
@@ -97,33 +151,25 @@ def mix(df: DataFrame, weights: dict[str | None, float] | None = None, source: s
             "_source": _source(source, many),
             "_bytes": (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long"),
             "_range": F.pmod(F.xxhash64(key, F.octet_length(text)), F.lit(RANGES)).cast("int"),
+            "_text": F.xxhash64(text),
         }
     )
     parts = materialize(sized.groupBy("_source", "_range").agg(F.sum("_bytes").alias("bytes")), "parts")
-    totals = {r._source: r.bytes for r in parts.groupBy("_source").agg(F.sum("bytes").alias("bytes")).collect()}  # at most SOURCES
-    if weights and not many:
-        named = {"null" if s is None else f"={s}": float(w) for s, w in weights.items()}
-        target = {s: named.get(s, min(named.values())) for s in totals}
-    else:
-        target = {s: n**TEMPERATURE for s, n in totals.items()}
-    phases, periods = schedule({s: -(-n // block_bytes) for s, n in totals.items()}, target)
-    spark = df.sparkSession
-    phases = spark.createDataFrame(phases, "_source string, phase int, _first long, _end long, _start long, _period long, _per long")
-    periods = spark.createDataFrame(periods, "_source string, phase int, _r long, _offset long")
-    # All three are bounded by SOURCES, RANGES and the length of a period.
+    totals = parts.groupBy("_source").agg(F.sum("bytes").alias("bytes")).withColumn("_id", F.monotonically_increasing_id())
+    totals = materialize(totals, "totals")
+    named = {"null" if s is None else f"={s}": float(w) for s, w in weights.items()} if weights and not many else None
+    placed = materialize(_placed(totals, named, block_bytes), "slots")
+    small = lambda t: F.broadcast(t) if t.count() <= BROADCAST_ROWS else t
     before = parts.select("_source", "_range", (F.sum("bytes").over(W.partitionBy("_source").orderBy("_range")) - F.col("bytes")).alias("_before"))
-    within = F.sum("_bytes").over(W.partitionBy("_source", "_range").orderBy(key, "_bytes").rowsBetween(W.unboundedPreceding, W.currentRow))
-    placed = (
+    before = materialize(before.join(small(totals.select("_source", "_id")), "_source"), "before")
+    within = F.sum("_bytes").over(W.partitionBy("_source", "_range").orderBy(key, "_bytes", "_text").rowsBetween(W.unboundedPreceding, W.currentRow))
+    return (
         sized.withColumn("_within", within)
-        .join(F.broadcast(before), ["_source", "_range"])
+        .join(small(before), ["_source", "_range"])
         .withColumn("block", F.expr(f"(_before + _within - _bytes) div {block_bytes}"))
-        .join(F.broadcast(phases), "_source")
-        .filter("block >= _first and block < _end")
-        .withColumn("_r", F.expr("(block - _first) % _per"))
-        .join(F.broadcast(periods), ["_source", "phase", "_r"])
+        .join(small(placed), ["_id", "block"])
+        .drop("_bytes", "_range", "_text", "_within", "_before", "_id")
     )
-    slot = F.expr("_start + (block - _first) div _per * _period + _offset")
-    return placed.withColumn("slot", slot).drop("_bytes", "_range", "_within", "_before", "_first", "_end", "_start", "_period", "_per", "_r", "_offset")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
