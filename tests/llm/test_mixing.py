@@ -24,3 +24,21 @@ def test_shares_hold_against_target_weights(blocks, weights):
         seen[s, p] = seen.get((s, p), 0) + 1
         total = sum(target[x] for x in active[p])
         assert all(abs(seen.get((x, p), 0) - target[x] / total * (slot + 1 - start)) < 1 for x in active[p])
+
+
+@pytest.mark.parametrize("broadcast", [500_000, 0])
+def test_many_sources_keep_their_weights(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", broadcast)
+    df = spark.range(1800).selectExpr("id as doc_id", "repeat('t', 99) as text", "if(id < 1200, concat('site', id % 300), if(id < 1500, 'heavy', null)) as source")
+    got = mixing.mix(df, {"heavy": 300.0, None: 300.0, "site0": 1.0}, block_bytes=100).collect()
+    assert sorted(r.doc_id for r in got) == list(range(1800))
+    assert len({r._source for r in got}) == 302 and {r._source for r in got if r.source is None} == {"null"}
+    assert sorted(r.slot for r in got) == list(range(1800))
+    first = sorted((r for r in got if r.phase == 0), key=lambda r: r.slot)
+    seen: dict = {}
+    for r in first:
+        seen[r.source] = seen.get(r.source, 0) + 1
+        for s in ("heavy", None, "site0", "site299"):
+            weight = 300 if s in ("heavy", None) else 1
+            assert abs(seen.get(s, 0) - weight / 900 * (r.slot + 1)) < 1 + 1e-9
+    assert len(first) > 300

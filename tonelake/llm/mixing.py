@@ -24,8 +24,6 @@ from pyspark.sql import Window as W
 from .common import documents, materialize
 
 BLOCK_BYTES = 65_536
-#: Sources beyond this number are pooled by a hash of their names, so that the schedule stays small.
-SOURCES = 256
 #: Parts of a source in which positions are counted apart.
 RANGES = 1024
 #: Blocks of the schedule that are written at once.
@@ -131,10 +129,9 @@ def _placed(totals: DataFrame, weights: dict[str, float] | None, block_bytes: in
     return totals.select("_id", "_source", "bytes").coalesce(1).mapInArrow(rows, "_id long, block long, phase int, slot long")
 
 
-def _source(column: str, pooled: bool) -> Column:
+def _source(column: str) -> Column:
     """The label of a source; null is a source of its own."""
-    named = F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit("null"))
-    return F.concat(F.lit("#"), F.pmod(F.xxhash64(named), F.lit(SOURCES)).cast("string")) if pooled else named
+    return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit("null"))
 
 
 def mix(df: DataFrame, weights: dict[str | None, float] | None = None, source: str = "source", key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -142,13 +139,12 @@ def mix(df: DataFrame, weights: dict[str | None, float] | None = None, source: s
 
     A block of a source holds the rows whose texts begin within its block_bytes of the source's bytes, in the order of a hash
     of the key; a longer text fills the slots after it. weights are positive and by source, where those that are not listed
-    weigh as much as the least listed; null is a source. A null text counts as one byte. Empty tables give empty results.
+    weigh as much as the least listed; null is a source. They hold for any number of sources, each with its own place. A null text counts as one byte. Empty tables give empty results.
     """
     df = df.drop("_source", "block", "phase", "slot")
-    many = df.select(source).distinct().limit(SOURCES + 1).count() > SOURCES
     sized = df.withColumns(
         {
-            "_source": _source(source, many),
+            "_source": _source(source),
             "_bytes": (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long"),
             "_range": F.pmod(F.xxhash64(key, F.octet_length(text)), F.lit(RANGES)).cast("int"),
             "_text": F.xxhash64(text),
@@ -157,7 +153,7 @@ def mix(df: DataFrame, weights: dict[str | None, float] | None = None, source: s
     parts = materialize(sized.groupBy("_source", "_range").agg(F.sum("_bytes").alias("bytes")), "parts")
     totals = parts.groupBy("_source").agg(F.sum("bytes").alias("bytes")).withColumn("_id", F.monotonically_increasing_id())
     totals = materialize(totals, "totals")
-    named = {"null" if s is None else f"={s}": float(w) for s, w in weights.items()} if weights and not many else None
+    named = {"null" if s is None else f"={s}": float(w) for s, w in weights.items()} if weights else None
     placed = materialize(_placed(totals, named, block_bytes), "slots")
     small = lambda t: F.broadcast(t) if t.count() <= BROADCAST_ROWS else t
     before = parts.select("_source", "_range", (F.sum("bytes").over(W.partitionBy("_source").orderBy("_range")) - F.col("bytes")).alias("_before"))
