@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tonelake.llm.common import by_ids, documents, materialize, new_path
 from tonelake.llm.decontamination import without_leaks
-from tonelake.llm.mixing import mixed
+from tonelake.llm.mixing import places, with_places
 from tonelake.llm.ngram_join import similar_components
-from tonelake.llm.sharding import shard_rows
+from tonelake.llm.sharding import shard_mixed
 from tonelake.llm.toxicity import without_toxic
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -40,13 +40,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes all documents in the order of the mix of their sources."""
-    return mixed(docs)
+    """Writes all documents in the order of the mix of their sources, and a table of their slots in it."""
+    return with_places(docs)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard and slot of every document."""
-    return shard_rows(docs).select("doc_id", "size", "text_crc32", "shard", "slot")
+    """The shard and slot of every document, slots in the order of the mix."""
+    return shard_mixed(docs, places(docs))
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -5,8 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..session import prepare
 
@@ -59,6 +60,11 @@ def by_ids(df: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
     return df.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, key, how)
 
 
+def copies(order: str) -> Column:
+    """Numbers rows of one doc_id and one _hash of the text from 1, so that repeated rows can be told apart."""
+    return F.row_number().over(W.partitionBy("doc_id", "_hash").orderBy(order))
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of the undirected edges; component is its smallest node.
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import documents, materialize
+from .common import copies, documents, materialize, new_path
 
 BLOCK_BYTES = 65_536
 #: Parts of a source in which positions are counted apart.
@@ -174,6 +174,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs).select("doc_id", "source", "bytes", "block", "phase", "slot")
 
 
+#: Metadata of the key column that names the written table of places.
+PLACES = "tonelake.mix"
+
+
 def mixed(docs: DataFrame) -> DataFrame:
     """The documents with their columns, written in the order of the mix."""
     own = {c: f"own of {c}" if c in ("_source", "block", "phase", "slot") else c for c in docs.columns}
@@ -181,3 +185,20 @@ def mixed(docs: DataFrame) -> DataFrame:
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = placed.repartitionByRange(n, "slot", "doc_id").sortWithinPartitions("slot", "doc_id")
     return ordered.select(*(F.col(f"`{x}`").alias(c) for c, x in own.items()))
+
+
+def with_places(docs: DataFrame) -> DataFrame:
+    """mixed(docs), with the slots of the mix written as a table that the key column's metadata names.
+
+    Parquet files keep the metadata, so that the slots reach later stages though the columns stay what they are.
+    """
+    placed = mix(docs.select("doc_id", "source", "text", F.xxhash64("text").alias("_hash"))).select("doc_id", "_hash", "slot")
+    path = new_path(docs.sparkSession, "places")
+    placed.withColumn("_copy", copies("slot")).withColumnRenamed("slot", "mix_slot").write.parquet(path)
+    return mixed(docs).withMetadata("doc_id", docs.schema["doc_id"].metadata | {PLACES: path})
+
+
+def places(docs: DataFrame) -> DataFrame | None:
+    """The written table (doc_id, _hash, _copy, mix_slot) of documents that with_places() mixed; None for others."""
+    path = docs.schema["doc_id"].metadata.get(PLACES)
+    return docs.sparkSession.read.parquet(path) if path else None

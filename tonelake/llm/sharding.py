@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import documents, materialize
+from .common import copies, documents, materialize
 
 SHARDS = 16
 #: Digest buckets for prefix sums and position ranges; each is summed apart, and only their totals meet.
@@ -161,17 +161,23 @@ def assign_shards(df: DataFrame, shards: int = SHARDS, text: str = "text", key:
     return _assign(with_content(df.drop("_size", "_crc", "_digest", "shard", "slot"), text), shards, key)
 
 
-def _assign(content: DataFrame, shards: int, key: str) -> DataFrame:
+def _assign(content: DataFrame, shards: int, key: str, order: str | None = None) -> DataFrame:
+    """Slots stand in the order of the column order, where one is given, or of a hash."""
     sums = materialize(prefix_sums(content.select("_size", "_digest")), "prefix_sums")
     _, cuts = plan_cuts(sums, shards)
     ends = {r.prefix: bytes(r._digest) for r in sums.filter(F.col("prefix").isin(cuts)).select("prefix", "_digest").collect()}
     shard = F.lit(0)
     for c in cuts:
         shard = shard + (F.lit(1) if c == 0 else (F.col("_digest") > F.lit(ends[c])).cast("int"))
-    placed = content.withColumns({"shard": shard, "_range": F.pmod(F.xxhash64(key, "_digest"), F.lit(BUCKETS // shards)).cast("int")})
+    ranges = BUCKETS // shards
+    spread = F.pmod(F.xxhash64(key, "_digest"), F.lit(ranges))
+    if order:
+        end = (content.agg(F.max(order)).first()[0] or 0) + 1
+        spread = F.expr(f"{order} * {ranges} div {end}")
+    placed = content.withColumns({"shard": shard, "_range": spread.cast("int")})
     counts = materialize(placed.groupBy("shard", "_range").count(), "counts")
     first = counts.select("shard", "_range", (F.sum("count").over(W.partitionBy("shard").orderBy("_range")) - F.col("count")).alias("_first"))
-    within = F.row_number().over(W.partitionBy("shard", "_range").orderBy(key, "_digest"))
+    within = F.row_number().over(W.partitionBy("shard", "_range").orderBy(*([order] if order else []), key, "_digest"))
     # At most BUCKETS rows are broadcast.
     return (
         placed.withColumn("_within", within)
@@ -198,3 +204,19 @@ def shard_rows(docs: DataFrame) -> DataFrame:
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+def shard_mixed(docs: DataFrame, places: DataFrame | None) -> DataFrame:
+    """doc_id, size, text_crc32, shard, slot and mix_slot; a shard's slots stand in the order of the mix.
+
+    places has the slots of the mix; without it slots are those of shard_rows() and mix_slot is null.
+    """
+    content = with_content(docs.select("doc_id", "text")).withColumn("_hash", F.xxhash64("text")).drop("text")
+    if places is None:
+        content = materialize(content.withColumn("mix_slot", F.lit(None).cast("long")), "content")
+    else:
+        content = materialize(content, "hashes").withColumn("_copy", copies("_digest")).alias("c")
+        on = F.expr("c.doc_id <=> p.doc_id and c._hash = p._hash and c._copy = p._copy")
+        content = materialize(content.join(places.alias("p"), on).select("c.*", "mix_slot"), "content")
+    placed = _assign(content, SHARDS, "doc_id", None if places is None else "mix_slot")
+    return placed.select("doc_id", F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), "shard", "slot", "mix_slot")
