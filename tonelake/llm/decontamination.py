@@ -4,7 +4,9 @@ A window of a document as long as an item is compared with that item. The CGK wa
 and steps on or stays by a hash of (walk, step, symbol), so that a small edit distance becomes a small Hamming distance
 with constant probability; a table keeps a few sampled positions of one walk's output. Windows whose sample equals the
 item's in any table are verified by edit distance. The samples are as long as still reach the target recall on copies
-of the items with random edits. Windows are laid where one of an item's longest words stands, at that word's place.
+of the items with random edits inside other text, by the whole search. Windows are laid by characters: of one more pieces of
+an item than edits are allowed, one is left whole in every leak, so that a window is laid at each piece's place. Those that
+hold fewer of the item's short grams than that many edits leave are dropped. Neither step can lose a leak.
 """
 
 from __future__ import annotations
@@ -22,12 +24,16 @@ from .common import arrow_rows, by_ids, documents, materialize
 #: Edits a leak may have per character of the item, and the share of such leaks that the tables have to find.
 EDITS, RECALL = 0.1, 0.95
 WALKS, TABLES, SAMPLES = 8, 16, (8, 7, 6, 5, 4, 3, 2, 1)
-#: Longest words of an item that lay windows.
-ANCHORS = 8
+#: Characters of a piece that are looked up at most, and bits of the table of their hashes.
+SEED, SEED_BITS = 12, 22
+#: Characters of the short grams, and hashes of them that are told apart.
+GRAM, GRAM_HASHES = 4, 4096
+#: Edited copies that the recall is measured on.
+COPIES = 400
 #: Benchmark items that one pass over the documents compares; more items take more passes.
 ITEMS = 2_000
-#: Windows, and characters of documents, that a worker embeds at once.
-WINDOWS, PART, CHARS = 4_000, 1_000, 8_000_000
+#: Windows that a worker embeds at once, and characters of documents that it searches at once.
+PART, CHARS = 1_000, 1_000_000
 
 
 def normal(text: str | None) -> str:
@@ -40,6 +46,22 @@ def symbols(text: str) -> np.ndarray:
     return (np.frombuffer(text.encode("utf-32-le"), np.uint32) % 255 + 1).astype(np.uint8)
 
 
+def gram_hashes(codes: np.ndarray, q: int) -> np.ndarray:
+    """A 32-bit hash of the q code points from each place on."""
+    n = max(0, len(codes) - q + 1)
+    out = np.zeros(n, np.uint32)
+    for j in range(q):
+        out *= np.uint32(0x01000193)
+        out += codes[j : j + n]
+    out ^= out >> np.uint32(15)
+    out *= np.uint32(0x9E3779B1)
+    return out
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
 def step_bits(steps: int) -> np.ndarray:
     """The walks' fixed random bits, by step, walk and symbol; those of a step don't depend on the number of steps."""
     return np.stack([np.random.default_rng([7, j]).integers(0, 2, (WALKS, 256), np.uint8) for j in range(steps)]) if steps else np.empty((0, WALKS, 256), np.uint8)
@@ -113,46 +135,95 @@ def edited(item: str, edits: int, rng: random.Random) -> str:
 
 
 class Index:
-    """A bounded block of benchmark items: their texts, anchors and table keys."""
+    """A bounded block of benchmark items: their texts, pieces, short grams and table keys."""
 
     def __init__(self, items: list[tuple[int, str]], edits: float = EDITS, recall: float = RECALL):
         self.items = [(i, t) for i, t in sorted(items) if t]
         self.edits = edits
-        self.anchors: dict[str, list[tuple[int, int]]] = {}
+        self.grams = np.zeros((len(self.items), GRAM_HASHES), bool)
+        pieces: dict[int, list[tuple[int, int, int]]] = {}
         for k, (_, text) in enumerate(self.items):
-            at, first = 0, {}
-            for w in text.split(" "):
-                first.setdefault(w, []).append(at)
-                at += len(w) + 1
-            for w in sorted(first, key=lambda w: (-len(w), w))[:ANCHORS]:
-                self.anchors.setdefault(w, []).extend((k, x) for x in first[w][:1])
+            codes = code_points(text)
+            self.grams[k, gram_hashes(codes, GRAM) % GRAM_HASHES] = True
+            n = min(len(text), int(edits * len(text)) + 1)
+            q = min(SEED, len(text) // n)
+            found = gram_hashes(codes, q)
+            pieces.setdefault(q, []).extend((int(found[j * len(text) // n]), k, j * len(text) // n) for j in range(n))
+        self.pieces = []
+        for q, rows in sorted(pieces.items()):
+            table = np.array(sorted(rows), np.int64)
+            keys, first = np.unique(table[:, 0].astype(np.uint32), return_index=True)
+            held = np.zeros(1 << SEED_BITS, bool)
+            held[keys >> np.uint32(32 - SEED_BITS)] = True
+            self.pieces.append((q, held, keys, np.append(first, len(table)), table[:, 1], table[:, 2]))
         self.bits = step_bits(2 * max((len(t) for _, t in self.items), default=0))
-        self.samples, self.keys = SAMPLES[-1], np.empty((0, WALKS, TABLES, 1), np.uint8)
+        self.masks = [_masks(t) for _, t in self.items]
+        self.samples, self.keys, self.places_of = SAMPLES[-1], np.empty((0, WALKS, TABLES, 1), np.uint8), None
         for n in SAMPLES if self.items else ():
             self.samples, self.keys = n, self._keys([t for _, t in self.items], n)
+            self.places_of = np.stack([positions(len(t), n) for _, t in self.items])
             if self.reached() >= recall:
                 break
-        self.places_of = np.stack([positions(len(t), self.samples) for _, t in self.items]) if self.items else None
-        self.masks = [_masks(t) for _, t in self.items]
 
     def _keys(self, texts: list[str], samples: int) -> np.ndarray:
         length = np.array([len(t) for t in texts])
         out = embed(symbols("".join(texts)), np.cumsum(length) - length, length, self.bits)
         return sampled(out, np.stack([positions(n, samples) for n in length]))
 
-    def reached(self, items: int = 96) -> float:
-        """The share of randomly edited copies at the largest allowed distance that some table finds."""
-        rng, texts = random.Random(5), [t for _, t in self.items[:items]]
-        copies = [edited(t, int(self.edits * len(t)), rng).ljust(len(t), "\0")[: len(t)] for t in texts]
-        return float((self._keys(copies, self.samples) == self.keys[: len(texts)]).all(3).any((1, 2)).mean())
-
-    def places(self, words: list[str]) -> list[tuple[int, int]]:
-        """(item, start) windows of a normalised document."""
-        hits = [k for k, w in enumerate(words) if w in self.anchors]
-        if not hits:
+    def reached(self, copies: int = COPIES, seed: int = 5) -> float:
+        """The share of edited copies at the largest allowed distance, inside other text, that the search finds; all lengths alike."""
+        rng, by = random.Random(seed), sorted(range(len(self.items)), key=lambda k: len(self.items[k][1]))
+        picked = [by[int((j + rng.random()) * len(by) / copies)] for j in range(copies)]
+        texts = []
+        for k in picked:
+            around = [self.items[rng.choice(by)][1] for _ in range(2)]
+            text = self.items[k][1]
+            texts.append(around[0][rng.randrange(len(around[0])) :] + edited(text, int(self.edits * len(text)), rng) + around[1][: rng.randrange(len(around[1]))])
+        own = {(j, k) for j, k in enumerate(picked)}
+        windows = [w for w in self.places(texts) if w[:2] in own]
+        return len({(d, k) for d, k, _, _ in self.matches(texts, windows)}) / copies
+
+    def places(self, texts: list[str]) -> list[tuple[int, int, int]]:
+        """(document, item, start) windows of normalised documents; every leak has one within as many places as edits."""
+        codes = code_points("\n".join(texts))  # no normalised text holds a line break
+        base = np.cumsum([0] + [len(t) + 1 for t in texts])
+        out = []
+        for q, held, keys, first, items, offsets in self.pieces:
+            for lo in range(0, len(codes), CHARS):
+                found = gram_hashes(codes[lo : lo + CHARS + q - 1], q)
+                at = np.flatnonzero(held[found >> np.uint32(32 - SEED_BITS)])
+                key = np.searchsorted(keys, found[at])
+                same = keys[np.minimum(key, len(keys) - 1)] == found[at]
+                at, key = at[same] + lo, key[same]
+                n = first[key + 1] - first[key]
+                row = np.repeat(first[key] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                at = np.repeat(at, n)
+                doc = np.searchsorted(base, at, "right") - 1
+                out.append(np.stack([doc, items[row], np.maximum(0, at - base[doc] - offsets[row])], 1))
+        if not out or not (windows := np.concatenate(out)).size:
             return []
-        ends = np.cumsum([len(w) + 1 for w in words])
-        return sorted({(k, max(0, int(ends[h]) - len(words[h]) - 1 - x)) for h in hits for k, x in self.anchors[words[h]]})
+        windows = windows[np.lexsort(windows.T[::-1])]
+        windows = windows[np.append(True, (windows[1:] != windows[:-1]).any(1))]
+        return [tuple(w) for w in windows[self._filled(windows, codes, base)].tolist()]
+
+    def _filled(self, windows: np.ndarray, codes: np.ndarray, base: np.ndarray) -> np.ndarray:
+        """Whether the text around a window holds as many short grams of its item as the allowed edits leave at least."""
+        size = np.array([len(t) for _, t in self.items])
+        edits = np.array([int(self.edits * len(t)) for _, t in self.items])
+        doc, item, start = windows.T
+        lo = base[doc] + np.maximum(0, start - edits[item])
+        hi = np.minimum(base[doc] + start + size[item] + edits[item], base[doc + 1] - 1) - GRAM + 1  # grams begin before it
+        least = size[item] - GRAM + 1 - GRAM * edits[item]
+        parts = [gram_hashes(codes[k : k + CHARS + GRAM - 1], GRAM) % GRAM_HASHES for k in range(0, len(codes), CHARS)]
+        hashes = np.concatenate([x.astype(np.uint16) for x in parts] + [np.zeros(1, np.uint16)])
+        out = least <= 0
+        rest = np.flatnonzero(~out)
+        rest = rest[np.argsort(hi[rest] - lo[rest], kind="stable")]
+        for w in (rest[k : k + PART] for k in range(0, len(rest), PART)):
+            place = lo[w][:, None] + np.arange(max(0, int((hi[w] - lo[w]).max())))
+            held = self.grams[item[w][:, None], hashes[np.minimum(place, len(hashes) - 1)]] & (place < hi[w][:, None])
+            out[w] = held.sum(1) >= least[w]
+        return out
 
     def matches(self, texts: list[str], windows: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
         """(document, item, distance, start) of the best verified window of each pair; windows: (document, item, start)."""
@@ -167,6 +238,8 @@ class Index:
             found = sampled(embed(joined, start, length, self.bits), self.places_of[item])
             for w in np.flatnonzero((found == self.keys[item]).all(3).any((1, 2))):
                 d, k, s = part[w]
+                if best.get((d, k), (1, 0))[0] == 0:
+                    continue
                 text = self.items[k][1]
                 slack = int(self.edits * len(text)) + 1
                 lo = max(0, s - slack)
@@ -182,23 +255,21 @@ def _pass(docs: DataFrame, items: list[tuple[int, str]], edits: float) -> DataFr
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
 
-        def found(ids: list, texts: list[str], windows: list) -> pa.RecordBatch:
-            out = [(ids[d], index.items[k][0], n, end) for d, k, n, end in index.matches(texts, windows)]
+        def found(ids: list, texts: list[str]) -> pa.RecordBatch:
+            out = [(ids[d], index.items[k][0], n, end) for d, k, n, end in index.matches(texts, index.places(texts))]
             return pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in range(4)], ["doc_id", "item_id", "edit_distance", "end"])
 
-        ids, texts, windows, size = [], [], [], 0
+        ids, texts, size = [], [], 0
         for b in batches:
             for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                words = text.lower().split() if text else []
-                if places := index.places(words):
-                    windows += [(len(texts), k, s) for k, s in places if s < 1 << 40]
+                if t := normal(text):
                     ids.append(i)
-                    texts.append(" ".join(words))
-                    size += len(texts[-1])
-                    if len(windows) >= WINDOWS or size >= CHARS:
-                        yield found(ids, texts, windows)
-                        ids, texts, windows, size = [], [], [], 0
-        yield found(ids, texts, windows)
+                    texts.append(t)
+                    size += len(t)
+                    if size >= CHARS:
+                        yield found(ids, texts)
+                        ids, texts, size = [], [], 0
+        yield found(ids, texts)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, item_id long, edit_distance long, end long")
 
