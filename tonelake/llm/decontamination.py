@@ -162,7 +162,8 @@ class Index:
         for n in SAMPLES if self.items else ():
             self.samples, self.keys = n, self._keys([t for _, t in self.items], n)
             self.places_of = np.stack([positions(len(t), n) for _, t in self.items])
-            if self.reached() >= recall:
+            share = self.reached()
+            if share - 2 * (share * (1 - share) / COPIES) ** 0.5 >= recall:  # by chance too low, if anything
                 break
 
     def _keys(self, texts: list[str], samples: int) -> np.ndarray:
