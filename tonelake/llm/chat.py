@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows
+from ..session import prepare
+from .common import pieces
 
 #: Marks of the template, and placeholders by type of attachment.
 OPEN, BODY, CLOSE = "<|turn|>", "<|text|>", "<|end|>"
@@ -68,10 +69,11 @@ class Flattener:
         self._put(escape(text))
 
     def visit_image(self, part: dict) -> None:
-        self._attach(part, math.ceil((part.get("width") or PATCH) / PATCH) * math.ceil((part.get("height") or PATCH) / PATCH))
+        self._attach(part, math.ceil(max(1, part.get("width") or 1) / PATCH) * math.ceil(max(1, part.get("height") or 1) / PATCH))
 
     def visit_audio(self, part: dict) -> None:
-        self._attach(part, math.ceil((part.get("seconds") or 0) * AUDIO_TOKENS))
+        seconds = part.get("seconds") or 0
+        self._attach(part, math.ceil(seconds * AUDIO_TOKENS) if math.isfinite(seconds) else 1)
 
     def visit_document(self, part: dict) -> None:
         self._attach(part, (part.get("pages") or 1) * PAGE_TOKENS)
@@ -114,14 +116,15 @@ def read_segment(segment: str) -> tuple[str, str]:
 def format_turns(turns: DataFrame) -> DataFrame:
     """One row per turn (see TURN) of turns (conv_id, turn, role, parts), parts being an array of PART.
 
-    Null parts and null texts are empty, a null role is an empty one. Repeated turns are kept.
+    Null parts and null texts are empty, a null role is an empty one. A size that is null, zero, negative or not a number
+    counts like the least attachment. Repeated turns are kept. Extra columns are ignored. An empty table gives no rows.
     """
-    arrow_rows(turns.sparkSession)
+    prepare(turns.sparkSession)
     made = pa.struct([("type", pa.string()), ("ref", pa.string()), ("at", pa.int64()), ("tokens", pa.int64())])
     kinds = {"segment": pa.string(), "loss_start": pa.int64(), "loss_end": pa.int64(), "attachments": pa.list_(made), "text_tokens": pa.int64(), "expanded_tokens": pa.int64()}
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, "parts"):
             out = [format_turn(r, p) for r, p in zip(b.column("role").to_pylist(), b.column("parts").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(c) for c in ("conv_id", "turn", "role")] + [pa.array([x[c] for x in out], t) for c, t in kinds.items()], ["conv_id", "turn", "role", *kinds])
 
@@ -142,7 +145,7 @@ def read_conversations(formatted: DataFrame) -> DataFrame:
         def done(s: list) -> list:
             return [s[0], s[1], s[2].hexdigest(), s[3], s[4].hexdigest(), s[5]]
 
-        for b in batches:
+        for b in pieces(batches, "segment"):
             closed = []
             for conv, segment, start, end in zip(*(b.column(c).to_pylist() for c in ("conv_id", "segment", "loss_start", "loss_end")), strict=True):
                 if state is None or state[0] != conv:

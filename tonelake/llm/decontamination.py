@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, by_ids, documents, materialize
+from ..session import prepare
+from .common import by_ids, documents, materialize, pieces
 
 #: Edits a leak may have per character of the item, and the share of such leaks that the tables have to find.
 EDITS, RECALL = 0.1, 0.95
@@ -28,12 +29,16 @@ WALKS, TABLES, SAMPLES = 8, 16, (8, 7, 6, 5, 4, 3, 2, 1)
 SEED, SEED_BITS = 12, 22
 #: Characters of the short grams, and hashes of them that are told apart.
 GRAM, GRAM_HASHES = 4, 4096
-#: Edited copies that the recall is measured on.
-COPIES = 400
-#: Benchmark items that one pass over the documents compares; more items take more passes.
-ITEMS = 2_000
-#: Windows that a worker embeds at once, and characters of documents that it searches at once.
-PART, CHARS = 1_000, 1_000_000
+#: Edited copies that the recall is measured on, at most, and their characters; LEAST of them in any case.
+COPIES, COPY_CHARS, LEAST = 400, 200_000, 20
+#: Windows of an item that begin within this part of its length are one.
+APART = 256
+#: Benchmark items and their characters that one pass over the documents compares; more take more passes.
+ITEMS, ITEM_CHARS = 8_000, 4_000_000
+#: Windows that a worker embeds at once, the bytes that it may need for them, and characters of documents searched at once.
+PART, PART_BYTES, CHARS = 1_000, 64 << 20, 1_000_000
+#: Steps of a walk after which its random bits begin again; only items of more than half as many characters get there.
+STEPS = 8_192
 
 
 def normal(text: str | None) -> str:
@@ -64,6 +69,7 @@ def code_points(text: str) -> np.ndarray:
 
 def step_bits(steps: int) -> np.ndarray:
     """The walks' fixed random bits, by step, walk and symbol; those of a step don't depend on the number of steps."""
+    steps = min(steps, STEPS)
     return np.stack([np.random.default_rng([7, j]).integers(0, 2, (WALKS, 256), np.uint8) for j in range(steps)]) if steps else np.empty((0, WALKS, 256), np.uint8)
 
 
@@ -77,7 +83,7 @@ def embed(text: np.ndarray, start: np.ndarray, length: np.ndarray, bits: np.ndar
     out = np.zeros((steps + 1, WALKS, len(start)), np.uint8)
     for j in range(steps):
         out[j] = s = np.where(at < end, text.take(at, mode="clip"), 0)
-        at += bits[j].ravel().take(walk + s)
+        at += bits[j % STEPS].ravel().take(walk + s)
     return out
 
 
@@ -87,10 +93,21 @@ def sampled(out: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out[np.minimum(at, out.shape[0] - 1), walk, window]
 
 
-def positions(length: int, samples: int) -> np.ndarray:
-    """Sampled steps (walk, table, sample) for an item of this length, among those that read it rather than its padding."""
+def positions(lengths: np.ndarray, samples: int) -> np.ndarray:
+    """Sampled steps (item, walk, table, sample) for items of these lengths, among those that read them, not their padding."""
     share = np.random.default_rng([11, samples]).random((WALKS, TABLES, samples))
-    return (share * 1.8 * length).astype(np.int64)
+    return (share * 1.8 * lengths[:, None, None, None]).astype(np.int64)
+
+
+def parts(sizes: np.ndarray, most: int) -> Iterator[slice]:
+    """Runs of at most PART of the ascending sizes, of which the last times the run's length is at most most (one at least)."""
+    at = 0
+    while at < len(sizes):
+        to = min(at + PART, len(sizes))
+        while to - at > 1 and int(sizes[to - 1]) * (to - at) > most:
+            to = at + max(1, min((to - at) // 2, most // max(1, int(sizes[to - 1]))))
+        yield slice(at, to)
+        at = to
 
 
 def distance(item: str, text: str, peq: dict[str, int]) -> tuple[int, int]:
@@ -158,21 +175,28 @@ class Index:
             self.pieces.append((q, held, keys, np.append(first, len(table)), table[:, 1], table[:, 2]))
         self.bits = step_bits(2 * max((len(t) for _, t in self.items), default=0))
         self.masks = [_masks(t) for _, t in self.items]
-        self.samples, self.keys, self.places_of = SAMPLES[-1], np.empty((0, WALKS, TABLES, 1), np.uint8), None
+        self.size = np.array([len(t) for _, t in self.items], np.int64)
+        self.copies = int(min(COPIES, max(LEAST, COPY_CHARS // self.size.mean()))) if self.items else 0
+        self.samples, self.keys = SAMPLES[-1], np.empty((0, WALKS, TABLES, 1), np.uint8)
         for n in SAMPLES if self.items else ():
-            self.samples, self.keys = n, self._keys([t for _, t in self.items], n)
-            self.places_of = np.stack([positions(len(t), n) for _, t in self.items])
+            self.samples, self.keys = n, self._keys(n)
             share = self.reached()
-            if share - 2 * (share * (1 - share) / COPIES) ** 0.5 >= recall:  # by chance too low, if anything
+            if share - 2 * (share * (1 - share) / self.copies) ** 0.5 >= recall:  # by chance too low, if anything
                 break
 
-    def _keys(self, texts: list[str], samples: int) -> np.ndarray:
-        length = np.array([len(t) for t in texts])
-        out = embed(symbols("".join(texts)), np.cumsum(length) - length, length, self.bits)
-        return sampled(out, np.stack([positions(n, samples) for n in length]))
+    def _keys(self, samples: int) -> np.ndarray:
+        out = np.empty((len(self.items), WALKS, TABLES, samples), np.uint8)
+        order = np.argsort(self.size, kind="stable")
+        for part in parts(self.size[order], PART_BYTES // (2 * WALKS)):
+            k = order[part]
+            text = symbols("".join(self.items[j][1] for j in k))
+            start = np.cumsum(self.size[k]) - self.size[k]
+            out[k] = sampled(embed(text, start, self.size[k], self.bits), positions(self.size[k], samples))
+        return out
 
-    def reached(self, copies: int = COPIES, seed: int = 5) -> float:
+    def reached(self, seed: int = 5) -> float:
         """The share of edited copies at the largest allowed distance, inside other text, that the search finds; all lengths alike."""
+        copies = self.copies
         rng, by = random.Random(seed), sorted(range(len(self.items)), key=lambda k: len(self.items[k][1]))
         picked = [by[int((j + rng.random()) * len(by) / copies)] for j in range(copies)]
         texts = []
@@ -185,7 +209,7 @@ class Index:
         return len({(d, k) for d, k, _, _ in self.matches(texts, windows)}) / copies
 
     def places(self, texts: list[str]) -> list[tuple[int, int, int]]:
-        """(document, item, start) windows of normalised documents; every leak has one within as many places as edits."""
+        """(document, item, start) windows of normalised documents; every leak has one within as many places as edits and an APARTth of the item."""
         codes = code_points("\n".join(texts))  # no normalised text holds a line break
         base = np.cumsum([0] + [len(t) + 1 for t in texts])
         out = []
@@ -204,23 +228,27 @@ class Index:
         if not out or not (windows := np.concatenate(out)).size:
             return []
         windows = windows[np.lexsort(windows.T[::-1])]
-        windows = windows[np.append(True, (windows[1:] != windows[:-1]).any(1))]
+        near = windows.copy()
+        near[:, 2] //= self.size[windows[:, 1]] // APART + 1
+        windows = windows[np.append(True, (near[1:] != near[:-1]).any(1))]
         return [tuple(w) for w in windows[self._filled(windows, codes, base)].tolist()]
 
     def _filled(self, windows: np.ndarray, codes: np.ndarray, base: np.ndarray) -> np.ndarray:
         """Whether the text around a window holds as many short grams of its item as the allowed edits leave at least."""
-        size = np.array([len(t) for _, t in self.items])
-        edits = np.array([int(self.edits * len(t)) for _, t in self.items])
+        size = self.size
+        edits = np.array([int(self.edits * n) for n in size.tolist()])
+        around = edits + size // APART
         doc, item, start = windows.T
-        lo = base[doc] + np.maximum(0, start - edits[item])
-        hi = np.minimum(base[doc] + start + size[item] + edits[item], base[doc + 1] - 1) - GRAM + 1  # grams begin before it
+        lo = base[doc] + np.maximum(0, start - around[item])
+        hi = np.minimum(base[doc] + start + size[item] + around[item], base[doc + 1] - 1) - GRAM + 1  # grams begin before it
         least = size[item] - GRAM + 1 - GRAM * edits[item]
-        parts = [gram_hashes(codes[k : k + CHARS + GRAM - 1], GRAM) % GRAM_HASHES for k in range(0, len(codes), CHARS)]
-        hashes = np.concatenate([x.astype(np.uint16) for x in parts] + [np.zeros(1, np.uint16)])
+        found = [gram_hashes(codes[k : k + CHARS + GRAM - 1], GRAM) % GRAM_HASHES for k in range(0, len(codes), CHARS)]
+        hashes = np.concatenate([x.astype(np.uint16) for x in found] + [np.zeros(1, np.uint16)])
         out = least <= 0
         rest = np.flatnonzero(~out)
         rest = rest[np.argsort(hi[rest] - lo[rest], kind="stable")]
-        for w in (rest[k : k + PART] for k in range(0, len(rest), PART)):
+        for part in parts(np.maximum(0, hi - lo)[rest], PART_BYTES // 16):
+            w = rest[part]
             place = lo[w][:, None] + np.arange(max(0, int((hi[w] - lo[w]).max())))
             held = self.grams[item[w][:, None], hashes[np.minimum(place, len(hashes) - 1)]] & (place < hi[w][:, None])
             out[w] = held.sum(1) >= least[w]
@@ -230,28 +258,39 @@ class Index:
         """(document, item, distance, start) of the best verified window of each pair; windows: (document, item, start)."""
         joined = symbols("".join(texts))
         base = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
-        best: dict[tuple[int, int], tuple[int, int]] = {}
+        hits: dict[tuple[int, int], list[int]] = {}
         windows = sorted(windows, key=lambda w: len(self.items[w[1]][1]))
-        for part in (windows[k : k + PART] for k in range(0, len(windows), PART)):
+        most = np.array([len(self.items[w[1]][1]) for w in windows], np.int64)
+        for part in (windows[x] for x in parts(most, PART_BYTES // (2 * WALKS))):
             length = np.array([min(len(self.items[k][1]), len(texts[d]) - s) for d, k, s in part])
             start = np.array([base[d] + s for d, _, s in part])
             item = np.array([k for _, k, _ in part])
-            found = sampled(embed(joined, start, length, self.bits), self.places_of[item])
+            found = sampled(embed(joined, start, length, self.bits), positions(self.size[item], self.samples))
             for w in np.flatnonzero((found == self.keys[item]).all(3).any((1, 2))):
-                d, k, s = part[w]
-                if best.get((d, k), (1, 0))[0] == 0:
+                hits.setdefault(part[w][:2], []).append(part[w][2])
+        best = []
+        for (d, k), starts in sorted(hits.items()):
+            text = self.items[k][1]
+            edits = int(self.edits * len(text))
+            slack = edits + len(text) // APART + 1
+            verified, starts = [], sorted(starts)
+            first = last = starts[0]
+            for s in [*starts[1:], None]:  # windows that lie close together are one stretch of text
+                if s is not None and s - last <= slack:
+                    last = s
                     continue
-                text = self.items[k][1]
-                slack = int(self.edits * len(text)) + 1
-                lo = max(0, s - slack)
-                n, end = distance(text, texts[d][lo : s + len(text) + slack], self.masks[k])
-                if n <= int(self.edits * len(text)):
-                    best[d, k] = min(best.get((d, k), (n, lo + end)), (n, lo + end))
-        return [(d, k, n, end) for (d, k), (n, end) in sorted(best.items())]
+                lo = max(0, first - slack)
+                n, end = distance(text, texts[d][lo : last + len(text) + slack], self.masks[k])
+                if n <= edits:
+                    verified.append((n, lo + end))
+                first = last = s
+            if verified:
+                best.append((d, k, *min(verified)))
+        return best
 
 
 def _pass(docs: DataFrame, items: list[tuple[int, str]], edits: float) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(Index(items, edits))  # at most ITEMS items
+    shared = docs.sparkSession.sparkContext.broadcast(Index(items, edits))  # about ITEMS items and ITEM_CHARS characters
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
@@ -261,7 +300,7 @@ def _pass(docs: DataFrame, items: list[tuple[int, str]], edits: float) -> DataFr
             return pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in range(4)], ["doc_id", "item_id", "edit_distance", "end"])
 
         ids, texts, size = [], [], 0
-        for b in batches:
+        for b in pieces(batches):
             for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 if t := normal(text):
                     ids.append(i)
@@ -280,11 +319,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> DataFr
 
     Both are compared in lower case with single spaces; end counts code points of that form of the document. Null, empty
     and blank texts match nothing; rows with a null item_id are ignored. Repeated documents each give their rows, repeated
-    items one row each. Each pass over the documents takes a block of at most ITEMS items.
+    items one row each. Extra columns are ignored, and empty tables give no rows. Each pass over the documents takes a block
+    of about ITEMS items and ITEM_CHARS characters of them.
     """
-    arrow_rows(docs.sparkSession)
+    prepare(docs.sparkSession)
     rows = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text")
-    blocks = max(1, -(-rows.count() // (ITEMS // 2)))
+    held = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    blocks = max(1, -(-held[0] // (ITEMS // 2)), -(-held[1] // (ITEM_CHARS // 2)))
     out = None
     for k in range(blocks):
         block = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else rows

@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import arrow_rows, connected_components, materialize
+from ..session import prepare
+from .common import connected_components, materialize
 
 COSINE = 0.98
 #: Principal directions, those of them that order the vectors, and the numbers that the fitted sample may hold.
@@ -165,7 +166,7 @@ def linked(a_ids: list, a: np.ndarray, b_ids: list, b: np.ndarray, same: bool, c
 def links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(vec_id, n, root) for each vector and pair of blocks in which it links; written."""
     spark = vectors.sparkSession
-    arrow_rows(spark)
+    prepare(spark)
     epsilon = math.sqrt(2 - 2 * cosine)
     blocks = blocks_of(vectors, epsilon)
     sizes = blocks.groupBy("part").agg(F.count("*").alias("size"))
@@ -183,9 +184,8 @@ def links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
                 out = linked(ai, x, bi, y, p == q, cosine)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["vec_id", "n", "root"])
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "32")
     out = materialize(both.mapInArrow(compared, "vec_id long, n long, root long"), "links")
-    arrow_rows(spark)
+    prepare(spark)
     return out
 
 

@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from xxhash import xxh3_64_intdigest
 
-from .common import arrow_rows, by_ids, connected_components, documents, materialize
+from ..session import prepare
+from .common import by_ids, connected_components, documents, materialize
 
 WORDS = 5
 #: Words whose hashes a Python worker remembers.
@@ -83,7 +84,7 @@ def recurring(docs: DataFrame) -> DataFrame:
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held, size = _WordHashes(), [], 0
-        for batch in batches:
+        for batch in pieces(batches):
             for text in _texts(batch):
                 held.append(shingle_set(text, hashes))
                 size += len(held[-1])
@@ -145,7 +146,7 @@ def signatures(docs: DataFrame, key: str) -> DataFrame:
         maybe = np.zeros(1 << BITS, bool)
         maybe[_leading(known)] = True
         hashes = _WordHashes()
-        for batch in batches:
+        for batch in pieces(batches):
             sizes, digests, keys, prefixes = [], [], [], []
             for text in _texts(batch):
                 s = shingle_set(text, hashes)
@@ -170,7 +171,7 @@ def _sets(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
-        for batch in batches:
+        for batch in pieces(batches):
             sets = [shingle_set(t, hashes) for t in _texts(batch)]
             offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
             flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
@@ -221,7 +222,7 @@ def similar_components(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     an id are one document with several texts. A row with a null id gets the component of equal sets, else null. An empty
     table gives an empty result. Extra columns are ignored.
     """
-    arrow_rows(docs.sparkSession)
+    prepare(docs.sparkSession)
     signed = materialize(signatures(docs, key), "signatures")
     rows = signed.select("doc_id", "n", "digest", "prefix_key").filter("n > 0")
     classes = rows.groupBy("digest", "prefix_key", "n").agg(F.min("doc_id").alias("rep")).filter("rep is not null")

@@ -1,7 +1,8 @@
 """Secret scans: patterns, and character Markov models of random strings against ordinary identifiers.
 
 Two first-order models over the characters of tokens, one of random strings and one of ordinary words and identifiers, are
-trained on labelled samples. A long token is reported where its log-likelihood ratio favours the random model.
+trained on labelled samples. A token is reported where its log-likelihood ratio favours the random model, and every match of
+the patterns carries the ratio of its secret part.
 """
 
 from __future__ import annotations
@@ -9,15 +10,18 @@ from __future__ import annotations
 import random
 import re
 import string
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, documents, materialize
+from ..session import prepare
+from .common import documents, materialize, pieces
 
 # The base patterns and the lengths that their matches need.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -28,25 +32,39 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex", "markov")
 
 #: Tokens that the models judge, the nats a character and in all by which the random model has to win.
-TOKEN_MIN, PER_CHARACTER, IN_ALL = 20, 0.35, 12.0
-TOKEN = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{TOKEN_MIN},}}")
-IDENTIFIER = re.compile(r"[A-Za-z0-9+/_=-]{4,}")
+TOKEN_MIN, PER_CHARACTER, IN_ALL = 12, 0.35, 12.0
+TOKEN = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{TOKEN_MIN},}}={{0,2}}")
+IDENTIFIER = re.compile(r"[A-Za-z0-9+/_-]{4,}")
 #: Documents of the training sample (the smallest hashes of their ids), and random strings made for it.
 TRAIN_ROWS, RANDOM_STRINGS = 4_000, 4_000
 ALPHABETS = (string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits + "_-", string.ascii_lowercase + string.digits, string.hexdigits[:16])
 SMOOTHING = 0.5
 
 
-def base_spans(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of the base patterns' matches, leftmost and non-overlapping within a kind."""
+@dataclass(frozen=True, order=True)
+class Span:
+    """A match in code points, end exclusive; value is where its secret part begins."""
+
+    start: int
+    order: int
+    end: int
+    value: int
+
+    @property
+    def kind(self) -> str:
+        return KINDS[self.order]
+
+
+def base_spans(text: str) -> list[Span]:
+    """The base patterns' matches, leftmost and non-overlapping within a kind."""
     out = []
     low = text.lower()
     if any(k in low for k in KEYWORDS):
-        out += [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= ASSIGN_MIN]
+        out += [Span(m.start(), 0, m.end(), m.start(2)) for m in ASSIGN.finditer(text) if len(m[2]) >= ASSIGN_MIN]
     if "AKIA" in text:
-        out += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if len(m[0]) >= ACCESS_MIN]
+        out += [Span(m.start(), 1, m.end(), m.start()) for m in ACCESS.finditer(text) if len(m[0]) >= ACCESS_MIN]
     if any(len(w) >= HEX_MIN for w in text.split()):
-        out += [(m.start(), m.end(), "hex") for m in HEX.finditer(text) if m.end() - m.start() >= HEX_MIN]
+        out += [Span(m.start(), 2, m.end(), m.start()) for m in HEX.finditer(text) if m.end() - m.start() >= HEX_MIN]
     return out
 
 
@@ -80,13 +98,14 @@ def _pairs(token: str, label: int) -> Iterator[tuple[int, int, int]]:
 
 
 def ordinary(text: str) -> list[str]:
-    """Words and identifiers too short to be judged themselves."""
-    return [t for t in IDENTIFIER.findall(text) if len(t) < TOKEN_MIN]
+    """Words and identifiers too short to be judged themselves, numbers, and words of letters in the case of words."""
+    return [t for t in IDENTIFIER.findall(text) if len(t) < TOKEN_MIN or t.isdigit() or t.isalpha() and (t[1:].islower() or t.isupper())]
 
 
-def random_strings(n: int = RANDOM_STRINGS) -> list[str]:
-    rng = random.Random(17)
-    return ["".join(rng.choices(ALPHABETS[k % len(ALPHABETS)], k=rng.randrange(20, 49))) for k in range(n)]
+def random_strings(n: int = RANDOM_STRINGS, seed: int = 17) -> list[str]:
+    """Made samples of the random class; those of two seeds are independent."""
+    rng = random.Random(seed)
+    return ["".join(rng.choices(ALPHABETS[k % len(ALPHABETS)], k=rng.randrange(TOKEN_MIN, 49))) for k in range(n)]
 
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> MarkovPair:
@@ -101,15 +120,15 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> MarkovPair:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter = Counter()
-        for b in batches:
+        for b in pieces(batches):
             for text in b.column("text").to_pylist():
                 text, at = text or "", 0
-                for start, end, _ in sorted(base_spans(text)):
-                    for t in ordinary(text[at:start]):
+                for span in sorted(base_spans(text)):
+                    for t in ordinary(text[at : span.start]):
                         n.update(_pairs(t, 0))
-                    for t in TOKEN.findall(text[start:end]):
+                    for t in TOKEN.findall(text[span.value : span.end]):
                         n.update(_pairs(t, 1))
-                    at = max(at, end)
+                    at = max(at, span.end)
                 for t in ordinary(text[at:]):
                     n.update(_pairs(t, 0))
         rows = [(*k, v) for k, v in n.items()]
@@ -122,44 +141,60 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> MarkovPair:
     return MarkovPair(dict(counts))
 
 
-def scan_text(text: str | None, model: MarkovPair) -> list[tuple[int, int, str]]:
-    """All spans by start, then kind: the base ones, and tokens that overlap none of them and look random."""
+def _apart(spans: list[Span]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the union of sorted spans."""
+    starts, ends = [], []
+    for s in spans:
+        if ends and s.start <= ends[-1]:
+            ends[-1] = max(ends[-1], s.end)
+        else:
+            starts.append(s.start)
+            ends.append(s.end)
+    return starts, ends
+
+
+def scan_text(text: str | None, model: MarkovPair) -> list[tuple[Span, float]]:
+    """All spans by start, then kind, with the ratios of their secret parts: the base ones, and tokens that look random.
+
+    A token that overlaps a base span adds none of its own. The work is in proportion to the text, up to a logarithm.
+    """
     if not text:
         return []
-    out = base_spans(text)
+    base = sorted(base_spans(text))
+    out = [(s, model.score(text[s.value : s.end])) for s in base]
     if any(len(w) >= TOKEN_MIN for w in text.split()):
-        taken = sorted((s, e) for s, e, _ in out)
+        starts, ends = _apart(base)
         for m in TOKEN.finditer(text):
-            if model.secret(m[0]) and not any(s < m.end() and m.start() < e for s, e in taken):
-                out.append((m.start(), m.end(), "markov"))
-    return sorted(out, key=lambda x: (x[0], KINDS.index(x[2])))
-
-
-def joined(spans: list[tuple[int, int, str]]) -> str:
-    return ",".join(f"{kind}:{start}:{end}" for start, end, kind in spans)
+            k = bisect_left(ends, m.start() + 1)
+            if (k == len(ends) or starts[k] >= m.end()) and model.secret(m[0]):
+                out.append((Span(m.start(), 3, m.end(), m.start()), model.score(m[0])))
+    return sorted(out)
 
 
 def scan(docs: DataFrame, model: MarkovPair) -> DataFrame:
-    """(doc_id, found) for every row, found being an array of (kind, start, end, text) in code points, end exclusive.
+    """(doc_id, found) for every row, found being an array of (kind, start, end, text, ratio) in code points, end exclusive.
 
-    A null or empty text has no span. Repeated rows each get theirs.
+    ratio is the log-likelihood ratio of the secret part, in nats; above zero the random model has won. A null or empty text
+    has no span. Repeated rows each get theirs. Extra columns are ignored. An empty table gives no rows.
     """
-    arrow_rows(docs.sparkSession)
+    prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("text", pa.string())]))
+    fields = {"kind": pa.string(), "start": pa.int64(), "end": pa.int64(), "text": pa.string(), "ratio": pa.float64()}
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for b in batches:
-            found = [[{"kind": k, "start": s, "end": e, "text": t[s:e]} for s, e, k in scan_text(t, model)] for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, kind)], ["doc_id", "found"])
+        for b in pieces(batches):
+            found = [[{"kind": s.kind, "start": s.start, "end": s.end, "text": t[s.start : s.end], "ratio": r} for s, r in scan_text(t, model)] for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, pa.list_(pa.struct(list(fields.items()))))], ["doc_id", "found"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, found array<struct<kind:string,start:long,end:long,text:string>>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, found array<struct<kind:string,start:long,end:long,text:string,ratio:double>>")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The secrets of all documents, as counts and digests of their spans."""
-    arrow_rows(spark)
+    """The secrets of all documents, as counts and digests of their spans.
+
+    n_markov counts the spans that the models add, n_random the base spans that they would have reported too.
+    """
     docs = documents(spark, sf_dir).select("doc_id", "text")
     found = scan(docs, train(docs))
     span = "x -> concat_ws(':', x.kind, string(x.start), string(x.end))"
@@ -168,4 +203,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
         *(F.expr(f"bigint(size(filter(found, x -> x.kind = '{k}')))").alias(f"n_{k}") for k in KINDS[:3]),
         F.expr(f"sha2(array_join(transform(filter(found, x -> x.kind != 'markov'), {span}), ','), 256)").alias("base_sha256"),
         F.expr(f"array_join(transform(found, {span}), ',')").alias("spans"),
+        F.expr("bigint(size(filter(found, x -> x.kind = 'markov')))").alias("n_markov"),
+        F.expr(f"bigint(size(filter(found, x -> x.kind != 'markov' and x.ratio >= {IN_ALL})))").alias("n_random"),
     )
+
+
+def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op6 finds by the base patterns alone, which SQL can express too."""
+    return op6(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")

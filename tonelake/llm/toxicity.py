@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, by_ids, documents, materialize
+from ..session import prepare
+from .common import by_ids, documents, materialize, pieces
 
 #: Labelled documents to fit on, half of each class where there are as many: the smallest hashes of their ids.
 TRAIN_ROWS = 8_000
@@ -79,7 +80,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS)
     found = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(picked), "doc_id")  # at most rows rows
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             bags = [sorted(words_of(t)) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(bags, pa.list_(pa.string()))], ["doc_id", "toxic", "words"])
 
@@ -130,7 +131,7 @@ def score(docs: DataFrame, model: OrdinalModel, reject: float = REJECT) -> DataF
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for b in batches:
+        for b in pieces(batches):
             p = [model.exceed(model.score(words_of(t))) for t in b.column("text").to_pylist()]
             expected = [sum(x) for x in p]
             yield pa.RecordBatch.from_arrays(
@@ -143,13 +144,13 @@ def score(docs: DataFrame, model: OrdinalModel, reject: float = REJECT) -> DataF
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected severity of all documents, with the model fitted on a bounded sample of labelled ones."""
-    arrow_rows(spark)
+    prepare(spark)
     docs = documents(spark, sf_dir)
     return score(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the model fitted on labels doesn't reject, with their columns; an id goes with any of its rows."""
-    arrow_rows(docs.sparkSession)
+    prepare(docs.sparkSession)
     bad = materialize(score(docs, fit(docs, labels)).filter("toxic and doc_id is not null").select("doc_id").distinct(), "toxic")
     return by_ids(docs, bad, "doc_id", "left_anti")

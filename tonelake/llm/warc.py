@@ -21,7 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, materialize, new_path
+from ..session import prepare
+from .common import materialize, new_path, pieces
 
 ARCHIVE_BYTES = 8 << 20
 #: Pages that the dictionary is trained on, the bytes taken of each, and the dictionary's size.
@@ -167,10 +168,10 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
 
     Of rows with equal payloads the one with the smallest page_id is a response and the others revisit it; rows that repeat
     that page_id are responses too. A row without page_id is a response. A null html is an empty payload, a null url an
-    empty target. No rows give no archive.
+    empty target. No rows give no archive. Extra columns are ignored.
     """
     spark = pages.sparkSession
-    arrow_rows(spark)
+    prepare(spark)
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")).withColumn("digest", F.sha1("payload"))
     least = rows.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).filter("refers_to != last").select("digest", "refers_to")
     revisits = rows.select("page_id", "digest").join(materialize(least, "repeated"), "digest").filter("page_id != refers_to").distinct()
@@ -200,7 +201,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
             return pa.RecordBatch.from_pydict({"file": [name], "records": [len(parts) - 1], "bytes": [sum(map(len, parts))]})
 
         parts, size = [lead], len(lead)
-        for b in batches:
+        for b in pieces(batches, "payload"):
             for page, url, payload, refers in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "refers_to")), strict=True):
                 parts.append(packer.compress(encode_record(page, url, payload, refers, refers is not None)))
                 size += len(parts[-1])
@@ -216,10 +217,10 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
 
 def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
     """The records of all archives in folder; see RECORD for the columns. A broken archive fails the query with its place."""
-    arrow_rows(spark)
+    prepare(spark)
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, "content"):
             for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
                 rows, at = [], 0
                 try:
@@ -231,7 +232,6 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> Da
                 yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("path", "content")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
     return files.mapInArrow(records, RECORD)
 
 
