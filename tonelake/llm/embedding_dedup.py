@@ -4,7 +4,10 @@ Unit vectors of a cosine of at least c are at most epsilon = sqrt(2 - 2c) apart,
 stand in the order of their epsilon cells on the leading principal directions, within their label, and are cut into blocks
 of consecutive vectors. Intervals of blocks are joined recursively, level by level: a pair of intervals whose bounding boxes
 are more than epsilon apart is dropped, any other is split, until pairs of blocks are left and compared by matrix products.
-The directions are fitted on a bounded sample; they only decide how much is skipped, never what links.
+A box has a side for each direction and one for the length of what the directions leave out, as the lengths of two
+vectors' remainders differ by no more than the remainders lie apart. The directions are fitted on a bounded sample; they only
+decide how much is skipped, never what links. Pairs are compared by tiles: a task holds the few blocks of a tile and streams
+the blocks that stand against them.
 """
 
 from __future__ import annotations
@@ -20,13 +23,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..session import prepare
-from .common import connected_components, materialize
+from .common import connected_components, materialize, pieces, tidy
 
 COSINE = 0.98
 #: Principal directions, those of them that order the vectors, and the numbers that the fitted sample may hold.
 DIRECTIONS, CELLS, SAMPLE_NUMBERS = 12, 6, 1_000_000
 #: Vectors and bytes that a block holds at most, and intervals that an interval is split into.
 BLOCK, BLOCK_BYTES, FANOUT = 512, 1 << 17, 4
+#: Blocks of a tile, and blocks in a row of which those against a tile are compared by one task.
+TILE, STRETCH = 8, 512
 
 
 def directions(vectors: np.ndarray) -> np.ndarray:
@@ -67,7 +72,7 @@ def blocks_of(vectors: DataFrame, epsilon: float) -> DataFrame:
 
     def projected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         basis = shared.value
-        for b in batches:
+        for b in pieces(batches, "embedding"):
             rows = [(i, lab, u) for i, lab, v in zip(*(b.column(c).to_pylist() for c in ("vec_id", "label", "embedding")), strict=True) if (u := unit(v)) is not None]
             grid = np.zeros((len(rows), CELLS), np.int32)
             for k, (_, _, u) in enumerate(rows):
@@ -93,6 +98,7 @@ def blocks_of(vectors: DataFrame, epsilon: float) -> DataFrame:
             nonlocal made
             u = np.frombuffer(b"".join(data)).reshape(len(ids), group[1])
             p = u @ basis[group[1]].T if group[1] in basis else u[:, :DIRECTIONS]
+            p = np.column_stack((p, np.sqrt(np.maximum(0, 1 - (p * p).sum(1)))))
             row = {"part": part, "n": made, "label": group[0], "d": group[1], "lo": p.min(0).tolist(), "hi": p.max(0).tolist(), "ids": ids, "data": u.tobytes()}
             made += 1
             return pa.RecordBatch.from_pylist([row], schema=_BLOCK)
@@ -173,28 +179,41 @@ def links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     first = sizes.select("part", (F.sum("size").over(W.orderBy("part")) - F.col("size")).alias("first"))  # a row for each partition
     blocks = materialize(blocks.join(F.broadcast(first), "part").withColumn("seq", F.col("first") + F.col("n")), "numbered")
     pairs = close_blocks(blocks.select("label", "d", "seq", "lo", "hi"), epsilon)
-    left = blocks.select(F.col("seq").alias("p"), F.col("ids").alias("a_ids"), F.col("data").alias("a"), "d")
-    right = blocks.select(F.col("seq").alias("q"), F.col("ids").alias("b_ids"), F.col("data").alias("b"))
-    both = pairs.select("p", "q").join(right, "q").join(left, "p").select("p", "q", "d", "a_ids", "a", "b_ids", "b")
+    data = blocks.select(F.col("seq").alias("at"), "d", "ids", "data")
+    against = pairs.groupBy(F.expr(f"p div {TILE}").alias("tile"), F.col("q").alias("at")).agg(F.collect_list("p").alias("ps"))  # at most TILE
+    against = materialize(against.withColumn("stretch", F.expr(f"at div {STRETCH}")), "tiles")
+    tiles = against.select("tile", "stretch", F.explode("ps").alias("at")).distinct()
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    held = tiles.join(data, "at").select("tile", "stretch", F.lit(0).alias("kind"), "at", F.lit(None).cast("array<long>").alias("ps"), "d", "ids", "data")
+    streamed = against.join(data, "at").select("tile", "stretch", F.lit(1).alias("kind"), "at", "ps", "d", "ids", "data")
+    both = held.unionByName(streamed).repartition(n, "tile", "stretch").sortWithinPartitions("tile", "stretch", "kind", "at")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for p, q, d, ai, a, bi, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x, y = (np.frombuffer(v).reshape(-1, d) for v in (a, b))
-                out = linked(ai, x, bi, y, p == q, cosine)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["vec_id", "n", "root"])
-
-    out = materialize(both.mapInArrow(compared, "vec_id long, n long, root long"), "links")
-    prepare(spark)
-    return out
-
-
+        blocks, key = {}, None
+        for batch in pieces(batches, "data"):
+            for tile, stretch, kind, at, ps, d, ids, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != (tile, stretch):
+                    blocks, key = {}, (tile, stretch)
+                v = np.frombuffer(packed).reshape(-1, d)
+                if kind == 0:
+                    blocks[at] = ids, v
+                    continue
+                for p in ps:
+                    out = linked(*blocks[p], ids, v, p == at, cosine)
+                    if out[0]:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["vec_id", "n", "root"])
+
+    return materialize(both.mapInArrow(compared, "vec_id long, n long, root long"), "links")
+
+
+@tidy
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of vectors (vec_id, embedding, label).
 
     Vectors link if their labels and lengths are equal and their cosine, in double precision, is at least the given one. A null
     label, and a vector that is null, empty, zero or holds null or non-finite numbers, link with nothing. Rows that repeat
-    an id are vectors of their own that share its counts; a null id links with nothing and isn't kept.
+    an id are vectors of their own that share its counts; a null id links with nothing and isn't kept. Extra columns are
+    ignored. An empty table gives no rows.
     """
     usable = vectors.filter("vec_id is not null and label is not null and embedding is not null")
     usable = usable.select(F.col("vec_id").cast("long"), F.col("label").cast("string"), F.col("embedding").cast("array<double>"), F.size("embedding").alias("d"))
@@ -207,4 +226,5 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near duplicates among all embeddings."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))

@@ -18,11 +18,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 from xxhash import xxh3_64_intdigest
 
 from ..session import prepare
-from .common import by_ids, connected_components, documents, materialize
+from .common import by_ids, connected_components, documents, materialize, pieces, tidy, with_keys
 
 WORDS = 5
 #: Words whose hashes a Python worker remembers.
@@ -31,6 +30,8 @@ MEMO = 300_000
 LOCAL_MIN, BLOCK = 3, 2_000_000
 #: Recurring shingles that the order knows by their counts; the others keep hash order, which costs time, not links.
 KNOWN = 1_000_000
+#: A shingle that heads this many prefixes or more is counted as recurring, and the prefixes are made again, so many times at most.
+LONG, AGAIN = 10_000, 3
 #: Leading bits of a hash by which a worker first asks whether it may be known.
 BITS = 22
 
@@ -136,9 +137,36 @@ def prefix_of(shingles: np.ndarray, known: np.ndarray, counts: np.ndarray, maybe
     return np.concatenate((rest, common))[:need]
 
 
-def signatures(docs: DataFrame, key: str) -> DataFrame:
-    """(doc_id, n, digest, prefix_key, prefix) of each document: set size, digests of the set and of its prefix, the prefix."""
+def ordered_signatures(docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The written signatures(), those of one document for each prefix, and the written (h, n) of all shingles that two or more of these hold.
+
+    A shingle may recur too thinly for one block of documents to show it, and still head many prefixes of a large table. Such
+    shingles are counted in the prefixes themselves; those that head LONG or more join the known ones, and the prefixes are
+    made again. The order of shingles never changes what is found.
+    """
     known, counts = known_counts(docs)
+    for again in range(AGAIN, -1, -1):
+        signed = materialize(signatures(docs, key, known, counts), "signatures")
+        rows = signed.filter("n > 0 and doc_id is not null")
+        leaders = rows.groupBy("prefix_key").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+        others = materialize(rows.select("doc_id").join(leaders, "doc_id", "left_anti").distinct(), "others")
+        lead = by_ids(rows, others, "doc_id", "left_anti")
+        shared = materialize(lead.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
+        if not again:
+            break
+        long = shared.filter(F.col("n") >= LONG).orderBy(F.desc("n"), "h").limit(max(0, KNOWN - len(known))).toPandas()  # at most KNOWN rows
+        h, n = long.h.to_numpy(np.int64).view(np.uint64), long.n.to_numpy(np.int64)
+        new = ~np.isin(h, known)
+        if not new.any():
+            break
+        known, counts = np.concatenate((known, h[new])), np.concatenate((counts, n[new]))
+        order = np.argsort(known)
+        known, counts = known[order], counts[order]
+    return signed, lead, shared
+
+
+def signatures(docs: DataFrame, key: str, known: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """(doc_id, n, digest, prefix_key, prefix) of each document: set size, digests of the set and of its prefix, the prefix."""
     shared = docs.sparkSession.sparkContext.broadcast((known, counts))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,6 +242,7 @@ def _prefixes_overlap(pairs: DataFrame, signed: DataFrame) -> DataFrame:
     return both.filter(F.size(F.array_intersect("x", "y")) >= F.expr(_needed("na", "nb"))).select("a", "b").distinct()
 
 
+@tidy
 def similar_components(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs; docs has an integer key column and a text column.
 
@@ -223,24 +252,21 @@ def similar_components(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     table gives an empty result. Extra columns are ignored.
     """
     prepare(docs.sparkSession)
-    signed = materialize(signatures(docs, key), "signatures")
+    signed, lead, shared = ordered_signatures(docs, key)
     rows = signed.select("doc_id", "n", "digest", "prefix_key").filter("n > 0")
     classes = rows.groupBy("digest", "prefix_key", "n").agg(F.min("doc_id").alias("rep")).filter("rep is not null")
     classes = materialize(classes, "classes")
     groups = classes.groupBy("prefix_key").agg(F.min("rep").alias("group"), F.count("*").alias("members"))
     members = materialize(classes.join(groups, "prefix_key").select("digest", "rep", "n", "group", "members"), "members")
-    leaders = members.select(F.col("group").alias("doc_id")).distinct()
-    others = materialize(rows.select("doc_id").join(leaders, "doc_id", "left_anti").distinct(), "others")
-    lead = by_ids(signed.filter("n > 0 and doc_id is not null"), others, "doc_id", "left_anti")
     # A posting's place in its prefix and the set's size share a number, for the shuffle's sake.
     postings = lead.select(F.posexplode("prefix").alias("pos", "h"), F.col("doc_id").alias("group"), "n").select("h", "group", F.expr("shiftleft(bigint(pos), 32) + n").alias("place"))
-    by_shingle = W.partitionBy("h")
+    postings = materialize(with_keys(postings, shared.select("h", "n"), "h"), "postings")
     # The centre of a shingle's groups has the fewest rarer shingles before it: of near copies, the one changed least.
-    centre = {"centre": F.min(F.struct("place", "group")).over(by_shingle), "least": F.min("group").over(by_shingle), "last": F.max("group").over(by_shingle)}
-    shared = postings.withColumns(centre).filter("least != last")
+    heads = postings.groupBy("h").agg(F.min("group").alias("least"), F.max("group").alias("last"), F.min("place").alias("first"), F.min_by("group", "place").alias("c"), F.count("*").alias("n"))
+    heads = materialize(heads.filter("least != last").select("h", "n", "c", "first"), "heads")
     size = "{} & 4294967295"
-    shared = shared.select("h", F.expr("shiftright(place, 32)").alias("pos"), "group", F.expr(size.format("place")).alias("n"), F.col("centre.group").alias("c"), F.expr(size.format("centre.place")).alias("cn"))
-    shared = materialize(shared, "shared")
+    shared = with_keys(postings, heads, "h").select("h", F.expr("shiftright(place, 32)").alias("pos"), "group", F.expr(size.format("place")).alias("n"), "c", F.expr(size.format("first")).alias("cn"))
+    shared = materialize(shared, "postings_of_heads")
 
     # Each group against the centres of its shingles, and each member of a group against its leader.
     starred = (
@@ -280,4 +306,5 @@ def similar_components(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups of similar documents among all documents."""
     return similar_components(documents(spark, sf_dir).select("doc_id", "text"))
