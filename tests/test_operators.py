@@ -50,7 +50,7 @@ def test_weighted_drops_what_is_not_measured(spark):
 
 
 def test_objectives(spark):
-    band = "band_db array<double>, tilt_db_per_decade double, centroid_hz struct<p10:double,p50:double,p90:double>, rolloff85_hz struct<p10:double,p50:double,p90:double>"
+    band = "band_centres_hz array<double>, band_db array<double>, tilt_db_per_decade double, centroid_hz struct<p10:double,p50:double,p90:double>, rolloff85_hz struct<p10:double,p50:double,p90:double>"
     kind = (
         f"struct<source:struct<lufs_i:double,channels:int>,spectrum:struct<{band.replace(' array', ':array').replace(' double', ':double').replace(' struct', ':struct')}>,dynamics:struct<crest_db:double,attack_ms:double,decay_db_per_s:double,lra_lu:double,rms_percentiles_db:struct<p10:double,p50:double,p90:double>>,"
         "harmonic:struct<hnr_db:double,odd_even_ratio:double,hf_residual_index:double,confidence:double>,time_fx:struct<rt60_s:double,rt60_confidence:double,delay_ms:double,delay_confidence:double,delay_feedback_est:double>,"
@@ -59,7 +59,7 @@ def test_objectives(spark):
     none3 = (None, None, None)
 
     def record(lufs, bands, delay):
-        return ((lufs, 1), (bands, None, none3, none3), (None, None, None, None, none3), (None, None, None, 0.1), (None, None, 400.0, delay, 0.3), none3, (0.5, 0.5), ([1.0, 2.0],))
+        return ((lufs, 1), ([100.0, 200.0, 400.0], bands, None, none3, none3), (None, None, None, None, none3), (None, None, None, 0.1), (None, None, 400.0, delay, 0.3), none3, (0.5, 0.5), ([1.0, 2.0],))
 
     df = spark.createDataFrame([(record(-20.0, [1.0, 2.0, 3.0], 0.9), record(-17.0, [4.0, 5.0, 9.0], 0.0))], f"t {kind}, c {kind}")
     o = compare.objectives("t", "c", compare.PROFILES["unpaired-v1"]["scales"], F.lit(NAN))

@@ -134,3 +134,53 @@ def canonical_settings(settings: Column) -> Column:
 def content_key(*parts: Column) -> Column:
     """A SHA-256 over the parts; null and empty parts differ."""
     return F.sha2(F.concat_ws("\x1f", *(F.coalesce(p.cast("string"), F.lit("\x00")) for p in parts)), 256)
+
+
+#: How far apart equal numbers may lie, as a share of the larger and in all.
+CLOSE = 1e-9
+
+
+def same_number(a: Column, b: Column) -> Column:
+    """Whether two numbers are finite and equal up to CLOSE; false for null."""
+    x, y = a.cast("double"), b.cast("double")
+    finite = lambda v: ~F.isnan(v) & (F.abs(v) != float("inf"))
+    return F.coalesce(finite(x) & finite(y) & (F.abs(x - y) <= F.greatest(F.abs(x), F.abs(y), F.lit(1.0)) * CLOSE), F.lit(False))
+
+
+def same_array(a: Column, b: Column) -> Column:
+    """Whether two arrays of numbers have one length and the same numbers in order; two nulls are the same."""
+    pairs = F.zip_with(a, b, lambda x, y: same_number(x, y) | (x.isNull() & y.isNull()))
+    return (a.isNull() & b.isNull()) | F.coalesce((F.size(a) == F.size(b)) & F.forall(pairs, lambda p: p), F.lit(False))
+
+
+def same_map(a: Column, b: Column) -> Column:
+    """Whether two maps have the same keys with the same texts, where texts that are numbers are the same as such."""
+    keys = F.array_sort(F.map_keys(a))
+    one = lambda k: same_number(number(F.element_at(a, k)), number(F.element_at(b, k))) | F.element_at(a, k).eqNullSafe(F.element_at(b, k))
+    return (a.isNull() & b.isNull()) | F.coalesce((keys == F.array_sort(F.map_keys(b))) & F.forall(keys, one), F.lit(False))
+
+
+def rotated(values: Column, offset: Column) -> Column:
+    """An array that begins at the place offset, counted round; empty for an empty one."""
+    n = F.size(values)
+    k = F.when(n > 0, F.pmod(offset.cast("int"), n)).otherwise(0)
+    return F.concat(F.slice(values, k + 1, F.greatest(n - k, F.lit(0))), F.slice(values, 1, k))
+
+
+def html_safe(text: Column) -> Column:
+    """Text for a place between tags or in quotes of a page."""
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return text
+
+
+def script_safe(json: Column) -> Column:
+    """JSON for a script element of a page, which no text in it can end."""
+    for a, b in (("<", "\\u003c"), (">", "\\u003e"), ("&", "\\u0026")):
+        json = F.replace(json, F.lit(a), F.lit(b))
+    return json
+
+
+def iso_stamp(seconds: Column) -> Column:
+    """UTC time of seconds since 1970, to the second, as ISO text."""
+    return F.concat(F.date_format(F.timestamp_add("SECOND", seconds.cast("long"), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))

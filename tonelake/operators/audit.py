@@ -105,8 +105,13 @@ def told_bands(deltas: DataFrame, group: str, centre: str) -> DataFrame:
     return top.withColumn("place", F.row_number().over(W.partitionBy(group).orderBy(centre))).drop("_r", "_peak")
 
 
-def caveats(regime: Column, harmonic: Column, delay: Column, rt60: Column, channels: Column) -> Column:
+#: Fixed value: channels for which loudness weights are defined.
+METERED_CHANNELS = 5
+
+
+def caveats(regime: Column, harmonic: Column, delay: Column, rt60: Column, channels: Column, am_rate: Column | None = None, am: Column | None = None) -> Column:
     """What a report has to say about a measurement, as an array of notes."""
+    am_rate, am = (F.lit(None).cast("double") if c is None else c for c in (am_rate, am))
     known = lambda c: F.coalesce(c, F.lit(0.0))
     return F.array_compact(
         F.array(
@@ -114,7 +119,9 @@ def caveats(regime: Column, harmonic: Column, delay: Column, rt60: Column, chann
             F.when(known(harmonic) < 0.5, "distortion is unmeasured"),
             F.when(known(delay) < 0.3, "no delay repeat"),
             F.when(known(rt60) < 0.4, "reverberation is uncertain"),
+            F.when(am_rate.isNotNull() & (known(am) < 0.75), "the amplitude modulation may be the rate of the notes"),
             F.when(F.coalesce(channels, F.lit(1)) < 2, "mono: width isn't measured"),
+            F.when(F.coalesce(channels, F.lit(1)) > METERED_CHANNELS, "loudness was metered on the fold of all channels"),
         )
     )
 

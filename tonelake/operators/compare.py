@@ -59,6 +59,20 @@ def band_shape(a: Column, b: Column) -> Column:
     return F.when((n > 0) & (n == F.size(b)), F.sqrt(square))
 
 
+def shared_differences(a_centres: Column, a: Column, b_centres: Column, b: Column) -> Column:
+    """The differences a - b of the bands whose centres both have, as an array in the order of a."""
+    band = F.zip_with(a_centres, a, lambda c, v: F.struct(c.alias("c"), v.alias("v")))
+    shared = F.filter(band, lambda e: F.array_contains(b_centres, e["c"]))
+    return F.array_compact(F.transform(shared, lambda e: e["v"] - F.get(b, F.array_position(b_centres, e["c"]).cast("int") - 1)))
+
+
+def rms_about_mean(d: Column) -> Column:
+    """The root mean square of an array about its mean; null for an empty one."""
+    n = F.size(d)
+    mean = F.aggregate(d, F.lit(0.0), lambda s, x: s + x) / n
+    return F.when(n > 0, F.sqrt(F.aggregate(F.transform(d, lambda x: (x - mean) * (x - mean)), F.lit(0.0), lambda s, x: s + x) / n))
+
+
 def band_differences(a: DataFrame, b: DataFrame, pair: Sequence[str], centre: str, level: str) -> DataFrame:
     """Per shared band of each pair: its level difference less the pair's mean difference."""
     both = a.select(*pair, centre, F.col(level).alias("_a")).join(b.select(*pair, centre, F.col(level).alias("_b")), [*pair, centre])
@@ -69,7 +83,8 @@ def band_differences(a: DataFrame, b: DataFrame, pair: Sequence[str], centre: st
 def objectives(t: str, c: str, scales: Mapping[str, float], residual_db: Column | None = None) -> dict[str, Column]:
     """Nullable named distances between two fingerprint structs (columns t and c).
 
-    What one side didn't measure drops out; an echo that only one side has is a whole unit.
+    Bands are compared where both have their centre, centroid and roll-off by their medians. What one side didn't measure
+    drops out; an echo that only one side has is a whole unit.
     """
     x, y = (lambda name: F.col(f"{t}.{name}")), (lambda name: F.col(f"{c}.{name}"))
     known = lambda v: F.coalesce(v, F.lit(0.0))
@@ -77,13 +92,10 @@ def objectives(t: str, c: str, scales: Mapping[str, float], residual_db: Column
     def term(name: str, scale: str) -> Column:
         return finite(F.abs(x(name) - y(name)) / scales[scale])
 
-    def percentiles(section: str, scale: str) -> Column:
-        return mean_of(*(term(f"{section}.{p}", scale) for p in ("p10", "p50", "p90")))
-
     def both(name: str) -> Column:
         return F.least(known(x(name)), known(y(name)))
 
-    bands = band_shape(x("spectrum.band_db"), y("spectrum.band_db")) / scales["band_db"]
+    bands = rms_about_mean(shared_differences(*(v(f"spectrum.{n}") for v in (x, y) for n in ("band_centres_hz", "band_db")))) / scales["band_db"]
     cut = lambda v: F.slice(v, 2, F.greatest(F.size(v) - 1, F.lit(0)))
     mx, my = x("cepstral.mfcc_mean"), y("cepstral.mfcc_mean")
     mfcc = F.sqrt(F.aggregate(F.zip_with(cut(mx), cut(my), lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)) / scales["mfcc"]
@@ -98,7 +110,7 @@ def objectives(t: str, c: str, scales: Mapping[str, float], residual_db: Column
     harmonic = [F.when(sure >= HARMONIC_SURE, term(f"harmonic.{n}", n) * sure) for n in ("hnr_db", "odd_even_ratio", "hf_residual_index")]
     stereo = (F.coalesce(x("source.channels"), F.lit(1)) >= 2) & (F.coalesce(y("source.channels"), F.lit(1)) >= 2)
     out = {
-        "timbre": mean_of(bands, term("spectrum.tilt_db_per_decade", "tilt_db_per_decade"), percentiles("spectrum.centroid_hz", "centroid_hz"), percentiles("spectrum.rolloff85_hz", "rolloff85_hz"), F.when(F.size(mx) == F.size(my), mfcc)),
+        "timbre": mean_of(bands, term("spectrum.tilt_db_per_decade", "tilt_db_per_decade"), term("spectrum.centroid_hz.p50", "centroid_hz"), term("spectrum.rolloff85_hz.p50", "rolloff85_hz"), F.when((F.size(mx) > 0) & (F.size(mx) == F.size(my)), mfcc)),
         "dynamics": mean_of(*(term(f"dynamics.{n}", n) for n in ("crest_db", "attack_ms", "decay_db_per_s", "lra_lu")), F.abs(spread(x) - spread(y)) / scales["rms_spread_db"]),
         "ambience": mean_of(rt60, echo, feedback, *am),
         "level": mean_of(term("source.lufs_i", "lufs_i")),
@@ -144,15 +156,67 @@ def front_of_two(rows: DataFrame, group: Sequence[str], first: str, second: str)
     return usable.withColumns({"_low": low, "_own": F.min(second).over(same)}).filter((F.col(second) == F.col("_own")) & (F.col("_low").isNull() | (F.col(second) < F.col("_low")))).drop("_low", "_own", "_rank")
 
 
-def undominated(rows: DataFrame, group: str, key: str, values: Sequence[str]) -> DataFrame:
+#: Objectives that lie no farther apart are equal.
+TOLERANCE = 1e-9
+#: How far apart two candidates of a shortlist have to be in some objective.
+DISTINCT = 0.02
+
+
+def undominated(rows: DataFrame, group: str, key: str, values: Sequence[str], tolerance: float = TOLERANCE) -> DataFrame:
     """Rows that no other of their group dominates over the objectives that both measured: none worse, one better.
 
     Such dominance isn't transitive, so all rows of a group are compared; groups are the shortlists of one run.
     """
     other = rows.select(group, F.col(key).alias("_key"), *(F.col(v).alias(f"_{v}") for v in values))
     shared = [F.col(v).isNotNull() & F.col(f"_{v}").isNotNull() for v in values]
-    worse = [F.coalesce(F.col(f"_{v}") > F.col(v), F.lit(False)) for v in values]
-    better = [F.coalesce(F.col(f"_{v}") < F.col(v), F.lit(False)) for v in values]
+    worse = [F.coalesce(F.col(f"_{v}") > F.col(v) + tolerance, F.lit(False)) for v in values]
+    better = [F.coalesce(F.col(f"_{v}") < F.col(v) - tolerance, F.lit(False)) for v in values]
     any_of = lambda cs: F.array_contains(F.array(*cs), True)
     condition = (rows[group] == other[group]) & (F.col(key) != F.col("_key")) & any_of(shared) & ~any_of(worse) & any_of(better)
     return rows.join(other, condition, "left_anti")
+
+
+def thinned(front: DataFrame, group: str, key: str, total: str, values: Sequence[str], limit: int = 5, distinct: float = DISTINCT) -> DataFrame:
+    """(group, key, place) of each group's front by total, then key, less those too near to one kept before; at most limit.
+
+    Two candidates are as far apart as in the objective where they differ most, of those that both have. Whether one is kept
+    depends on all kept before it, so a group is folded in order; the fold holds at most limit candidates.
+    """
+    row = F.struct(F.col(total).alias("t"), F.col(key).alias("k"), F.array(*(F.col(v).cast("double") for v in values)).alias("v"))
+    ordered = front.filter(F.col(total).isNotNull()).groupBy(group).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    gap = lambda a, b: F.coalesce(F.array_max(F.array_compact(F.zip_with(a, b, lambda x, y: F.abs(x - y)))), F.lit(0.0))
+    far = lambda kept, r: F.forall(kept, lambda k: gap(k["v"], r["v"]) >= distinct)
+    kept = F.aggregate("rows", F.slice("rows", 1, 0), lambda acc, r: F.when((F.size(acc) < limit) & far(acc, r), F.array_append(acc, r)).otherwise(acc))
+    return ordered.select(group, F.posexplode(kept).alias("place", "r")).select(group, F.col("r.k").alias(key), (F.col("place") + 1).alias("place"))
+
+
+def by_worst_level(levels: DataFrame, group: str, candidate: str, score: str) -> DataFrame:
+    """(group, candidate, worst, place): a shortlist by each candidate's worst score over the levels; those without one last."""
+    worst = levels.groupBy(group, candidate).agg(F.max(score).alias("worst"))
+    return worst.withColumn("place", F.row_number().over(W.partitionBy(group).orderBy(F.asc_nulls_last("worst"), candidate)))
+
+
+def level_share(weight: float, level_before: Column, level_after: Column, total_before: Column, total_after: Column) -> Column:
+    """The share of a score's change that its level term explains; null where the level is unknown or the score stood still."""
+    change = F.abs(total_after - total_before)
+    return F.when(change >= TOLERANCE, F.least(F.lit(1.0), weight * F.abs(level_after - level_before) / change)) if weight else F.lit(None).cast("double")
+
+
+def resolved(difference: Column, noise_db: Column) -> Column:
+    """Whether a band's difference is more than the noise between equal renders."""
+    return F.abs(difference) > noise_db
+
+
+#: Seconds and band levels that a reference needs to be measurable.
+LEAST_SECONDS, SILENT_DB = 1.0, -120.0
+
+
+def unmeasurable(seconds: Column, band_db: Column, lufs: Column) -> Column:
+    """Why a reference can't be matched, by the first rule that applies; null for one that can."""
+    return F.when(F.coalesce(seconds, F.lit(0.0)) < LEAST_SECONDS, "too short").when(F.array_max(band_db) < SILENT_DB, "silent").when(lufs.isNull(), "no loudness")
+
+
+def band_at(centres: Column, levels: Column, hz: Column) -> Column:
+    """The level of the band whose centre lies within half a hertz, else null."""
+    near = F.filter(F.zip_with(centres, levels, lambda c, v: F.struct(c.alias("c"), v.alias("v"))), lambda e: F.abs(e["c"] - hz) < 0.51)
+    return F.get(near, 0)["v"]

@@ -94,27 +94,127 @@ def observed(entries: DataFrame, keys: Sequence[str], value: str, order: Sequenc
     return seen.join(files, list(keys))
 
 
-def infer_kinds(entries: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """A guessed kind for each key from its values: switch, enum, fraction, metered, path or string."""
+# Key endings that name a unit, keys of selectors, and keys of positions.
+UNIT_HINTS = (
+    ("(Hpf|Lpf|HighCut|LowCut|Rate)$", "hz"),
+    (r"(EQBand\d+|MicLevel|Gain|Threshold)$", "db"),
+    ("(PreDelay|Spread|Time)$", "ms"),
+    ("Decay$", "seconds"),
+    ("Tempo$", "bpm"),
+    ("^transpose$", "semitones"),
+)
+SELECTOR_HINT, POSITION_HINT = "(Type|Mode|Note|Sync|selected[A-Z])", "(Position|Distance)$"
+
+
+def infer_kinds(entries: DataFrame, keys: Sequence[str], key: str, value: str) -> DataFrame:
+    """(keys, kind, unit, needs): a guessed kind for each parameter from its values and its key, the first rule that applies.
+
+    needs says what a person has to look at: "review" of a guessed kind, "confirmation" of a selector's members, null for a
+    switch, a path or a string.
+    """
     x, text = V.number(F.col(value)), F.col(value).cast("string")
     every = lambda c: F.bool_and(F.coalesce(c, F.lit(False)))
     a = entries.groupBy(*keys).agg(
-        every(F.lower(text).isin("true", "false")).alias("_switch"),
+        every(text.isin("true", "false")).alias("_switch"),
         every(x.isNotNull()).alias("_number"),
         every(x == F.floor(x)).alias("_whole"),
         every(x.between(0, 1)).alias("_unit"),
-        F.bool_or(text.contains("/") | text.contains("\\")).alias("_path"),
-        F.count_distinct(text).alias("_values"),
     )
+    name = F.col(key)
+    unit = F.coalesce(*(F.when(name.rlike(pattern), u) for pattern, u in UNIT_HINTS))
+    text_kind = F.when(name.contains("Path"), "path").otherwise("string")
+    a = a.withColumn("_hint", F.when(F.col("_number") & ~F.col("_switch"), unit))
     kind = (
         F.when(F.col("_switch"), "switch")
-        .when(F.col("_number") & F.col("_unit") & ~(F.col("_whole") & (F.col("_values") <= 2)), "fraction")
-        .when(F.col("_number") & F.col("_whole") & (F.col("_values") <= 12), "enum")
-        .when(F.col("_number"), "metered")
-        .when(F.col("_path"), "path")
-        .otherwise("string")
+        .when(~F.col("_number"), text_kind)
+        .when(F.col("_hint").isNotNull(), "metered")
+        .when(name.rlike(SELECTOR_HINT) & F.col("_whole"), "enum")
+        .when(F.col("_unit"), F.when(name.rlike(POSITION_HINT), "fraction").otherwise("rotation"))
+        .otherwise("metered")
     )
-    return a.select(*keys, kind.alias("kind"))
+    a = a.withColumn("kind", kind)
+    needs = F.when(F.col("kind") == "enum", "confirmation").when(F.col("kind").isin("metered", "fraction", "rotation"), "review")
+    return a.select(*keys, "kind", F.col("_hint").alias("unit"), needs.alias("needs"))
+
+
+#: Bytes of payloads that are understood, and parameters from which few distinct keys show another format.
+WIDTHS, MANY, PER_KEY = (8,), 20, 4
+
+
+def unsupported_shapes(presets: DataFrame, group: str, key: str, payload: str) -> DataFrame:
+    """(group, reason) for presets that can't be drafted: payloads of unknown widths, or far fewer keys than parameters."""
+    a = presets.groupBy(group).agg(
+        F.bool_or(~F.octet_length(payload).isin(*WIDTHS)).alias("_odd"),
+        F.count("*").alias("_n"),
+        F.count_distinct(key).alias("_keys"),
+    )
+    reason = F.when(F.coalesce("_odd", F.lit(False)), "payloads of unknown widths").when((F.col("_n") > MANY) & (F.col("_keys") * PER_KEY < F.col("_n")), "few distinct keys")
+    return a.select(group, reason.alias("reason")).filter("reason is not null")
+
+
+def shown_presets(parameters: DataFrame, specs: DataFrame, seen: DataFrame) -> DataFrame:
+    """Parameters (path, stored) with what a manifest and a catalog know of them; both sides may miss.
+
+    specs: (path, kind, unit, low, high, writable, needs_review, needs_confirmation, members map); seen: (path, observed).
+    """
+    both = parameters.join(specs, "path", "left").join(seen, "path", "left")
+    kind = F.coalesce("kind", F.lit("unknown"))
+    member = F.get(F.map_values(F.map_filter("members", lambda k, _: k == F.col("stored"))), F.lit(0))
+    display = F.coalesce(member, V.described(kind, F.col("stored"), F.col("unit")))
+    return both.select(
+        *parameters.columns, kind.alias("kind"), "unit", V.from_stored(kind, F.col("stored")).alias("human"), display.alias("display"), member.alias("member"), "low", "high",
+        (~F.coalesce("writable", F.lit(True))).alias("read_only"), F.coalesce("needs_confirmation", F.lit(False)).alias("unconfirmed"), F.coalesce("needs_review", F.lit(False)).alias("guessed"), "observed",
+    )
+
+
+def seed_values(parameters: DataFrame, dimensions: DataFrame, header: Column, pack_header: str) -> DataFrame:
+    """(preset, path, value, error) of a template's parameters (preset, path, stored) as a search begins with them.
+
+    Only dimensions (path, kind) and the selected amp take part; a value that can't be read is left out, not guessed. A preset
+    whose header is not the pack's gives one row with an error instead.
+    """
+    foreign = parameters.filter(~F.coalesce(header == pack_header, F.lit(False))).select("preset").distinct()
+    error = foreign.select("preset", F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("value"), F.lit("another pack's preset").alias("error"))
+    own = parameters.join(foreign, "preset", "left_anti")
+    known = own.join(dimensions.select("path", "kind"), "path").select("preset", "path", V.from_stored(F.col("kind"), F.col("stored")).cast("string").alias("value"))
+    amp = own.filter("path = 'selectedAmp'").select("preset", "path", F.col("stored").alias("value"))
+    seeded = known.filter("path != 'selectedAmp' and value is not null").unionByName(amp)
+    return seeded.withColumn("error", F.lit(None).cast("string")).unionByName(error)
+
+
+def entry_faults(specs: DataFrame, spec: str, text: str) -> DataFrame:
+    """(spec, place, module, key, value, error) for each entry of specs in JSON text; place is null for a fault of the whole.
+
+    The first rule that breaks is the error: no JSON object, parameters that are no list, an entry that is no object, a field
+    that is missing.
+    """
+    doc = F.try_parse_json(F.col(text))
+    rows = specs.select(spec, doc.alias("_doc"))
+    whole = F.when(F.col("_doc").isNull() | ~F.schema_of_variant("_doc").startswith("OBJECT"), "no JSON object")
+    listed = F.try_variant_get("_doc", "$.parameters", "array<variant>")
+    given = F.try_variant_get("_doc", "$.parameters", "variant")
+    whole = whole.when(given.isNotNull() & listed.isNull(), "parameters are no list")
+    rows = rows.select(spec, whole.alias("error"), listed.alias("_list"))
+    bad = rows.filter("error is not null").select(spec, F.lit(None).cast("int").alias("place"), *(F.lit(None).cast("string").alias(c) for c in ("module", "key", "value")), "error")
+    entries = rows.filter("error is null").select(spec, F.posexplode("_list").alias("place", "_e"))
+    field = lambda f: F.try_variant_get("_e", f"$.{f}", "string")
+    has = lambda f: F.coalesce(F.schema_of_variant("_e").rlike(rf"[<, ]{f}:"), F.lit(False))
+    fault = F.when(~F.coalesce(F.schema_of_variant("_e").startswith("OBJECT"), F.lit(False)), "no object")
+    for f in ("module", "key", "value"):
+        fault = fault.when(~has(f), f"no {f}")
+    return entries.select(spec, "place", field("module").alias("module"), field("key").alias("key"), field("value").alias("value"), fault.alias("error")).unionByName(bad)
+
+
+def shared_keys(entries: DataFrame, group: str, value: str) -> DataFrame:
+    """Values that every group has."""
+    groups = entries.select(group).distinct().agg(F.count("*").alias("_all"))
+    held = entries.select(group, value).distinct().groupBy(value).agg(F.count("*").alias("_n"))
+    return held.join(F.broadcast(groups), F.expr("_n = _all")).select(value)  # one row
+
+
+def dropped(before: DataFrame, after: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Distinct rows of before that after lacks; nulls are equal."""
+    return before.select(*columns).subtract(after.select(*columns))
 
 
 def latest(entries: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

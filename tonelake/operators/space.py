@@ -2,26 +2,143 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import values as V
 
 
-def exclusions(specs: DataFrame) -> DataFrame:
-    """Specs with reason, why a control isn't searched (the first that applies); null for the searchable."""
+def exclusions(specs: DataFrame, guesses: bool = False) -> DataFrame:
+    """Specs with reason, why a control isn't searched (the first that applies); null for the searchable.
+
+    members is the number of an enum's members, null or 0 where they aren't known.
+    """
     reason = (
-        F.when(F.col("kind") == "internal", "internal")
-        .when(~F.col("writable"), "read-only")
+        F.when(~F.col("writable"), "read-only")
         .when(~F.col("searchable"), "not searchable")
-        .when(F.col("needs_review"), "guessed kind")
-        .when(F.col("kind").isin("path", "string"), "text")
+        .when(F.col("kind").isin("string", "path", "internal"), "not a quantity")
+        .when(F.col("needs_review") & F.lit(not guesses), "guessed kind")
+        .when((F.col("kind") == "enum") & (F.coalesce("members", F.lit(0)) == 0), "members aren't known")
+        .when(F.col("needs_confirmation"), "members aren't confirmed")
         .when((F.col("kind") == "metered") & (F.col("low").isNull() | F.col("high").isNull()), "no range")
     )
     return specs.withColumn("reason", reason)
 
 
+# The steps of kinds and units that nobody hears or sees below.
+STEPS = {"rotation": 0.5, "fraction": 0.005, "db": 0.25, "hz": 1.0, "ms": 1.0, "bpm": 0.5, "seconds": 0.05, "semitones": 1.0}
+CONTINUOUS = ("rotation", "fraction", "metered")
+
+
+def amp_prefix(selected: Column, by_member: Column, by_name: Column) -> Column:
+    """The module prefix of an amp given as stored number, name or prefix; by_member and by_name are maps to prefixes."""
+    token = selected.cast("string")
+    return F.coalesce(F.try_element_at(by_member, token), F.try_element_at(by_name, token), F.when(F.array_contains(F.map_values(by_name), token), token))
+
+
+def owners(parameters: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """Parameters with owner, the prefix that begins their module, null for none; prefixes: (prefix), a pack's few amps.
+
+    The longest prefix that fits wins.
+    """
+    of = F.aggregate("_prefixes", F.lit(None).cast("string"), lambda best, p: F.when(F.startswith("module", p) & (F.length(p) > F.coalesce(F.length(best), F.lit(-1))), p).otherwise(best))
+    one = prefixes.agg(F.array_sort(F.collect_set("prefix")).alias("_prefixes"))
+    return parameters.join(F.broadcast(one), F.lit(True)).withColumn("owner", of).drop("_prefixes")  # one row
+
+
+def dimensions(specs: DataFrame, gate: DataFrame, owner: DataFrame, conditions: DataFrame, guesses: bool = False) -> DataFrame:
+    """The searchable controls of a manifest (path, module, key, kind, unit, low, high, members and flags), ready for a search.
+
+    Adds step, gate (a path), owner, selector and accepted (a selector's values that make the control heard). gate and
+    owner: (path, gate), (path, owner); conditions: (path, selector, accepted).
+    """
+    kept = exclusions(specs, guesses).filter("reason is null").drop("reason")
+    bounds = {"low": F.when(F.col("kind") == "rotation", 0.0).when(F.col("kind") == "fraction", 0.0).otherwise(F.col("low")), "high": F.when(F.col("kind") == "rotation", 100.0).when(F.col("kind") == "fraction", 1.0).otherwise(F.col("high"))}
+    steps = F.create_map(*(F.lit(x) for kv in STEPS.items() for x in kv))
+    step = F.try_element_at(steps, F.coalesce("unit", "kind"))
+    out = kept.withColumns(bounds).withColumn("step", step)
+    return out.join(gate, "path", "left").join(owner, "path", "left").join(conditions, "path", "left")
+
+
+def conditions(rules: DataFrame, specs: DataFrame, members: DataFrame) -> DataFrame:
+    """(path, selector, accepted, error) of rules (path, selector, member): controls that some members of a selector make heard.
+
+    A member may be given by number or label and is accepted in both spellings. A rule of an unknown control, of what is no
+    enum with members, or of an unknown member has an error.
+    """
+    named = members.select(F.col("path").alias("selector"), F.col("member").cast("string").alias("stored"), V.normal_name(F.col("label")).alias("label"))
+    asked = rules.withColumn("token", V.selector_token(F.col("member"))).join(named, "selector", "left")
+    hit = F.expr("token = stored or token = label")
+    known = specs.select("path", F.lit(True).alias("_known"))
+    enums = specs.filter("kind = 'enum'").select(F.col("path").alias("selector"), F.lit(True).alias("_enum"))
+    one = asked.groupBy("path", "selector", "token").agg(F.max(F.when(hit, F.col("stored"))).alias("stored"), F.max(F.when(hit, F.col("label"))).alias("label"), F.count("stored").alias("n"))
+    checked = one.join(known, "path", "left").join(enums, "selector", "left")
+    error = F.when(F.col("_known").isNull(), "unknown control").when(F.col("_enum").isNull() | (F.col("n") == 0), "not a selector").when(F.col("stored").isNull(), "unknown member")
+    both = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array_compact(F.array("stored", "token", "label"))))))
+    return checked.withColumn("error", error).groupBy("path", "selector").agg(both.alias("accepted"), F.max("error").alias("error"))
+
+
+def heard(dims: DataFrame, chain: DataFrame, settings: DataFrame, run: str, prefix: str) -> DataFrame:
+    """(run, path) of the controls that each run's settings (run, path, value) let reach the sound.
+
+    A control of another amp than the run's selected one (the column prefix), one whose selector has another member, and one
+    behind a gate that is off are left out; what the settings don't mention gates nothing.
+    """
+    runs = settings.select(run, prefix).distinct()
+    pairs = runs.join(F.broadcast(dims.select("path", "owner", "selector", "accepted")), F.expr(f"owner is null or owner <=> {prefix}"))  # a pack's few hundred controls
+    off = settings.filter(~V.truthy(F.col("value"))).select(run, F.col("path").alias("ancestor"))
+    gated = chain.join(off, "ancestor").select(run, F.col("node").alias("path")).distinct()
+    chosen = settings.select(run, F.col("path").alias("selector"), V.selector_token(F.col("value")).alias("_chosen"))
+    live = pairs.join(chosen, [run, "selector"], "left").filter("accepted is null or _chosen is null or array_contains(accepted, _chosen)")
+    return live.join(gated, [run, "path"], "left_anti").select(run, "path")
+
+
+def emitted(settings: DataFrame, dims: DataFrame, live: DataFrame, run: str, prefix: str) -> DataFrame:
+    """(run, parameters, error): a spec for each run, the selected amp first and then its controls by place.
+
+    Dormant controls are left out, but switches of the run's own chain are always written. Settings of an amp's controls
+    without a known amp give an error. dims: (path, place, kind, owner).
+    """
+    known = settings.join(F.broadcast(dims.select("path", "place", "kind", "owner")), "path")
+    orphan = known.filter(F.col("owner").isNotNull() & F.col(prefix).isNull()).select(run).distinct().withColumn("error", F.lit("an amp's controls without an amp"))
+    own = known.filter(f"path != 'selectedAmp' and value is not null and (owner is null or owner <=> {prefix})")
+    kept = own.join(live.withColumn("_live", F.lit(True)), [run, "path"], "left").filter("_live or kind = 'switch'")
+    amp = settings.filter("path = 'selectedAmp' and value is not null").select(run, F.lit(-1).alias("place"), "path", "value")
+    rows = kept.select(run, "place", "path", "value").unionByName(amp)
+    specs = rows.groupBy(run).agg(F.array_sort(F.collect_list(F.struct("place", "path", "value"))).alias("parameters"))
+    out = settings.select(run).distinct().join(specs, run, "left").join(orphan, run, "left")
+    return out.select(run, F.when(F.col("error").isNull(), F.coalesce("parameters", F.array().cast("array<struct<place:int,path:string,value:string>>"))).alias("parameters"), "error")
+
+
+def for_backend(settings: DataFrame, live: DataFrame, supported: DataFrame | None, run: str) -> DataFrame:
+    """The settings (run, path, value) that reach a render: live controls that the backend models, all of them for None."""
+    out = settings.filter("value is not null").join(live, [run, "path"], "left_semi")
+    return out if supported is None else out.join(F.broadcast(supported.select(F.ltrim("path", F.lit("/")).alias("path")).distinct()), "path", "left_semi")
+
+
+def idle_sections(parameters: DataFrame, gate: DataFrame) -> DataFrame:
+    """Section switches that gate nothing."""
+    used = gate.select("module", F.col("gate").alias("key")).distinct()
+    return parameters.filter("kind = 'switch' and contains(key, 'ection')").join(used, ["module", "key"], "left_anti").select("module", "key")
+
+
+def latin_hypercube(dims: DataFrame, samples: int, seed: int) -> DataFrame:
+    """(sample, path, value): samples settings of the dimensions (path, low, high, step), one in each stratum of each.
+
+    Strata are dealt to samples by a hash of seed, path and sample, and the place within a stratum by another, so that the
+    same seed gives the same settings on any cluster.
+    """
+    if samples < 1:
+        raise ValueError("at least one sample")
+    rows = dims.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+    key = lambda salt: F.xxhash64(F.lit(f"{seed}/{salt}"), "path", "sample")
+    stratum = F.row_number().over(W.partitionBy("path").orderBy(key("stratum"), "sample")) - 1
+    u = F.pmod(key("place"), F.lit(1 << 30)) / float(1 << 30)
+    x = F.col("low") + (stratum + u) / samples * (F.col("high") - F.col("low"))
+    return rows.withColumn("stratum", stratum).select("sample", "path", "stratum", V.quantised(x, F.col("step"), F.col("low"), F.col("high")).alias("value"))
+
+
 def gates(parameters: DataFrame) -> DataFrame:
     """(module, key, gate) for parameters (module, key, kind): the most specific *Active switch of the module that covers the key.
 

@@ -6,10 +6,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+#: Parts of a range of movements in which ranks are counted apart.
+PARTS = 1024
 # The mean range of n normal observations in standard deviations.
 RANGE_TO_SIGMA = {2: 1.128, 3: 1.693, 4: 2.059, 5: 2.326, 6: 2.534, 7: 2.704, 8: 2.847, 9: 2.970, 10: 3.078}
 #: Standard errors by which two candidates have to differ; shares of targets and failures that a shipped arm needs.
@@ -66,11 +68,18 @@ def movement(scores: DataFrame, path: str, score: str, baseline: Column) -> Data
 
 
 def screened(moves: DataFrame, floor: float, drop: float = 0.25) -> DataFrame:
-    """Controls above the backend's floor, less the weakest share of them, strongest first. One row per control, so few."""
+    """Controls above the backend's floor, less the weakest share of them, with their rank by movement, then path.
+
+    Ranks are counted within parts of the range of movements, of which only the numbers meet.
+    """
     kept = moves.filter(F.col("movement") > floor)
-    n = F.count("*").over(W.partitionBy())
-    rank = F.row_number().over(W.partitionBy().orderBy("movement", "path"))
-    return kept.withColumns({"_n": n, "rank": rank}).filter(F.col("rank") > F.floor(F.col("_n") * drop)).select("path", "movement", "rank")
+    ends = kept.agg(F.min("movement").alias("_low"), F.max("movement").alias("_high"), F.count("*").alias("_n"))
+    part = F.expr(f"if(_high > _low, int(least({PARTS - 1}, floor((movement - _low) / (_high - _low) * {PARTS}))), 0)")
+    placed = kept.join(F.broadcast(ends), F.lit(True)).withColumn("_part", part)  # one row
+    counts = placed.groupBy("_part").agg(F.count("*").alias("_c"))
+    before = counts.select("_part", (F.sum("_c").over(W.orderBy("_part")) - F.col("_c")).alias("_before"))  # at most PARTS rows
+    rank = (F.col("_before") + F.row_number().over(W.partitionBy("_part").orderBy("movement", "path"))).cast("int")
+    return placed.join(F.broadcast(before), "_part").withColumn("rank", rank).filter(F.col("rank") > F.floor(F.col("_n") * drop)).select("path", "movement", "rank")
 
 
 def replicates(scores: DataFrame, candidate: str, level: str, score: str) -> DataFrame:
@@ -106,18 +115,38 @@ def gram(rows: DataFrame, features: Sequence[str], targets: Sequence[str]) -> Da
 
 
 def ridge(rows: DataFrame, features: Sequence[str], target: str, alpha: float) -> tuple[np.ndarray, float]:
-    """Weights and intercept that minimise squared error plus alpha times the squared weights, from one pass of sums."""
-    g = gram(rows, features, [target]).first()
+    """Weights and intercept of a ridge fit on features of mean 0 and deviation 1, in the features' own units, from one pass of sums.
+
+    alpha penalises the squared weights of the standardised features, so that units don't matter. A feature that doesn't vary
+    gets no weight.
+    """
+    return ridge_of(gram(rows, features, [target]).first(), features, target, alpha)
+
+
+def ridge_of(g: Row, features: Sequence[str], target: str, alpha: float) -> tuple[np.ndarray, float]:
+    """ridge() from a row of gram()."""
     k, n = len(features), g["n"]
     if not n:
         return np.zeros(k), 0.0
     mean = np.array([g[f"s_{a}"] for a in features], float) / n
-    xx = np.array([[g[f"x_{features[min(i, j)]}_{features[max(i, j)]}"] for j in range(k)] for i in range(k)], float) - n * np.outer(mean, mean)
+    known = g.asDict()
+    product = lambda a, b: known[f"x_{a}_{b}"] if f"x_{a}_{b}" in known else known[f"x_{b}_{a}"]
+    xx = np.array([[product(a, b) for b in features] for a in features], float) - n * np.outer(mean, mean)
     xy = np.array([g[f"y_{a}_{target}"] for a in features], float) - mean * g[f"s_{target}"]
-    w = np.linalg.solve(xx + alpha * np.eye(k), xy)
+    w = _ridge_weights(xx, xy, n, alpha)
     return w, float(g[f"s_{target}"] / n - mean @ w)
 
 
+def _ridge_weights(xx: np.ndarray, xy: np.ndarray, n: float, alpha: float) -> np.ndarray:
+    """Weights from central sums of products: penalising standardised weights is penalising each by its feature's variance."""
+    variance = np.diag(xx) / n
+    varies = np.sqrt(np.maximum(variance, 0)) > 1e-9
+    w = np.zeros(len(xy))
+    at = np.ix_(varies, varies)
+    w[varies] = np.linalg.solve(xx[at] + alpha * np.diag(variance[varies]), xy[varies])
+    return w
+
+
 def fold_r2(rows: DataFrame, group: str, fold: Column, features: Sequence[str], target: str, folds: int, alpha: float = 0.01) -> DataFrame:
     """(group, r2): cross-validated share of variance that a ridge fit explains, from sums per group and fold.
 
@@ -143,7 +172,7 @@ def fold_r2(rows: DataFrame, group: str, fold: Column, features: Sequence[str],
                 return None
             mean = t[0, 1:] / t[0, 0]
             c = t[1:, 1:] - t[0, 0] * np.outer(mean, mean)
-            w = np.linalg.solve(c[:k, :k] + alpha * np.eye(k), c[:k, k])
+            w = _ridge_weights(c[:k, :k], c[:k, k], t[0, 0], alpha)
             v = np.concatenate(([-(mean[k] - mean[:k] @ w)], -w, [1.0]))
             res += v @ own @ v
         tss = total[-1, -1] - total[0, -1] ** 2 / total[0, 0]

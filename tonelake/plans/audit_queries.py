@@ -123,12 +123,12 @@ def told_bands(spark: SparkSession, sf: str) -> DataFrame:
     return A.told_bands(b, "vec_id", "band").select("vec_id", "band", "place")
 
 
-@query("""SELECT event_id, concat_ws('; ', CASE WHEN event_type = 'view' THEN 'the instrument isn''t isolated' END, CASE WHEN k < 50 THEN 'distortion is unmeasured' END, CASE WHEN k < 30 THEN 'no delay repeat' END, CASE WHEN k < 40 THEN 'reverberation is uncertain' END, CASE WHEN k % 3 < 2 THEN 'mono: width isn''t measured' END) AS notes
+@query("""SELECT event_id, concat_ws('; ', CASE WHEN event_type = 'view' THEN 'the instrument isn''t isolated' END, CASE WHEN k < 50 THEN 'distortion is unmeasured' END, CASE WHEN k < 30 THEN 'no delay repeat' END, CASE WHEN k < 40 THEN 'reverberation is uncertain' END, CASE WHEN k % 2 = 0 AND k < 75 THEN 'the amplitude modulation may be the rate of the notes' END, CASE WHEN k % 7 < 2 THEN 'mono: width isn''t measured' END, CASE WHEN k % 7 > 5 THEN 'loudness was metered on the fold of all channels' END) AS notes
 FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)""")
 def measurement_notes(spark: SparkSession, sf: str) -> DataFrame:
     t = trials(spark, sf)
     c = F.col("k") / 100.0
-    return t.select(F.col("trial").alias("event_id"), F.array_join(A.caveats(F.when(F.col("kind") == "view", "mix"), c, c, c, F.col("k") % 3), "; ").alias("notes"))
+    return t.select(F.col("trial").alias("event_id"), F.array_join(A.caveats(F.when(F.col("kind") == "view", "mix"), c, c, c, F.col("k") % 7, F.when(F.col("k") % 2 == 0, 5.0), c), "; ").alias("notes"))
 
 
 @query(f"""WITH {_BANDS}, f AS (SELECT *, x > -0.1 AS ok FROM b), g AS (SELECT vec_id, sum(CAST(NOT ok AS INTEGER)) OVER (PARTITION BY vec_id ORDER BY band) AS lo, sum(CAST(NOT ok AS INTEGER)) OVER (PARTITION BY vec_id ORDER BY band DESC) AS hi FROM f)

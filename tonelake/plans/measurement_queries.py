@@ -135,7 +135,7 @@ def pareto_front(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""WITH c AS (SELECT o_custkey AS g, o_orderkey AS k, CASE WHEN o_orderstatus != 'P' THEN o_totalprice END AS x, CASE WHEN o_orderpriority < '4' THEN -o_totalprice % 1000 END AS y FROM orders)
-SELECT g AS o_custkey, k AS o_orderkey FROM c a WHERE NOT EXISTS (SELECT 1 FROM c b WHERE a.g = b.g AND a.k != b.k AND ((a.x IS NOT NULL AND b.x IS NOT NULL) OR (a.y IS NOT NULL AND b.y IS NOT NULL)) AND NOT coalesce(b.x > a.x, false) AND NOT coalesce(b.y > a.y, false) AND (coalesce(b.x < a.x, false) OR coalesce(b.y < a.y, false)))""")
+SELECT g AS o_custkey, k AS o_orderkey FROM c a WHERE NOT EXISTS (SELECT 1 FROM c b WHERE a.g = b.g AND a.k != b.k AND ((a.x IS NOT NULL AND b.x IS NOT NULL) OR (a.y IS NOT NULL AND b.y IS NOT NULL)) AND NOT coalesce(b.x > a.x + 1e-9, false) AND NOT coalesce(b.y > a.y + 1e-9, false) AND (coalesce(b.x < a.x - 1e-9, false) OR coalesce(b.y < a.y - 1e-9, false)))""")
 def pareto_with_gaps(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.expr("CASE WHEN o_orderstatus != 'P' THEN o_totalprice END AS x"), F.expr("CASE WHEN o_orderpriority < '4' THEN -o_totalprice % 1000 END AS y"))
     return C.undominated(o, "o_custkey", "o_orderkey", ["x", "y"]).select("o_custkey", "o_orderkey")
@@ -252,7 +252,7 @@ def gram_sums(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""WITH f AS (SELECT DISTINCT l_suppkey FROM lineitem), x AS (SELECT l_suppkey AS s, l_orderkey % 5 AS fold, l_quantity AS x, l_extendedprice AS y FROM lineitem),
-t AS (SELECT a.s, a.fold, regr_slope(b.y, b.x) * regr_sxx(b.y, b.x) / (regr_sxx(b.y, b.x) + 0.01) AS w, avg(b.x) AS mx, avg(b.y) AS my FROM (SELECT DISTINCT s, fold FROM x) a JOIN x b ON a.s = b.s AND a.fold != b.fold GROUP BY a.s, a.fold),
+t AS (SELECT a.s, a.fold, regr_slope(b.y, b.x) / (1 + 0.01 / count(*)) AS w, avg(b.x) AS mx, avg(b.y) AS my FROM (SELECT DISTINCT s, fold FROM x) a JOIN x b ON a.s = b.s AND a.fold != b.fold GROUP BY a.s, a.fold),
 e AS (SELECT x.s, sum((x.y - my - w * (x.x - mx)) ** 2) AS res FROM x JOIN t ON x.s = t.s AND x.fold = t.fold GROUP BY x.s), v AS (SELECT s, count(*) * var_pop(y) AS tss FROM x GROUP BY s)
 SELECT e.s AS l_suppkey, round(1 - res / tss, 5) AS r2 FROM e JOIN v ON e.s = v.s""")
 def cross_validated_r2(spark: SparkSession, sf: str) -> DataFrame:
@@ -384,16 +384,6 @@ def worst_bands(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("vec_id", F.col("i").cast("bigint").alias("band"), F.row_number().over(W.partitionBy("vec_id").orderBy("i")).alias("place"))
 
 
-@query("""SELECT dim, k AS sample, CAST(row_number() OVER (PARTITION BY dim ORDER BY md5(CAST(dim AS VARCHAR) || ':' || CAST(k AS VARCHAR))) - 1 AS INTEGER) AS stratum FROM (SELECT unnest(range(0, 64)) AS k), (SELECT p_size AS dim FROM part GROUP BY p_size)""")
-def latin_hypercube_strata(spark: SparkSession, sf: str) -> DataFrame:
-    """A permutation of the samples' strata for each dimension, by a hash: one sample in each stratum of each dimension."""
-    from pyspark.sql import Window as W
-
-    d = table(spark, sf, "part").select(F.col("p_size").alias("dim")).distinct().select("dim", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("sample"))
-    order = F.md5(F.concat_ws(":", F.col("dim").cast("string"), F.col("sample").cast("string")))
-    return d.select("dim", F.col("sample").cast("bigint").alias("sample"), (F.row_number().over(W.partitionBy("dim").orderBy(order)) - 1).alias("stratum"))
-
-
 @query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, CAST(json_extract_string(props, '$.k') AS DOUBLE) * value AS product, length(props) AS n FROM events""")
 def nested_numbers(spark: SparkSession, sf: str) -> DataFrame:
     k = F.get_json_object("props", "$.k")

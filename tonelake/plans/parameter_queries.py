@@ -101,12 +101,6 @@ def observed_catalog(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("l_partkey", F.array_join("observed", ",").alias("observed"), "files")
 
 
-@query("""SELECT l_partkey, CASE WHEN bool_and(l_tax = 0) THEN 'enum' WHEN bool_and(l_tax BETWEEN 0 AND 1) THEN 'fraction' END AS tax_kind FROM lineitem GROUP BY l_partkey""")
-def infer_kinds(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "lineitem").select("l_partkey", F.col("l_tax").cast("string").alias("v"))
-    return P.infer_kinds(e, ["l_partkey"], "v").withColumnRenamed("kind", "tax_kind")
-
-
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_returnflag AS value, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 END AS member FROM lineitem""")
 def enum_resolution(spark: SparkSession, sf: str) -> DataFrame:
     members = spark.createDataFrame([("flag", 0, " a "), ("flag", 1, "N")], "path string, member int, label string")
@@ -120,12 +114,6 @@ def amp_templates(spark: SparkSession, sf: str) -> DataFrame:
     return P.expand_prefix(p, F.expr("CASE WHEN p_size % 2 = 0 THEN p_brand END")).select("p_partkey", "module", "error")
 
 
-@query(f"""SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN 'read-only' WHEN p_size % 3 = 0 THEN 'not searchable' WHEN p_size % 11 = 0 THEN 'guessed kind' END AS reason FROM part""")
-def excluded_dimensions(spark: SparkSession, sf: str) -> DataFrame:
-    s = _specs(spark, sf).withColumn("searchable", F.expr("cast(high as int) % 3 != 0"))
-    return S.exclusions(s).select(F.col("path").alias("p_partkey"), "reason")
-
-
 @query("""WITH p AS (SELECT p_brand AS module, p_name || '/' || CAST(p_partkey AS VARCHAR) AS key, p_size % 3 = 0 AS sw, left(p_name, 3) AS stem FROM part), k AS (SELECT DISTINCT module, CASE WHEN sw THEN stem || 'Active' ELSE key END AS key, sw FROM p),
 s AS (SELECT module, key AS gate, left(key, length(key) - 6) AS stem FROM k WHERE sw)
 SELECT k.module, k.key, max(gate) AS gate FROM k JOIN s ON k.module = s.module WHERE NOT k.sw AND starts_with(k.key, s.stem) GROUP BY k.module, k.key""")
