@@ -11,7 +11,7 @@ from .decontamination import op3
 from .embedding_dedup import op8
 from .mixing import op4
 from .ngram_join import op9
-from .secrets import op6
+from .secrets import op6, secrets_base
 from .sharding import op1
 from .token_counts import op10
 from .toxicity import op2
@@ -28,6 +28,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_dedup": op8,
     "op9_ngram_jaccard_join": op9,
     "op10_token_counts": op10,
+    "secrets_base": secrets_base,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -57,4 +58,33 @@ g AS (SELECT id, len(s) AS n, unnest(s) AS s FROM nodes), p AS (SELECT a.id AS x
 links AS (SELECT x, y FROM p WHERE 100 * c >= 80 * (n - c)), {_COMPONENTS}, r AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node)
 SELECT id AS doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id FROM nodes JOIN r ON node = id"""
 
-ORACLE_SQL: dict[str, str] = {"op5_warc": _WARC, "op7_chat": _CHAT, "op8_embedding_dedup": _VECTORS, "op9_ngram_jaccard_join": _SHINGLES}
+_CRC_TABLE = "list_transform(range(0, 256), lambda n: list_reduce(list_prepend(n, range(0, 8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+
+# The capacity by binary search, a greedy step at a time; the least ends that leave room for the shards after; the cuts.
+_SHARDS = f"""WITH RECURSIVE d AS (SELECT doc_id, text, strlen(coalesce(text, '')) + 1 AS size, sha256(coalesce(text, chr(0))) AS digest, hex(encode(coalesce(text, ''))) AS h FROM documents), c AS (SELECT {_CRC_TABLE} AS crc),
+g AS (SELECT digest, sum(size) AS size FROM d GROUP BY digest), p AS (SELECT digest, size, CAST(sum(size) OVER (ORDER BY digest) AS BIGINT) AS prefix FROM g), t AS (SELECT max(prefix) AS total, CAST(max(size) AS BIGINT) AS largest FROM p), b AS (SELECT prefix FROM p UNION ALL SELECT 0),
+s AS (SELECT greatest(-(-total // 16), largest) AS low, -(-total // 16) + largest AS high, 0 AS k, 0::BIGINT AS place FROM t UNION ALL
+SELECT CASE WHEN ended AND nxt < total THEN mid + 1 ELSE low END, CASE WHEN ended AND nxt >= total THEN mid ELSE high END, CASE WHEN ended THEN 0 ELSE k + 1 END, CASE WHEN ended THEN 0 ELSE nxt END
+FROM (SELECT *, nxt >= total OR nxt = place OR k = 15 AS ended FROM (SELECT low, high, k, place, total, (low + high) // 2 AS mid, max(prefix) FILTER (prefix <= place + (low + high) // 2) AS nxt FROM s, t, b WHERE low < high GROUP BY low, high, k, place, total))),
+cap AS (SELECT min(low) AS cap FROM s WHERE low = high), l AS (SELECT 15 AS k, total AS v FROM t UNION ALL SELECT k - 1, min(prefix) FILTER (prefix >= greatest(0, v - cap)) FROM l, cap, b WHERE k > 0 GROUP BY k, v),
+x AS (SELECT -1 AS k, 0::BIGINT AS place UNION ALL SELECT k + 1, greatest(place, v, least(CASE WHEN goal - below <= above - goal THEN below ELSE above END, top)) FROM (SELECT x.k, place, l.v, place + (total - place) // (15 - x.k) AS goal, max(prefix) FILTER (prefix <= place + (total - place) // (15 - x.k)) AS below,
+min(prefix) FILTER (prefix >= place + (total - place) // (15 - x.k)) AS above, max(prefix) FILTER (prefix <= place + cap) AS top FROM x JOIN l ON l.k = x.k + 1, t, cap, b WHERE x.k < 14 GROUP BY x.k, place, l.v, total)),
+o AS (SELECT d.*, (SELECT CAST(count(*) AS INTEGER) FROM x WHERE x.k >= 0 AND x.place < p.prefix) AS shard FROM d JOIN p USING (digest))
+SELECT doc_id, CAST(size AS BIGINT) AS size, CASE WHEN text IS NOT NULL THEN xor(list_reduce(list_prepend(4294967295, list_transform(range(0, strlen(h) // 2), lambda i: CAST(CAST('0x' || h[2 * i + 1:2 * i + 2] AS INTEGER) AS BIGINT))), lambda a, v: xor(a >> 8, crc[xor(a, v) % 256 + 1])), 4294967295) END AS text_crc32, 'bytes' AS law, shard,
+row_number() OVER (PARTITION BY shard ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id, digest) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM o, c"""
+
+_NAMES = "|".join("".join(f"[{x.upper()}{x}]" if x.isalpha() else x for x in name) for name in ("password", "passwd", "secret", "token", "api_?key"))
+_FOUND = {
+    "assign": (rf"(?s)(.*?)((?:{_NAMES})[\x22']?\x20*[:=]\x20*[\x22']?([A-Za-z0-9+/_.=-]+))".replace("'", "''"), 8),
+    "access": (r"(?s)(.*?)((AKIA[A-Z0-9]+))", 16),
+    "hex": (r"(?s)(.*?)(([0-9a-f]+))", 32),
+}
+_KIND = " UNION ALL ".join(
+    f"SELECT doc_id, {k} AS kind, '{name}' AS name, {least} AS least, regexp_extract_all(t, '{pattern}', 1) AS gaps, regexp_extract_all(t, '{pattern}', 2) AS hits, regexp_extract_all(t, '{pattern}', 3) AS vals FROM d" for k, (name, (pattern, least)) in enumerate(_FOUND.items())
+)
+# A match ends where the gaps and matches up to it end.
+_SECRETS = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS ({_KIND}), x AS (SELECT doc_id, kind, name, least, unnest(gaps) AS gap, unnest(hits) AS hit, unnest(vals) AS val, generate_subscripts(hits, 1) AS i FROM m),
+e AS (SELECT *, CAST(sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS BIGINT) AS e FROM x), k AS (SELECT *, e - length(hit) AS s FROM e WHERE length(val) >= least)
+SELECT d.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, sha256(coalesce(string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, kind), '')) AS base_sha256 FROM d LEFT JOIN k ON d.doc_id = k.doc_id GROUP BY d.doc_id"""
+
+ORACLE_SQL: dict[str, str] = {"op1_sharding": _SHARDS, "secrets_base": _SECRETS, "op5_warc": _WARC, "op7_chat": _CHAT, "op8_embedding_dedup": _VECTORS, "op9_ngram_jaccard_join": _SHINGLES}

@@ -155,14 +155,16 @@ def assign_shards(df: DataFrame, shards: int = SHARDS, text: str = "text", key:
     """Adds _size, _crc, _digest, shard and slot to every row of df (columns of these names are replaced).
 
     Equal texts share a shard; the largest shard is as small as a contiguous partition of the groups in digest order can
-    make it. Slots number a shard's rows from 0 without gaps. A null text is of size 1 and forms one group with other null
-    texts. Repeated rows are kept, each with its own slot. An empty table gives an empty result.
+    make it; within that, cuts lie as near to equal shares as the capacity allows. Slots number a shard's rows from 0 without
+    gaps, in the order of a digest of the key. A null text is of size 1, forms one group with other null texts and has a null
+    _crc. Repeated rows are kept, each with its own slot, and rows without a key stand anywhere in their shard. An empty table
+    gives an empty result.
     """
     return _assign(with_content(df.drop("_size", "_crc", "_digest", "shard", "slot"), text), shards, key)
 
 
 def _assign(content: DataFrame, shards: int, key: str, order: str | None = None) -> DataFrame:
-    """Slots stand in the order of the column order, where one is given, or of a hash."""
+    """Slots stand in the order of the column order, where one is given, or of a digest of the key."""
     sums = materialize(prefix_sums(content.select("_size", "_digest")), "prefix_sums")
     _, cuts = plan_cuts(sums, shards)
     ends = {r.prefix: bytes(r._digest) for r in sums.filter(F.col("prefix").isin(cuts)).select("prefix", "_digest").collect()}
@@ -170,20 +172,22 @@ def _assign(content: DataFrame, shards: int, key: str, order: str | None = None)
     for c in cuts:
         shard = shard + (F.lit(1) if c == 0 else (F.col("_digest") > F.lit(ends[c])).cast("int"))
     ranges = BUCKETS // shards
-    spread = F.pmod(F.xxhash64(key, "_digest"), F.lit(ranges))
+    # Rows without a key can't be told apart but by their texts, so that they may stand anywhere and are dealt round.
+    content = content.withColumn("_key", F.md5(F.col(key).cast("string")))
+    spread = F.expr(f"if(_key is null, pmod(monotonically_increasing_id(), {ranges}), bigint(conv(substr(_key, 1, 4), 16, 10)) * {ranges} div 65536)")
     if order:
         end = (content.agg(F.max(order)).first()[0] or 0) + 1
         spread = F.expr(f"{order} * {ranges} div {end}")
     placed = content.withColumns({"shard": shard, "_range": spread.cast("int")})
     counts = materialize(placed.groupBy("shard", "_range").count(), "counts")
     first = counts.select("shard", "_range", (F.sum("count").over(W.partitionBy("shard").orderBy("_range")) - F.col("count")).alias("_first"))
-    within = F.row_number().over(W.partitionBy("shard", "_range").orderBy(*([order] if order else []), key, "_digest"))
+    within = F.row_number().over(W.partitionBy("shard", "_range").orderBy(*([order] if order else []), "_key", key, "_digest"))
     # At most BUCKETS rows are broadcast.
     return (
         placed.withColumn("_within", within)
         .join(F.broadcast(first), ["shard", "_range"])
         .withColumn("slot", (F.col("_first") + F.col("_within") - 1).cast("long"))
-        .drop("_range", "_first", "_within")
+        .drop("_range", "_first", "_within", "_key")
     )
 
 
@@ -193,7 +197,10 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shard_rows(docs: DataFrame) -> DataFrame:
-    """The shard, slot and content digests of every document, without its text; the text is read once."""
+    """The shard, slot and content digests of every document, without its text; the text is read once.
+
+    Null texts have a size of 1 and a null text_crc32; see assign_shards() for ties, repeats and empty tables.
+    """
     content = materialize(with_content(docs.select("doc_id", "text")).drop("text"), "content")
     return _assign(content, SHARDS, "doc_id").select(
         "doc_id",
