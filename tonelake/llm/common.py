@@ -52,6 +52,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written() -> int:
+    """How many written tables stand in the list of this process."""
+    return len(_written)
+
+
 def delete_tables(spark: SparkSession, since: int = 0, keep: str = "") -> None:
     """Deletes the tables written since so many stood in the list, but for the one below the folder keep.
 

@@ -178,12 +178,23 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 PLACES = "tonelake.mix"
 
 
+def slots_of(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> int:
+    """About how many slots a mix of the documents has, one at least: blocks of block_bytes and a started one for each source."""
+    sized = docs.agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 1).alias("n"), F.approx_count_distinct("source").alias("sources")).first()
+    return max(1, (sized.n or 0) // block_bytes + sized.sources)
+
+
 def mixed(docs: DataFrame) -> DataFrame:
-    """The documents with their columns, written in the order of the mix."""
+    """The documents with their columns, in the order of the mix within each partition and from one to the next.
+
+    Null texts count as one byte, and a null source is a source of its own. Equal rows each have their place. An empty table
+    gives no rows; columns of the mix's names are kept as they are.
+    """
     own = {c: f"own of {c}" if c in ("_source", "block", "phase", "slot") else c for c in docs.columns}
     placed = mix(docs.withColumnsRenamed(own))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = placed.repartitionByRange(n, "slot", "doc_id").sortWithinPartitions("slot", "doc_id")
+    # Slots are bytes, nearly, so that equal runs of them are parts of equal size: no sampling is needed to cut them.
+    ordered = placed.repartitionById(n, F.expr(f"int(least({n - 1}, slot * {n} div {slots_of(docs)}))")).sortWithinPartitions("slot", "doc_id")
     return ordered.select(*(F.col(f"`{x}`").alias(c) for c, x in own.items()))
 
 
