@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import struct
 import wave
 
 import numpy as np
@@ -260,3 +261,83 @@ def test_stream(spark, tmp_path):
     for _ in range(2):
         stream.append_new(log.select("run", "trial"), f"{tmp_path}/out", ["trial"], f"{tmp_path}/cp{_}").awaitTermination(120)
     assert sorted(r.trial for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [1, 2, 3]
+
+
+def test_records_of_frames_and_rows_of_bins_agree(spark):
+    rng = np.random.default_rng(3)
+    clips = [(k, (rng.normal(size=9000) * 10.0 ** -rng.integers(0, 3)).tolist()) for k in range(4)]
+    df = spark.createDataFrame(clips, "clip long, samples array<double>")
+    rate = 48_000
+    got = {r.clip: r for r in signals.fingerprints(df, rate).collect()}
+    heard = signals.sounding(signals.frame_levels(signals.frames(df)).filter("level > -200"))
+    bins = signals.spectra(heard.select("clip", "frame", "samples"), rate).cache()
+    bands = signals.band_energies(bins)
+    for r in bands.groupBy("clip").agg(F.sort_array(F.collect_list(F.struct("band_hz", "db"))).alias("b")).collect():
+        assert [x.band_hz for x in r.b] == got[r.clip].spectrum.band_centres_hz
+        assert [x.db for x in r.b] == pytest.approx(got[r.clip].spectrum.band_db)
+    for r in signals.tilt(bands).collect():
+        assert r.tilt_db_per_decade == pytest.approx(got[r.clip].spectrum.tilt_db_per_decade)
+    for r in signals.spectral_statistics(bins).collect():
+        for c in ("centroid_hz", "rolloff85_hz", "flatness"):
+            assert tuple(r[c]) == pytest.approx(tuple(got[r.clip].spectrum[c]))
+    flux = {(r.clip, r.frame): r.flux for r in signals.flux(bins).collect()}
+    assert {(r.clip, r.frame): r.flux for r in signals.frame_records(df, rate).filter("heard").collect()} == pytest.approx(flux)
+
+
+def plain_peaks(x, height, distance, prominence):
+    at = []
+    for i in range(1, len(x) - 1):
+        j = i
+        while j + 1 < len(x) and x[j + 1] == x[i]:
+            j += 1
+        if x[i - 1] < x[i] and j + 1 < len(x) and x[j + 1] < x[i] and x[i] >= height:
+            at.append((i + j) // 2)
+    kept = []
+    for p in sorted(at, key=lambda p: (-x[p], -p)):
+        if all(abs(p - q) >= distance for q in kept):
+            kept.append(p)
+
+    def out_of(p):
+        low = []
+        for step in (-1, 1):
+            k, least = p + step, x[p]
+            while 0 <= k < len(x) and x[k] <= x[p]:
+                least, k = min(least, x[k]), k + step
+            low.append(least)
+        return x[p] - max(low)
+
+    return sorted(p for p in kept if out_of(p) >= prominence)
+
+
+def test_peaks(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, rng.integers(0, 9, size=rng.integers(0, 60)).astype(float).tolist()) for k in range(120)] + [(900, None), (901, [])]
+    df = spark.createDataFrame(rows, "k int, x array<double>")
+    got = df.select("k", "x", signals.peaks(F.col("x"), 2.0, 4, 1.5).alias("p"))
+    for r in got.select("*", signals.strongest_peaks(F.col("x"), F.col("p"), 3).alias("s")).collect():
+        want = plain_peaks(r.x, 2.0, 4, 1.5) if r.x is not None else None
+        assert r.p == want
+        assert want is None or r.s == sorted(want, key=lambda p: (-r.x[p], p))[:3]
+
+
+def test_numbers_in_presets(spark):
+    data = b"Header\x00" + b"gain\x00\x01\x09\x04" + struct.pack("<d", 2.5) + b"\x00" + b"odd\x00\x01\x09\x06abcdefgh\x00"
+    raw = presets.tokenize(data)
+    df = spark.createDataFrame([("p", i, bytearray(a), b, bytearray(c), None if d is None else bytearray(d)) for i, (a, b, c, d) in enumerate(raw)], presets.TOKENS)
+    shown = {r.idx: r.x for r in df.select("idx", presets.double_text(F.col("payload")).alias("x")).collect()}
+    assert shown[2] == "2.5" and shown[0] is None
+    changed = presets.set_numbers(df, spark.createDataFrame([("p", 2, -0.125)], "preset_id string, idx int, new double"))
+    assert bytes(presets.assemble(changed).first().content) == data.replace(struct.pack("<d", 2.5), struct.pack("<d", -0.125))
+    with pytest.raises(Exception, match="no double"):
+        presets.set_numbers(df, spark.createDataFrame([("p", 0, 1.0)], "preset_id string, idx int, new double")).collect()
+
+
+def test_records_of_parameters(spark):
+    text = lambda s: bytes([1, len(s) + 2, 5]) + s + b"\x00"
+    number = b"value\x00\x01\x09\x04" + struct.pack("<d", 0.75) + b"\x00"
+    data = b"Header\x00" + b"3PARAM\x00\x01\x02id\x00" + text(b"eqBand1") + number + b"PARAM\x00\x01\x01id\x00" + text(b"alone") + b"PARAM\x00\x01\x02id\x00" + text(b"last") + number
+    raw = presets.tokenize(data)
+    assert b"".join(a + (d if d is not None else b.encode()) + c for a, b, c, d in raw) == data
+    df = spark.createDataFrame([("p", i, bytearray(a), b, bytearray(c), None if d is None else bytearray(d)) for i, (a, b, c, d) in enumerate(raw)], presets.TOKENS)
+    got = [(r.ord, r.id, r.stored, r.number) for r in presets.param_records(df).orderBy("ord").collect()]
+    assert got == [(0, "eqBand1", "0.75", 0.75), (1, "alone", None, None), (2, "last", "0.75", 0.75)]

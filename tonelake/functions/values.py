@@ -18,8 +18,9 @@ def number(text: Column) -> Column:
 
 def number_text(x: Column) -> Column:
     """Plain decimal text with up to ten decimals, no trailing zeros and no exponent."""
-    text = F.regexp_replace(x.cast("decimal(38,10)").cast("string"), r"\.?0+$", "")
-    return F.when(x == F.floor(x), F.floor(x).cast("decimal(38,0)").cast("string")).otherwise(text)
+    long = F.when(x.isNotNull(), F.format_string("%.0f", x.cast("double")))  # beyond what a decimal holds there is no fraction left
+    text = F.coalesce(F.regexp_replace(x.try_cast("decimal(38,10)").cast("string"), r"\.?0+$", ""), long)
+    return F.when(x == F.floor(x), F.coalesce(F.floor(x).try_cast("decimal(38,0)").cast("string"), long)).otherwise(text)
 
 
 def as_switch(text: Column) -> Column:

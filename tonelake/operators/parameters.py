@@ -62,8 +62,9 @@ def validate(entries: DataFrame, specs: DataFrame, allow_outside: bool = False)
     below the unit's floor, outside the range (a warning where that is allowed).
     """
     e = entries.join(specs, "path", "left")
-    stored = V.to_stored(F.col("kind"), F.col("value"), F.col("encoding"))
-    x = V.number(stored)
+    # A column of its own, that rules and outputs read instead of working it out again.
+    e = e.withColumn("_stored", V.to_stored(F.col("kind"), F.col("value"), F.col("encoding"))).withColumn("_x", V.number(F.col("_stored")))
+    stored, x = F.col("_stored"), F.col("_x")
     out = V.outside(x, F.col("low"), F.col("high"))
     error = (
         F.when(F.col("kind").isNull(), "unknown")
@@ -73,7 +74,8 @@ def validate(entries: DataFrame, specs: DataFrame, allow_outside: bool = False)
         .when(out & F.lit(not allow_outside), "outside the range")
     )
     warnings = F.array_compact(F.array(F.when(F.col("needs_review"), "guessed kind"), F.when(out & F.lit(allow_outside), "outside the range")))
-    return e.select(*entries.columns, F.when(error.isNull(), stored).alias("stored"), error.alias("error"), warnings.alias("warnings"))
+    e = e.withColumns({"_error": error, "_warnings": warnings})
+    return e.select(*entries.columns, F.when(F.col("_error").isNull(), stored).alias("stored"), F.col("_error").alias("error"), F.col("_warnings").alias("warnings"))
 
 
 def differences(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str, tolerance: float) -> DataFrame:

@@ -10,7 +10,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -177,20 +178,126 @@ def primary_onsets(starts: DataFrame, gap: int, clip: str = "clip", frame: str =
     return starts.withColumn("_b", before).filter(F.col("_b").isNull() | (F.col(frame) - F.col("_b") > gap)).drop("_b")
 
 
+def frame_records(clips: DataFrame, rate: int, size: int = FRAME, hop: int = HOP, gate_db: float = GATE_DB) -> DataFrame:
+    """(clip, frame, level, heard, peak, bands, centroid_hz, rolloff85_hz, flatness, flux) of each frame above the floor.
+
+    A frame is one row whatever its number of bins: its power is summed in bands where it is transformed, and bands without a
+    bin are null. Frames that aren't heard have a level only; flux is the growth of magnitudes since the heard frame before.
+    """
+    prepare(clips.sparkSession)
+    window = np.hanning(size + 1)[:-1]
+    hz = np.arange(size // 2 + 1) * rate / size
+    third = np.full(len(hz), -99)
+    third[1:] = np.round(3 * np.log2(hz[1:] / 1000.0))
+    inside = (third >= -14) & (third <= 13)
+    held = np.bincount(third[inside] + 14, minlength=len(BANDS)) > 0
+    names = ["clip", "frame", "level", "heard", "peak", "bands", "centroid_hz", "rolloff85_hz", "flatness", "flux"]
+
+    def measured(x: np.ndarray) -> dict[str, list]:
+        n = max(0, (len(x) - size) // hop + 1)
+        rows = np.lib.stride_tricks.sliding_window_view(x, size)[::hop][:n] if n else np.empty((0, size))
+        level = 10 * np.log10(np.maximum((rows * rows).mean(1), 1e-30)) if n else np.empty(0)
+        at = np.flatnonzero(level > -200)
+        heard = at[level[at] > level[at].max() - gate_db] if len(at) else at
+        out = {c: [None] * len(at) for c in names[5:]}
+        place, before = {f: k for k, f in enumerate(at.tolist())}, None
+        for f in heard.tolist():
+            p = np.abs(np.fft.rfft(rows[f] * window)) ** 2 / max(window @ window, 1e-30)
+            k, own = place[f], p[1:]
+            sums = np.bincount(third[inside] + 14, weights=p[inside], minlength=len(BANDS))
+            out["bands"][k] = [float(s) if h else None for s, h in zip(sums, held, strict=True)]
+            if (total := own.sum()) > 0:
+                out["centroid_hz"][k] = float(hz[1:] @ own / total)
+                out["rolloff85_hz"][k] = float(hz[1:][np.searchsorted(np.cumsum(own), 0.85 * total)])
+                out["flatness"][k] = float(np.exp(np.log(np.maximum(own, 1e-30)).mean()) / own.mean())
+            m = np.sqrt(p)
+            out["flux"][k] = float(np.maximum(m - before, 0).sum()) if before is not None else 0.0
+            before = m
+        chosen = set(heard.tolist())
+        return {"frame": at.tolist(), "level": level[at].tolist(), "heard": [f in chosen for f in at.tolist()], "peak": [float(np.abs(x).max())] * len(at) if len(at) else []} | out
+
+    kinds = [pa.int32(), pa.float64(), pa.bool_(), pa.float64(), pa.list_(pa.float64()), *[pa.float64()] * 4]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, samples in enumerate(b.column("samples")):
+                made = measured(samples.values.to_numpy(zero_copy_only=False).astype(float) if samples.is_valid else np.empty(0))
+                n = len(made["frame"])
+                clip = b.column("clip").take(pa.array([k] * n, pa.int32()))
+                yield pa.RecordBatch.from_arrays([clip, *(pa.array(made[c], kind) for c, kind in zip(names[1:], kinds, strict=True))], names)
+
+    kind = clips.schema["clip"].dataType.simpleString()
+    schema = f"clip {kind}, frame int, level double, heard boolean, peak double, bands array<double>, centroid_hz double, rolloff85_hz double, flatness double, flux double"
+    return clips.select("clip", "samples").mapInArrow(rows, schema)
+
+
+def slope_of(points: Column) -> Column:
+    """The least-squares slope of an array of (x, y) structs; null without two different x."""
+    total = lambda f: F.aggregate(points, F.lit(0.0), lambda s, p: s + f(p["x"], p["y"]))
+    n, sx, sy = F.size(points), total(lambda x, y: x), total(lambda x, y: y)
+    sxx, sxy = total(lambda x, y: x * x), total(lambda x, y: x * y)
+    width = n * sxx - sx * sx
+    return F.when(width > 0, (n * sxy - sx * sy) / width)
+
+
 def fingerprints(clips: DataFrame, rate: int) -> DataFrame:
     """(clip, spectrum, dynamics, onsets): the measured record of each clip (clip, samples), from its sounding frames.
 
     Silence has no sounding frame above the floor and so no record: it isn't measured rather than zero.
     """
-    levels = frame_levels(frames(clips)).filter("level > -200")
-    heard = sounding(levels)
-    bins = spectra(heard.select("clip", "frame", "samples"), rate)
-    bands = band_energies(bins)
-    curve = bands.groupBy("clip").agg(F.array_sort(F.collect_list(F.struct("band_hz", "db"))).alias("b"))  # at most one row for each band
-    spectrum = curve.join(tilt(bands), "clip").join(spectral_statistics(bins), "clip")
-    spectrum = spectrum.select("clip", F.struct(F.col("b.band_hz").alias("band_centres_hz"), F.col("b.db").alias("band_db"), "tilt_db_per_decade", "centroid_hz", "rolloff85_hz", "flatness").alias("spectrum"))
-    peak = clips.select("clip", F.array_max(F.transform("samples", lambda x: F.abs(x.cast("double")))).alias("peak"))
-    energy = levels.groupBy("clip").agg((10 * F.log10(F.avg(F.pow(F.lit(10.0), F.col("level") / 10)))).alias("mean_db"), _percentiles("level"))
-    dynamics = energy.join(peak, "clip").select("clip", F.struct((20 * F.log10(F.greatest("peak", F.lit(1e-12))) - F.col("mean_db")).alias("crest_db"), F.col("level").alias("rms_percentiles_db")).alias("dynamics"))
-    hits = onsets(flux(bins)).groupBy("clip").agg(F.count("*").alias("onsets"))
-    return spectrum.join(dynamics, "clip").join(hits, "clip", "left")
+    f = frame_records(clips, rate)
+    heard = lambda c: F.when(F.col("heard"), c)
+    shape = ("centroid_hz", "rolloff85_hz", "flatness")
+    bands = [F.struct(F.lit(hz).alias("hz"), F.when(F.count(F.col("bands")[k]) > 0, 10 * F.log10(F.greatest(F.avg(F.col("bands")[k]), F.lit(1e-30)))).alias("db")) for k, hz in enumerate(BANDS)]
+    peaks = F.max("peak").alias("peak")
+    a = f.groupBy("clip").agg(
+        F.array(*bands).alias("b"), peaks, (10 * F.log10(F.avg(F.pow(F.lit(10.0), F.col("level") / 10)))).alias("mean_db"), _percentiles("level"), *(_percentiles(c) for c in shape)
+    )
+    a = a.withColumn("b", F.filter("b", lambda e: e["db"].isNotNull()))
+    tilted = slope_of(F.transform("b", lambda e: F.struct(F.log10(e["hz"]).alias("x"), e["db"].alias("y"))))
+    hits = onsets(f.filter("heard").select("clip", "frame", "flux")).groupBy("clip").agg(F.count("*").alias("onsets"))
+    return a.join(hits, "clip", "left").select(
+        "clip",
+        F.struct(F.col("b.hz").alias("band_centres_hz"), F.col("b.db").alias("band_db"), tilted.alias("tilt_db_per_decade"), *shape).alias("spectrum"),
+        F.struct((20 * F.log10(F.greatest("peak", F.lit(1e-12))) - F.col("mean_db")).alias("crest_db"), F.col("level").alias("rms_percentiles_db")).alias("dynamics"),
+        "onsets",
+    )
+
+
+def peaks(values: Column, height: float, distance: int, prominence: float) -> Column:
+    """Places (from 0) of an array's peaks: local maxima (a plateau's middle) of at least the height, of which none of two
+    closer than distance but the higher is kept (the later of equals), and which stand out of their surroundings by the prominence."""
+
+    def picked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in batches:
+            yield pd.Series([peak_places(np.asarray(x, float), height, distance, prominence) if x is not None else None for x in b])
+
+    prepare(SparkSession.getActiveSession())
+    return F.pandas_udf(picked, "array<int>")(values)
+
+
+def peak_places(x: np.ndarray, height: float, distance: int, prominence: float) -> list[int]:
+    """peaks() of one array; a small helper."""
+    edge = np.flatnonzero(np.diff(x) != 0) + 1
+    first, last = np.concatenate(([0], edge)), np.concatenate((edge, [len(x)])) - 1
+    level = x[first] if len(x) else x
+    top = [k for k in range(1, len(level) - 1) if level[k - 1] < level[k] > level[k + 1] and level[k] >= height]
+    at = [int((first[k] + last[k]) // 2) for k in top]
+    keep = np.ones(len(at), bool)
+    for k in sorted(range(len(at)), key=lambda k: (x[at[k]], k), reverse=True):
+        if keep[k]:
+            for j in range(len(at)):
+                keep[j] &= j == k or abs(at[j] - at[k]) >= distance
+    out = []
+    for p in (p for p, k in zip(at, keep, strict=True) if k):
+        left, right = x[:p][::-1], x[p + 1 :]
+        valley = [float(s[: np.argmax(s > x[p])].min(initial=x[p])) if (s > x[p]).any() else float(s.min(initial=x[p])) for s in (left, right)]
+        if x[p] - max(valley) >= prominence:
+            out.append(p)
+    return out
+
+
+def strongest_peaks(values: Column, places: Column, most: int = 6) -> Column:
+    """The places of the highest peaks, highest first, then earliest."""
+    ranked = F.array_sort(F.transform(places, lambda p: F.struct((-F.get(values, p)).alias("v"), p.alias("p"))))
+    return F.slice(F.transform(ranked, lambda e: e["p"]), 1, most)

@@ -10,8 +10,9 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -121,12 +122,52 @@ def set_values(token_rows: DataFrame, changes: DataFrame) -> DataFrame:
     return both.withColumns({"raw_prefix": F.when(F.col("new").isNotNull(), prefix).otherwise(F.col("raw_prefix")), "value": F.coalesce("new", "value")}).drop("new")
 
 
-def double_text(payload) -> object:
-    """A double's payload as plain text; a small helper for display."""
+def double_text(payload: Column) -> Column:
+    """A double's payload (8 bytes, the least significant first) as plain text; null for other widths and for non-numbers."""
     prepare(SparkSession.getActiveSession())
 
-    @F.udf("double")
-    def value(b: bytes | None) -> float | None:
-        return struct.unpack("<d", b)[0] if b and len(b) == 8 else None
+    @F.pandas_udf("double")
+    def value(b: pd.Series) -> pd.Series:
+        return b.map(lambda x: struct.unpack("<d", x)[0] if x is not None and len(x) == 8 else None).astype("float64")
 
-    return number_text(value(payload))
+    x = value(payload)
+    return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), number_text(x))
+
+
+def double_payload(x: Column) -> Column:
+    """The 8 bytes that hold a number, the least significant first; null for null."""
+    prepare(SparkSession.getActiveSession())
+
+    @F.pandas_udf("binary")
+    def packed(v: pd.Series) -> pd.Series:
+        return v.map(lambda y: None if pd.isna(y) else struct.pack("<d", y)).astype(object)
+
+    return packed(x.cast("double"))
+
+
+def set_numbers(token_rows: DataFrame, changes: DataFrame) -> DataFrame:
+    """Tokens with the numbers of binary values at (preset_id, idx) replaced; their width stays, whatever the number.
+
+    A change of a token without an 8-byte payload stops the query.
+    """
+    both = token_rows.join(changes.select("preset_id", "idx", "new"), ["preset_id", "idx"], "left")
+    fits = F.when(F.col("new").isNull(), F.col("payload")).when(F.octet_length("payload") == 8, double_payload(F.col("new")))
+    checked = F.when(F.col("new").isNotNull() & ~F.coalesce(F.octet_length("payload") == 8, F.lit(False)), F.raise_error(F.lit("no double stands there")).cast("binary")).otherwise(fits)
+    return both.withColumn("payload", checked).drop("new")
+
+
+def param_records(token_rows: DataFrame) -> DataFrame:
+    """(preset_id, ord, id, stored, number): the PARAM records of presets that name parameters by a field of a record.
+
+    A record is the token PARAM, perhaps with a counting byte before its name, then id and its text, then perhaps value and a
+    text or a double. A record without a value is a row with null stored.
+    """
+    w = W.partitionBy("preset_id").orderBy("idx")
+    text = F.regexp_replace("value", "^[\\x01-\\x1f]+", "")  # counting bytes
+    is_record = F.coalesce(text.rlike("^[\\x21-\\x7e]?PARAM$"), F.lit(False))
+    t = token_rows.withColumns({"record": F.sum(is_record.cast("int")).over(w), "next": F.lead("value").over(w), "next_payload": F.lead("payload").over(w)})
+    t = t.filter("record > 0")
+    first = lambda name, c: F.min(F.when(text == name, F.struct("idx", c.alias("v"))))
+    out = t.groupBy("preset_id", "record").agg(first("id", F.col("next")).alias("i"), first("value", F.col("next")).alias("s"), first("value", F.col("next_payload")).alias("p"))
+    number = double_text(F.col("p.v"))
+    return out.filter("i is not null").select("preset_id", (F.col("record") - 1).alias("ord"), F.col("i.v").alias("id"), F.coalesce(number, F.col("s.v")).alias("stored"), number.try_cast("double").alias("number"))

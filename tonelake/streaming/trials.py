@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+#: Identities of a batch that may be broadcast to the rows already there; beyond it both sides shuffle.
+BATCH_IDS = 1_000_000
+
 
 def read_log(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1000) -> DataFrame:
     """Rows appended to a folder of Parquet files."""
@@ -31,16 +34,19 @@ def windowed(trials: DataFrame, time: str, width: str, late: str, *keys: str) ->
 
 
 def append_new(events: DataFrame, path: str, identity: list[str], checkpoint: str) -> StreamingQuery:
-    """Appends identities that the folder doesn't hold yet, one row for each; a batch that runs again adds nothing."""
+    """Appends identities that the folder doesn't hold yet, one row for each; a batch that runs again adds nothing.
+
+    Only the folder's identities are read, and only the batch's rows meet them.
+    """
 
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         new = batch.dropDuplicates(identity)
-        try:
-            new = new.join(spark.read.parquet(path).select(*identity), identity, "left_anti")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+            kept = spark.read.schema(new.schema).parquet(path).select(*identity)
+            known = kept.join(F.broadcast(new.select(*identity)) if new.count() <= BATCH_IDS else new.select(*identity), identity, "left_semi")
+            new = new.join(known.distinct(), identity, "left_anti")
         new.write.mode("append").parquet(path)
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
