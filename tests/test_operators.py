@@ -341,3 +341,39 @@ def test_records_of_parameters(spark):
     df = spark.createDataFrame([("p", i, bytearray(a), b, bytearray(c), None if d is None else bytearray(d)) for i, (a, b, c, d) in enumerate(raw)], presets.TOKENS)
     got = [(r.ord, r.id, r.stored, r.number) for r in presets.param_records(df).orderBy("ord").collect()]
     assert got == [(0, "eqBand1", "0.75", 0.75), (1, "alone", None, None), (2, "last", "0.75", 0.75)]
+
+
+def test_mel_filters():
+    f = signals.mel_filters(48_000, 2048)
+    assert f.shape == (40, 1025) and f.min() >= 0 and f.max() <= 1
+    at = f.argmax(1)
+    assert all(a <= b for a, b in zip(at, at[1:])) and f[-1, 1024] == 0
+
+
+def test_same_structures(spark):
+    same = lambda a, b: one(spark, V.same_array(F.lit(a).cast("array<double>"), F.lit(b).cast("array<double>")))
+    assert same([1.0, 2.0], [1.0 + 1e-12, 2.0]) and not same([1.0], [1.0, 2.0]) and not same([1.0], [1.1]) and not same([NAN], [NAN])
+    m = lambda **kw: F.create_map(*(F.lit(x) for kv in kw.items() for x in kv))
+    assert one(spark, V.same_map(m(a="1.0", b="x"), m(b="x", a="1"))) is True and one(spark, V.same_map(m(a="1"), m(b="1"))) is False
+    assert one(spark, V.same_map(m(a="x"), m(a="y"))) is False
+    assert one(spark, V.rotated(F.array(*map(F.lit, [1, 2, 3])), F.lit(-1))) == [3, 1, 2] and one(spark, V.rotated(F.array().cast("array<int>"), F.lit(2))) == []
+    assert one(spark, V.script_safe(F.lit("</script>&"))) == "\\u003c/script\\u003e\\u0026"
+    assert one(spark, V.number_text(F.lit(1e40))) == "1" + "0" * 40 or one(spark, V.number_text(F.lit(1e40))).startswith("1000000")
+
+
+def test_warm_start_refuses(spark):
+    from tonelake.operators import warmstart
+
+    df = spark.createDataFrame([(1.0, 2.0, 0.5), (2.0, 2.0, 0.75), (4.0, 2.0, 1.0)], "x double, flat double, y double")
+    model = warmstart.fit(df, ["x", "flat"], [warmstart.Control("y", 0.0, 1.0)], 1e-6)
+    assert model.features == ("x",)
+    out = spark.createDataFrame([(2.0,), (None,), (9.0,)], "x double").select(*(c.alias(n) for n, c in warmstart.predicted(model).items())).collect()
+    assert out[1].y is None and out[2].clipped_fraction == 1.0 and 0 <= out[2].y <= 1
+    with pytest.raises(ValueError, match="width"):
+        warmstart.fit(df, ["x"], [warmstart.Control("y", 1.0, 1.0)])
+    with pytest.raises(ValueError, match="varies"):
+        warmstart.fit(df, ["flat"], [warmstart.Control("y", 0.0, 1.0)])
+    with pytest.raises(ValueError, match="alpha"):
+        warmstart.fit(df, ["x"], [warmstart.Control("y", 0.0, 1.0)], 0.0)
+    with pytest.raises(ValueError, match="two"):
+        warmstart.fit(df.limit(1), ["x"], [warmstart.Control("y", 0.0, 1.0)])

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.levels import bell, butterworth_db
 from ..session import prepare
@@ -81,7 +82,25 @@ def time_settings(delay_ms: Column, delay_confidence: Column, feedback: Column,
 
 def corrected(baseline: Column, correction: Column, low: Column, high: Column) -> Column:
     """An absolute control from a baseline and a correction, within the control's range; null without a baseline."""
-    return F.least(F.greatest(baseline + correction, low), high)
+    wanted = baseline + correction
+    return F.when(wanted.isNotNull(), F.least(F.greatest(wanted, low), high))
+
+
+def absolute_bands(corrections: DataFrame, settings: DataFrame, run: str, control: str) -> DataFrame:
+    """(run, control, value, note) of the fitted bands' absolute settings; notes stand for what couldn't be done.
+
+    corrections: (run, control, change, low, high); settings: (run, control, current, eq_on). A band that isn't moved is left
+    out where the equaliser is on already; where the corrections turn it on, all bands are written from neutral, so that stored
+    values of a bypassed equaliser don't sound. A band without a stored value is left for the search.
+    """
+    both = corrections.join(settings, [run, control], "left")
+    on = F.coalesce(F.bool_and("eq_on").over(W.partitionBy(run)), F.lit(False))
+    moves = F.coalesce(F.max((F.col("change") != 0).cast("int")).over(W.partitionBy(run)) == 1, F.lit(False))
+    x = both.withColumns({"_on": on, "_moves": moves}).filter("_moves and not (coalesce(change, 0) = 0 and _on)")
+    wanted = F.coalesce("change", F.lit(0.0)) + F.when(F.col("_on"), F.col("current")).when(F.col("current").isNotNull(), 0.0)
+    held = F.least(F.greatest(wanted, "low"), F.col("high"))
+    note = F.when(wanted.isNull(), "no stored value").when(F.abs(held - wanted) > 0.005, "held at the range's end")
+    return x.select(run, control, F.when(wanted.isNotNull(), F.round(held, 2)).alias("value"), note.alias("note"))
 
 
 def linear_slope(rows: DataFrame, group: Sequence[str], gain: str, level: str) -> DataFrame:

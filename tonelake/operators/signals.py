@@ -231,6 +231,51 @@ def frame_records(clips: DataFrame, rate: int, size: int = FRAME, hop: int = HOP
     return clips.select("clip", "samples").mapInArrow(rows, schema)
 
 
+def corners(centres: Column, levels: Column, drop_db: float = 6.0) -> Column:
+    """A struct (low_hz, high_hz) of the outermost bands within drop_db of the loudest, placed between bands by the logarithm of
+    frequency; null for fewer than six bands."""
+    top = F.array_max(levels)
+    inside = F.filter(F.sequence(F.lit(0), F.greatest(F.size(levels) - 1, F.lit(0))), lambda k: F.get(levels, k) >= top - drop_db)
+
+    def crossing(k: Column, outside: Column) -> Column:
+        span = F.get(levels, k) - F.get(levels, outside)
+        share = (F.get(levels, k) - (top - drop_db)) / span
+        hz = F.pow(F.lit(10.0), F.log10(F.get(centres, k)) + share * (F.log10(F.get(centres, outside)) - F.log10(F.get(centres, k))))
+        return F.when((outside >= 0) & (outside < F.size(centres)) & (span > 0), hz).otherwise(F.get(centres, k))
+
+    low, high = F.array_min(inside), F.array_max(inside)
+    return F.when(F.size(centres) >= 6, F.struct(crossing(low, low - 1).alias("low_hz"), crossing(high, high + 1).alias("high_hz")))
+
+
+def mel(hz: Column) -> Column:
+    return 2595.0 * F.log10(1.0 + hz / 700.0)
+
+
+def from_mel(m: Column) -> Column:
+    return 700.0 * (F.pow(F.lit(10.0), m / 2595.0) - 1.0)
+
+
+def mel_filters(rate: int, size: int, count: int = 40, low: float = 30.0, high: float = 16_000.0) -> np.ndarray:
+    """Triangular filters (filter, bin) with corners at whole bins, evenly spaced in mels."""
+    high = min(high, rate / 2.0)
+    ends = 2595.0 * np.log10(1.0 + np.array([low, high]) / 700.0)
+    hz = 700.0 * (10.0 ** (np.linspace(*ends, count + 2) / 2595.0) - 1.0)
+    at = np.clip((size + 1) * hz // rate, 0, size // 2).astype(int)
+    k = np.arange(size // 2 + 1)
+    left, mid, right = at[:-2, None], at[1:-1, None], at[2:, None]
+    sound = (left < mid) & (mid < right)
+    up = (k >= left) & (k < mid) & sound
+    down = (k >= mid) & (k < right) & sound
+    return np.where(up, (k - left) / np.maximum(mid - left, 1), 0.0) + np.where(down, (right - k) / np.maximum(right - mid, 1), 0.0)
+
+
+def tones(requests: DataFrame, rate: int) -> DataFrame:
+    """Adds samples to requests (hz, amplitude, n): a sine of n samples from phase zero."""
+    step = 2 * np.pi / rate
+    wave = F.transform(F.sequence(F.lit(0), F.greatest(F.col("n"), F.lit(1)).cast("int") - 1), lambda k: F.col("amplitude") * F.sin(step * F.col("hz") * k))
+    return requests.withColumn("samples", F.when(F.col("n") > 0, wave).otherwise(F.array().cast("array<double>")))
+
+
 def slope_of(points: Column) -> Column:
     """The least-squares slope of an array of (x, y) structs; null without two different x."""
     total = lambda f: F.aggregate(points, F.lit(0.0), lambda s, p: s + f(p["x"], p["y"]))

@@ -202,3 +202,23 @@ def stable_dedupe(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The first row of each key, with its place among the kept ones within the order."""
     n = F.row_number().over(W.partitionBy(key).orderBy(*order))
     return rows.withColumn("_n", n).filter("_n = 1").drop("_n")
+
+
+def choices(dims: DataFrame, supported: DataFrame | None = None) -> DataFrame:
+    """(path, positions, kind): the discrete controls that can be enumerated, two positions for a switch and one for each member."""
+    out = dims.filter("kind = 'switch' or (kind = 'enum' and members > 0)")
+    out = out if supported is None else out.join(supported, "path", "left_semi")
+    return out.select("path", F.when(F.col("kind") == "switch", 2).otherwise(F.col("members")).alias("positions"), F.when(F.col("kind") == "switch", "switch").otherwise("selector").alias("kind"))
+
+
+def enumeration(asked: DataFrame, known: DataFrame, run: str, budget: str, least: int = 1) -> DataFrame:
+    """(run, combinations, each, error) of the controls (run, path, budget) that runs ask to enumerate.
+
+    each is the renders left for a combination. Repeated or unknown controls, and budgets that leave fewer than least, are errors.
+    """
+    a = asked.join(known, "path", "left").groupBy(run).agg(
+        F.count("*").alias("n"), F.count_distinct("path").alias("paths"), F.count("positions").alias("found"), F.product(F.coalesce("positions", F.lit(1))).cast("long").alias("combinations"), F.max(budget).alias("b")
+    )
+    each = F.floor(F.col("b") / F.col("combinations")).cast("long")
+    error = F.when(F.col("n") > F.col("paths"), "a control twice").when(F.col("found") < F.col("n"), "not a choice").when(each < least, "too small a budget")
+    return a.select(run, "combinations", F.when(error.isNull(), each).alias("each"), error.alias("error"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,3 +78,47 @@ def numeric_leaves(documents: DataFrame, key: str, json: str = "json") -> DataFr
 def write_summaries(rows: DataFrame, path: str) -> None:
     """One JSON object a row."""
     rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).write.text(path)
+
+
+ATLAS_DOCUMENT = "schema string, sample_count int, renderer struct<reproducible:boolean>, measurement_caveat string, dimensions array<string>, achievable_ranges map<string,struct<min:double,max:double>>, entries array<struct<settings:map<string,double>,fingerprint:string>>"
+
+
+def atlas_faults(documents: DataFrame, key: str, json: str, schema: str, features: Sequence[str]) -> DataFrame:
+    """(key, faults): every rule of an atlas that a document in JSON text breaks; none for a sound one.
+
+    The rules: its schema, as many entries as it says, whether its renderer reproduces and what it says if not, unique
+    dimensions, finite ranges of known features, and entries that set every dimension.
+    """
+    d = documents.select(key, F.from_json(json, ATLAS_DOCUMENT).alias("d")).select(key, "d.*")
+    ranges = F.map_entries("achievable_ranges")
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
+    sound = lambda e: finite(e["value"]["min"]) & finite(e["value"]["max"]) & (e["value"]["min"] <= e["value"]["max"])
+    whole = lambda e: F.array_sort(F.map_keys(e["settings"])).eqNullSafe(F.array_sort("dimensions"))
+    ok = lambda c: F.coalesce(c, F.lit(False))
+    repeats = F.col("renderer.reproducible")
+    rules = [
+        ("schema", F.col("schema") == schema),
+        ("sample count", F.size("entries") == F.col("sample_count")),
+        ("renderer", repeats.isNotNull()),
+        ("caveat", repeats.isNull() | repeats | (F.length("measurement_caveat") > 0)),
+        ("dimensions", (F.size("dimensions") > 0) & (F.size(F.array_distinct("dimensions")) == F.size("dimensions"))),
+        ("unknown feature", F.size(F.array_except(F.map_keys("achievable_ranges"), F.array(*map(F.lit, features)))) == 0),
+        ("range", F.forall(ranges, lambda e: ok(sound(e)))),
+        ("settings", F.forall("entries", lambda e: ok(whole(e)))),
+    ]
+    return d.select(key, F.array_compact(F.array(*(F.when(~ok(c), name) for name, c in rules))).alias("faults"))
+
+
+def profiles(rows: DataFrame, json: str) -> DataFrame:
+    """(profile, part, name, value): weights and scales of loss profiles in JSON text, as a table."""
+    kind = "map<string,struct<weights:map<string,double>,scales:map<string,double>>>"
+    one = rows.select(F.explode(F.from_json(json, kind)).alias("profile", "p"))
+    part = lambda name: one.select("profile", F.lit(name).alias("part"), F.explode(f"p.{name}").alias("name", "value"))
+    return part("weights").unionByName(part("scales"))
+
+
+def same_provenance(runs: DataFrame, atlases: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
+    """(key, field, ran, measured) wherever a run's renderer isn't that of its atlas; null differs from a value."""
+    both = runs.select(key, *(F.col(f).cast("string").alias(f"_a_{f}") for f in fields)).join(atlases.select(key, *(F.col(f).cast("string").alias(f"_b_{f}") for f in fields)), key)
+    rows = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"_a_{f}").alias("ran"), F.col(f"_b_{f}").alias("measured")) for f in fields))
+    return both.select(key, F.inline(rows)).filter("not (ran <=> measured)")
