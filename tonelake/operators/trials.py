@@ -54,3 +54,8 @@ def appendable(new: DataFrame, parents: DataFrame, parent: str, existing: DataFr
     """New rows whose parent exists and whose key isn't there yet, one for each key: what a log without constraints may append."""
     kept = new.join(parents.select(parent).distinct(), parent, "left_semi").join(existing.select(*keys).distinct(), keys, "left_anti")
     return kept.dropDuplicates(keys)
+
+
+def verdicts_with_trials(verdicts: DataFrame, trials: DataFrame, key: str) -> DataFrame:
+    """Verdicts with the columns of the trials that they judge; those of no known trial are left out."""
+    return verdicts.join(trials, key)

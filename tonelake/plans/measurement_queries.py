@@ -91,7 +91,7 @@ def convergence_best(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT doc_id AS trial_id, quality AS choice, source AS run, n_chars FROM labels JOIN documents USING (doc_id)""")
 def verdict_join(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").select("doc_id", "source", "n_chars")
-    return table(spark, sf, "labels").join(d, "doc_id").select(F.col("doc_id").alias("trial_id"), F.col("quality").alias("choice"), F.col("source").alias("run"), "n_chars")
+    return T.verdicts_with_trials(table(spark, sf, "labels"), d, "doc_id").select(F.col("doc_id").alias("trial_id"), F.col("quality").alias("choice"), F.col("source").alias("run"), "n_chars")
 
 
 @query("""SELECT l_orderkey, count(*) AS rows FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus != 'P') GROUP BY l_orderkey""")

@@ -70,7 +70,7 @@ CASE kind WHEN 'switch' THEN CASE q WHEN 1 THEN 'on' END WHEN 'rotation' THEN CA
 def translate_kinds(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "lineitem").join(_specs(spark, sf), F.col("l_partkey") == F.col("path"))
     stored = V.to_stored(F.col("kind"), F.col("l_quantity").cast("bigint").cast("string"))
-    e = e.withColumn("stored", stored).filter("true")
+    e = e.withColumn("stored", stored)
     known = F.col("stored").isNotNull()
     return e.select("l_orderkey", "l_linenumber", "kind", F.when(known, V.from_stored(F.col("kind"), F.col("stored"))).alias("human"), F.when(known, V.described(F.col("kind"), F.col("stored"), F.col("unit"))).alias("label"))
 
@@ -242,11 +242,9 @@ def union_dedupe_stable(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'A' EXCEPT SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R'""")
 def dropped_values(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "lineitem")
-    return e.filter("l_returnflag = 'A'").select("l_orderkey").subtract(e.filter("l_returnflag = 'R'").select("l_orderkey"))
+    return P.dropped(e.filter("l_returnflag = 'A'"), e.filter("l_returnflag = 'R'"), ["l_orderkey"])
 
 
 @query("""SELECT l_partkey FROM lineitem GROUP BY l_partkey HAVING count(DISTINCT l_returnflag) = (SELECT count(DISTINCT l_returnflag) FROM lineitem)""")
 def shared_by_all(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "lineitem").select("l_partkey", "l_returnflag").distinct()
-    n = e.select("l_returnflag").distinct().count()  # flags, a handful
-    return e.groupBy("l_partkey").count().filter(F.col("count") == n).select("l_partkey")
+    return P.shared_keys(table(spark, sf, "lineitem"), "l_returnflag", "l_partkey")
