@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .parameters import ordered_union
+
 #: How much a score may rise and not count as worse, and the correlation from which an alignment is trusted.
 WORSE, TRUSTED = 5e-4, 0.3
 
@@ -106,3 +108,31 @@ def detrended(x: DataFrame, group: str, order: str, value: str, reach: int) -> D
     held = x.withColumn("_around", around)
     median = F.expr("(get(_around, (size(_around) - 1) div 2) + get(_around, size(_around) div 2)) / 2")
     return held.withColumn("above", F.col(value) - median).drop("_around")
+
+
+def neutral_settings(paths: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(path, control, value, fault): the flat state in which a signal path's bands are measured.
+
+    paths has path, settings (a map), switches and bands (arrays of controls), highpass and lowpass (a control or null); ranges
+    has control, low and high. Switches are on and bands at zero, the high-pass at its lowest and the low-pass at its highest,
+    each over the path's own settings. A filter without a declared end has a null value and the fault "no declared range".
+    """
+    listed = lambda c, value: paths.select("path", F.explode(c).alias("control")).select("path", "control", F.lit(value).alias("value"), F.lit(None).cast("string").alias("fault"))
+
+    def filters(column: str, end: str) -> DataFrame:
+        own = paths.filter(F.col(column).isNotNull()).select("path", F.col(column).alias("control"))
+        known = ranges.select("control", F.col(end).cast("double").alias("e"))
+        return own.join(known, "control", "left").select("path", "control", F.col("e").cast("string").alias("value"), F.when(F.col("e").isNull(), "no declared range").alias("fault"))
+
+    own = paths.select("path", F.explode("settings").alias("control", "value")).withColumn("fault", F.lit(None).cast("string"))
+    layers = ordered_union(own, listed("switches", "true"), listed("bands", "0.0"), filters("highpass", "low"), filters("lowpass", "high"))
+    last = layers.groupBy("path", "control").agg(F.max_by(F.struct("value", "fault"), "layer").alias("e"))
+    return last.select("path", "control", "e.value", "e.fault")
+
+
+def topology_keys(settings: DataFrame, *facts: str) -> DataFrame:
+    """(path, key): a digest of each path's settings (path, control, value) in the order of controls, and of further columns."""
+    pair = F.struct("control", F.coalesce(F.col("value").cast("string"), F.lit("")).alias("value"))
+    held = settings.groupBy("path", *facts).agg(F.array_sort(F.collect_list(pair)).alias("s"))
+    text = F.array_join(F.transform("s", lambda e: F.concat(e["control"], F.lit("="), e["value"])), "\n")
+    return held.select("path", F.sha2(F.concat_ws("\n", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in facts), text), 256).alias("key"))
