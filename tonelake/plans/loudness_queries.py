@@ -85,3 +85,30 @@ def _neutral(spark: SparkSession, sf: str) -> DataFrame:
     paths = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("path"), settings.alias("settings"), *(v.alias(k) for k, v in lists.items()))
     ranges = table(spark, sf, "nation").filter("n_nationkey = 0").select(F.lit("hp").alias("control"), F.lit(20.0).alias("low"), F.lit(500.0).alias("high"))
     return K.neutral_settings(paths, ranges)
+
+
+@query("""WITH s AS (SELECT s_suppkey AS audition, 4 + s_suppkey % 3 AS n, -20.0 - s_suppkey % 5 AS l, -6.0 + s_suppkey % 7 AS p, s_suppkey % 4 = 0 AS swapped FROM supplier WHERE s_suppkey % 11 != 0), t AS (SELECT *, -23.0 - greatest(0, p - 23 - l + 1, -6 - 23 + 25 + 1) AS target FROM s),
+k AS (SELECT *, unnest(range(0, 6)) AS k FROM t) SELECT audition, k AS place, ['Reference', 'A', 'B', 'Reference', 'A', 'B'][k + 1] AS label, round((k * n + (k - CAST(k > 2 AS INTEGER)) * 2 + CAST(k > 2 AS INTEGER) * 5) / 10.0, 6) AS start_s, CASE WHEN swapped THEN 'B' ELSE 'A' END AS first_label, round(target, 6) AS target_lufs, 6 * n + 13 AS samples,
+round((CASE WHEN k % 3 = 0 THEN 0.5 * pow(10, (target - l) / 20) WHEN (k % 3 = 1) != swapped THEN 0.25 * pow(10, (target + 25) / 20) ELSE 0.125 * pow(10, (target + 25) / 20) END), 6) AS heard FROM k""")
+def audition_timeline(spark: SparkSession, sf: str) -> DataFrame:
+    n, known = F.expr("4 + s_suppkey % 3"), F.expr("s_suppkey % 11 != 0")
+    role = F.explode(F.array(*map(F.lit, ("reference", "first", "second"))))
+    s = table(spark, sf, "supplier").select("s_suppkey", n.alias("n"), known.alias("known"), role.alias("role"))
+    mine = F.col("role") == "reference"
+    sources = s.select(
+        F.col("s_suppkey").alias("audition"), "role", F.array_repeat(F.expr("CASE role WHEN 'reference' THEN 0.5D WHEN 'first' THEN 0.25D ELSE 0.125D END"), F.col("n").cast("int")).alias("samples"),
+        F.when(F.col("known"), F.when(mine, F.expr("-20D - s_suppkey % 5")).otherwise(-25.0)).alias("lufs"), F.when(mine, F.expr("-6D + s_suppkey % 7")).otherwise(-6.0).alias("peak_db"),
+    )
+    out = G.auditions(sources, F.col("audition") % 4 == 0, 10, 0.2, 0.5).filter("fault is null")
+    heard = F.round(F.get("montage", F.round(F.col("t.start_s") * 10).cast("int")), 6)
+    lined = out.select("audition", F.posexplode("timeline").alias("place", "t"), "first_label", F.round("target_lufs", 6).alias("target_lufs"), F.size("montage").alias("samples"), "montage")
+    return lined.select("audition", "place", "t.label", "t.start_s", "first_label", "target_lufs", "samples", heard.alias("heard"))
+
+
+@query("""WITH e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, coalesce(abs(value), 0) AS x FROM events), m AS (SELECT *, x - avg(x) OVER (PARTITION BY user_id) AS y, count(*) OVER (PARTITION BY user_id) AS n FROM e),
+v AS (SELECT user_id, sum(y * y) AS energy FROM m WHERE n >= 32 GROUP BY user_id), r AS (SELECT a.user_id, b.i - a.i AS lag, sum(a.y * b.y) AS c FROM m a JOIN m b ON a.user_id = b.user_id AND b.i - a.i BETWEEN 6 AND 29 GROUP BY ALL), t AS (SELECT user_id, max_by(lag, c / energy) AS lag, max(c / energy) AS r FROM r JOIN v USING (user_id) WHERE energy > 0 GROUP BY user_id)
+SELECT user_id, CASE WHEN r >= 0.1 THEN round(60 * 20.0 / lag, 2) END AS bpm FROM v LEFT JOIN t USING (user_id)""")
+def beats(spark: SparkSession, sf: str) -> DataFrame:
+    strengths = F.transform(F.array_sort(F.collect_list(F.struct("event_id", F.coalesce(F.abs("value"), F.lit(0.0)).alias("x")))), lambda e: e["x"])
+    e = table(spark, sf, "events").groupBy("user_id").agg(strengths.alias("flux")).filter(F.size("flux") >= 32)
+    return e.select("user_id", G.tempo(F.col("flux"), 20.0).alias("bpm"))
