@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from math import pi, sqrt
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..session import prepare
 from .parameters import ordered_union
 
 #: How much a score may rise and not count as worse, and the correlation from which an alignment is trusted.
@@ -136,3 +139,32 @@ def topology_keys(settings: DataFrame, *facts: str) -> DataFrame:
     held = settings.groupBy("path", *facts).agg(F.array_sort(F.collect_list(pair)).alias("s"))
     text = F.array_join(F.transform("s", lambda e: F.concat(e["control"], F.lit("="), e["value"])), "\n")
     return held.select("path", F.sha2(F.concat_ws("\n", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in facts), text), 256).alias("key"))
+
+
+def principal_axes(rows: DataFrame, group: str, features: Sequence[str], count: int = 3) -> DataFrame:
+    """(group, axis, variance, loadings) of the axes of largest variance, loadings in the order of the features.
+
+    The sample covariances are one aggregation; only their matrix, a row for each group, is decomposed. Of an axis' loadings the
+    largest in size is positive. A group of one row has no axes; a feature that is null everywhere counts as constant.
+    """
+    n = len(features)
+    upper = [(a, b) for a in range(n) for b in range(a, n)]
+
+    def axes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for matrices in batches:
+            out = []
+            for cells in matrices:
+                m = np.zeros((n, n))
+                for (a, b), c in zip(upper, cells, strict=True):
+                    m[a, b] = m[b, a] = c
+                values, vectors = np.linalg.eigh(m)
+                best = np.argsort(-values, kind="stable")[:count]
+                turned = [vectors[:, k] * np.sign(vectors[np.argmax(np.abs(vectors[:, k])), k]) for k in best]
+                out.append([{"variance": float(values[k]), "loadings": v.tolist()} for k, v in zip(best, turned, strict=True)])
+            yield pd.Series(out)
+
+    prepare(rows.sparkSession)
+    cells = F.array(*(F.coalesce(F.covar_samp(features[a], features[b]), F.lit(0.0)) for a, b in upper))
+    found = rows.groupBy(group).agg(cells.alias("m"), F.count("*").alias("n")).filter("n > 1")
+    made = F.pandas_udf(axes, "array<struct<variance:double,loadings:array<double>>>")("m")
+    return found.select(group, F.posexplode(made).alias("axis", "a")).select(group, "axis", "a.variance", "a.loadings")

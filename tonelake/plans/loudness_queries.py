@@ -88,7 +88,7 @@ def _neutral(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""WITH s AS (SELECT s_suppkey AS audition, 4 + s_suppkey % 3 AS n, -20.0 - s_suppkey % 5 AS l, -6.0 + s_suppkey % 7 AS p, s_suppkey % 4 = 0 AS swapped FROM supplier WHERE s_suppkey % 11 != 0), t AS (SELECT *, -23.0 - greatest(0, p - 23 - l + 1, -6 - 23 + 25 + 1) AS target FROM s),
-k AS (SELECT *, unnest(range(0, 6)) AS k FROM t) SELECT audition, k AS place, ['Reference', 'A', 'B', 'Reference', 'A', 'B'][k + 1] AS label, round((k * n + (k - CAST(k > 2 AS INTEGER)) * 2 + CAST(k > 2 AS INTEGER) * 5) / 10.0, 6) AS start_s, CASE WHEN swapped THEN 'B' ELSE 'A' END AS first_label, round(target, 6) AS target_lufs, 6 * n + 13 AS samples,
+k AS (SELECT *, unnest(range(0, 6)) AS k FROM t) SELECT audition, k AS place, ['Reference', 'A', 'B', 'Reference', 'A', 'B'][k + 1] AS label, round((k * n + (k - CAST(k > 2 AS INTEGER)) * 2 + CAST(k > 2 AS INTEGER) * 5) / 10.0, 6) AS start_s, CASE WHEN swapped THEN 'B' ELSE 'A' END AS first_label, round(CAST(target AS DOUBLE), 6) AS target_lufs, 6 * n + 13 AS samples,
 round((CASE WHEN k % 3 = 0 THEN 0.5 * pow(10, (target - l) / 20) WHEN (k % 3 = 1) != swapped THEN 0.25 * pow(10, (target + 25) / 20) ELSE 0.125 * pow(10, (target + 25) / 20) END), 6) AS heard FROM k""")
 def audition_timeline(spark: SparkSession, sf: str) -> DataFrame:
     n, known = F.expr("4 + s_suppkey % 3"), F.expr("s_suppkey % 11 != 0")
@@ -101,8 +101,8 @@ def audition_timeline(spark: SparkSession, sf: str) -> DataFrame:
     )
     out = G.auditions(sources, F.col("audition") % 4 == 0, 10, 0.2, 0.5).filter("fault is null")
     heard = F.round(F.get("montage", F.round(F.col("t.start_s") * 10).cast("int")), 6)
-    lined = out.select("audition", F.posexplode("timeline").alias("place", "t"), "first_label", F.round("target_lufs", 6).alias("target_lufs"), F.size("montage").alias("samples"), "montage")
-    return lined.select("audition", "place", "t.label", "t.start_s", "first_label", "target_lufs", "samples", heard.alias("heard"))
+    lined = out.select("audition", F.posexplode("timeline").alias("place", "t"), "first_label", F.round("target_lufs", 6).alias("target_lufs"), F.size("montage").cast("long").alias("samples"), "montage")
+    return lined.select("audition", F.col("place").cast("long").alias("place"), "t.label", "t.start_s", "first_label", "target_lufs", "samples", heard.alias("heard"))
 
 
 @query("""WITH e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, coalesce(abs(value), 0) AS x FROM events), m AS (SELECT *, x - avg(x) OVER (PARTITION BY user_id) AS y, count(*) OVER (PARTITION BY user_id) AS n FROM e),
@@ -112,3 +112,11 @@ def beats(spark: SparkSession, sf: str) -> DataFrame:
     strengths = F.transform(F.array_sort(F.collect_list(F.struct("event_id", F.coalesce(F.abs("value"), F.lit(0.0)).alias("x")))), lambda e: e["x"])
     e = table(spark, sf, "events").groupBy("user_id").agg(strengths.alias("flux")).filter(F.size("flux") >= 32)
     return e.select("user_id", G.tempo(F.col("flux"), 20.0).alias("bpm"))
+
+
+@query("""SELECT l_suppkey, round(var_samp(CAST(l_quantity AS DOUBLE)) + var_samp(CAST(l_discount AS DOUBLE) * 100) + var_samp(CAST(l_tax AS DOUBLE) * 100), 4) AS variance, 3 AS axes FROM lineitem GROUP BY l_suppkey HAVING count(*) > 1""")
+def principal_variance(spark: SparkSession, sf: str) -> DataFrame:
+    """The axes' variances add up to the features' own."""
+    x = table(spark, sf, "lineitem").select("l_suppkey", F.col("l_quantity").cast("double").alias("q"), (F.col("l_discount").cast("double") * 100).alias("d"), (F.col("l_tax").cast("double") * 100).alias("t"))
+    axes = K.principal_axes(x, "l_suppkey", ["q", "d", "t"])
+    return axes.groupBy("l_suppkey").agg(F.round(F.sum("variance"), 4).alias("variance"), F.count("*").cast("int").alias("axes"))
