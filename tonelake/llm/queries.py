@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import op7
 from .decontamination import op3
 from .embedding_dedup import op8
+from .hard_negatives import op13
+from .lm_scoring import op12
 from .mixing import op4
 from .ngram_join import op9
 from .secrets import op6, secrets_base
 from .sharding import op1
+from .spelling import op11
 from .token_counts import op10
 from .toxicity import op2
 from .warc import op5
@@ -28,6 +31,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_dedup": op8,
     "op9_ngram_jaccard_join": op9,
     "op10_token_counts": op10,
+    "op11_spelling": op11,
+    "op12_lm_scoring": op12,
+    "op13_hard_negatives": op13,
     "secrets_base": secrets_base,
 }
 
@@ -87,4 +93,21 @@ _SECRETS = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 e AS (SELECT *, CAST(sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS BIGINT) AS e FROM x), k AS (SELECT *, e - length(hit) AS s FROM e WHERE length(val) >= least)
 SELECT d.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, sha256(coalesce(string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, kind), '')) AS base_sha256 FROM d LEFT JOIN k ON d.doc_id = k.doc_id GROUP BY d.doc_id"""
 
-ORACLE_SQL: dict[str, str] = {"op1_sharding": _SHARDS, "secrets_base": _SECRETS, "op5_warc": _WARC, "op7_chat": _CHAT, "op8_embedding_dedup": _VECTORS, "op9_ngram_jaccard_join": _SHINGLES}
+_SPELLING = rf"""WITH RECURSIVE c AS (SELECT {_CRC_TABLE} AS crc), r AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+g AS (SELECT doc_id, translate(run, '{_UPPER}', '{_LOWER}') AS run, count(*) AS n FROM r GROUP BY ALL), b AS (SELECT *, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x FROM g),
+h AS (SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, strlen(x) // 2), lambda i: CAST(CAST('0x' || x[2 * i + 1:2 * i + 2] AS INTEGER) AS BIGINT))), lambda a, v: xor(a >> 8, crc[xor(a, v) % 256 + 1])), 4294967295) AS h FROM b, c),
+d AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, n FROM h),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM d WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3), k AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w), v AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS v FROM k),
+p AS (SELECT a.word, b.word AS other, b.n AS m FROM v a JOIN v b ON a.i = b.i AND a.v = b.v AND a.word != b.word UNION SELECT a.word, b.word, b.n FROM v a JOIN w b ON a.v = b.word UNION SELECT b.word, a.word, a.n FROM v a JOIN w b ON a.v = b.word),
+f AS (SELECT w.word, w.n, count(other) AS n_near, max(m) AS form_n FROM w LEFT JOIN p ON w.word = p.word GROUP BY w.word, w.n), o AS (SELECT f.word, f.n, n_near, CASE WHEN form_n >= 2 * f.n THEN form_n END AS form_n, CASE WHEN form_n >= 2 * f.n THEN min(other) FILTER (m = form_n) END AS form FROM f LEFT JOIN p ON f.word = p.word GROUP BY f.word, f.n, n_near, form_n),
+s AS (SELECT word, word AS place, 0 AS k FROM o UNION ALL SELECT s.word, o.form, k + 1 FROM s JOIN o ON s.place = o.word WHERE o.form IS NOT NULL), e AS (SELECT word, max_by(place, k) AS root FROM s GROUP BY word)
+SELECT o.word, form, root, n, n_near, form_n FROM o JOIN e ON o.word = e.word"""
+
+_NEGATIVES = """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label, list_transform(embedding::DOUBLE[], lambda x: floor(256 * x)) AS e FROM embeddings
+WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding::DOUBLE[], lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS s FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id != b.vec_id AND len(a.e) = len(b.e)),
+p AS (SELECT a, b, s FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
+SELECT p.a AS anchor_id, p.b AS positive_id, CAST(row_number() OVER (PARTITION BY p.a, p.b ORDER BY x.s DESC, x.b) AS INTEGER) AS rank, x.b AS negative_id, p.s AS positive_score, x.s AS negative_score
+FROM p JOIN s x ON p.a = x.a AND NOT x.same AND 50 * p.s <= 100 * x.s AND 100 * x.s <= 95 * p.s QUALIFY rank <= 3"""
+
+ORACLE_SQL: dict[str, str] = {"op1_sharding": _SHARDS, "secrets_base": _SECRETS, "op5_warc": _WARC, "op7_chat": _CHAT, "op8_embedding_dedup": _VECTORS, "op9_ngram_jaccard_join": _SHINGLES, "op11_spelling": _SPELLING, "op13_hard_negatives": _NEGATIVES}
