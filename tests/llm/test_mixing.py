@@ -42,3 +42,17 @@ def test_many_sources_keep_their_weights(spark, monkeypatch, broadcast):
             weight = 300 if s in ("heavy", None) else 1
             assert abs(seen.get(s, 0) - weight / 900 * (r.slot + 1)) < 1 + 1e-9
     assert len(first) > 300
+
+
+def test_columns_of_any_names_are_kept(spark):
+    """Names that the work uses itself, repeated rows that differ elsewhere, and names with dots."""
+    from tonelake.llm import sharding
+
+    names = ["_source", "_bytes", "_range", "_text", "_within", "_before", "_id", "row", "key", "hash", "size", "name", "range", "block", "phase", "slot", "copy", "content", "mix_slot", "_hash", "_copy", "_size", "_key", "_first", "a.b"]
+    rows = [(k // 2, None if k == 7 else f"text {k // 3}", "ab"[k % 2], *(f"{k}{n}" for n in names)) for k in range(30)]
+    df = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", "source string", *(f"`{n}` string" for n in names)]))
+    assert sorted(map(str, mixing.mixed(df).collect())) == sorted(map(str, df.collect()))
+    got = mixing.mix(df)
+    assert set(got.columns) == set(df.columns) and sorted(r["a.b"] + r["_range"] for r in got.collect()) == sorted(r[-1] + r[5] for r in rows)
+    placed = sharding.assign_shards(df, 3)
+    assert set(placed.columns) == set(df.columns) | {"_crc", "_digest", "shard"} and sorted(r["_range"] + r["_key"] for r in placed.collect()) == sorted(r[5] + r[-3] for r in rows)

@@ -22,6 +22,7 @@ def test_mix_orders_the_shards(spark, tmp_path):
     docs = spark.createDataFrame(rows, DOCS)
     with_mix, without = _rows(spark, docs, tmp_path, ["mixing", "sharding"]), _rows(spark, docs, tmp_path, ["sharding"])
     assert len(with_mix) == len(without) == len(rows)
+    assert not spark.read.parquet(f"{tmp_path}/2-1").schema["doc_id"].metadata
     shard = lambda got: sorted((str(r.doc_id), r.text_crc32 or 0, r.shard) for r in got)
     assert shard(with_mix) == shard(without)
     place = lambda got: sorted((str(r.doc_id), r.text_crc32 or 0, r.slot) for r in got)

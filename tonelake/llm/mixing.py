@@ -21,11 +21,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import copies, documents, materialize, new_path
+from .common import copies, documents, materialize
 
 BLOCK_BYTES = 65_536
-#: Parts of a source in which positions are counted apart.
-RANGES = 1024
+#: Bytes of texts of a part of a source in which positions are counted apart, and so many parts at least.
+RANGE_BYTES, LEAST_RANGES = 256 << 20, 256
 #: Blocks of the schedule that are written at once.
 SLOTS = 65_536
 #: Rows of the positions or of the schedule that may be broadcast; beyond it joins shuffle.
@@ -134,68 +134,86 @@ def _source(column: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit("null"))
 
 
+def _sized(df: DataFrame, row: Column, source: str, key: str, text: str) -> DataFrame:
+    """The written (row, key, hash, size, name): what a row is called, and what the mix needs to know of it; the text isn't carried."""
+    size = (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
+    return materialize(df.select(row.alias("row"), F.col(key).alias("key"), F.xxhash64(text).alias("hash"), size.alias("size"), _source(source).alias("name")), "sized")
+
+
+def _slots_of(sized: DataFrame, weights: dict[str | None, float] | None, block_bytes: int) -> DataFrame:
+    """(row, name, block, phase, slot) for every row of _sized()."""
+    total = sized.agg(F.sum("size")).first()[0] or 0
+    ranges = max(LEAST_RANGES, total // RANGE_BYTES)
+    sized = sized.withColumn("range", F.pmod(F.xxhash64("key", "size"), F.lit(ranges)))
+    parts = materialize(sized.groupBy("name", "range").agg(F.sum("size").alias("bytes")), "parts")
+    totals = parts.groupBy("name").agg(F.sum("bytes").alias("bytes")).withColumn("_id", F.monotonically_increasing_id())
+    totals = materialize(totals.withColumnRenamed("name", "_source"), "totals")
+    named = {"null" if s is None else f"={s}": float(w) for s, w in weights.items()} if weights else None
+    placed = materialize(_placed(totals, named, block_bytes), "slots")
+    small = lambda t: F.broadcast(t) if t.count() <= BROADCAST_ROWS else t
+    before = parts.select("name", "range", (F.sum("bytes").over(W.partitionBy("name").orderBy("range")) - F.col("bytes")).alias("before"))
+    before = materialize(before.join(small(totals.select(F.col("_source").alias("name"), "_id")), "name"), "before")
+    within = F.sum("size").over(W.partitionBy("name", "range").orderBy("key", "size", "hash").rowsBetween(W.unboundedPreceding, W.currentRow))
+    numbered = sized.withColumn("within", within).join(small(before), ["name", "range"]).withColumn("block", F.expr(f"(before + within - size) div {block_bytes}"))
+    return numbered.join(small(placed), ["_id", "block"]).select("row", "name", "block", "phase", "slot")
+
+
 def mix(df: DataFrame, weights: dict[str | None, float] | None = None, source: str = "source", key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Adds _source, block, phase and slot to every row of df (columns of these names are replaced); slot orders the mix.
 
     A block of a source holds the rows whose texts begin within its block_bytes of the source's bytes, in the order of a hash
     of the key; a longer text fills the slots after it. weights are positive and by source, where those that are not listed
     weigh as much as the least listed; null is a source. They hold for any number of sources, each with its own place. A null text counts as one byte. Empty tables give empty results.
+    Other columns are kept, whatever their names.
     """
-    df = df.drop("_source", "block", "phase", "slot")
-    sized = df.withColumns(
-        {
-            "_source": _source(source),
-            "_bytes": (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long"),
-            "_range": F.pmod(F.xxhash64(key, F.octet_length(text)), F.lit(RANGES)).cast("int"),
-            "_text": F.xxhash64(text),
-        }
-    )
-    parts = materialize(sized.groupBy("_source", "_range").agg(F.sum("_bytes").alias("bytes")), "parts")
-    totals = parts.groupBy("_source").agg(F.sum("bytes").alias("bytes")).withColumn("_id", F.monotonically_increasing_id())
-    totals = materialize(totals, "totals")
-    named = {"null" if s is None else f"={s}": float(w) for s, w in weights.items()} if weights else None
-    placed = materialize(_placed(totals, named, block_bytes), "slots")
-    small = lambda t: F.broadcast(t) if t.count() <= BROADCAST_ROWS else t
-    before = parts.select("_source", "_range", (F.sum("bytes").over(W.partitionBy("_source").orderBy("_range")) - F.col("bytes")).alias("_before"))
-    before = materialize(before.join(small(totals.select("_source", "_id")), "_source"), "before")
-    within = F.sum("_bytes").over(W.partitionBy("_source", "_range").orderBy(key, "_bytes", "_text").rowsBetween(W.unboundedPreceding, W.currentRow))
-    return (
-        sized.withColumn("_within", within)
-        .join(small(before), ["_source", "_range"])
-        .withColumn("block", F.expr(f"(_before + _within - _bytes) div {block_bytes}"))
-        .join(small(placed), ["_id", "block"])
-        .drop("_bytes", "_range", "_text", "_within", "_before", "_id")
-    )
+    kept = [c for c in df.columns if c not in ("_source", "block", "phase", "slot")]
+    row = F.struct(*(F.col(f"`{c}`") for c in kept))
+    placed = _slots_of(_sized(df, row, source, key, text), weights, block_bytes)
+    return placed.select("row.*", F.col("name").alias("_source"), "block", "phase", "slot")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The slot of every document in the mix of all sources, with weights by temperature."""
-    docs = documents(spark, sf_dir).withColumn("bytes", F.octet_length("text"))
-    return mix(docs).select("doc_id", "source", "bytes", "block", "phase", "slot")
+    docs = documents(spark, sf_dir)
+    row = F.struct("doc_id", "source", F.octet_length("text").alias("bytes"))
+    return _slots_of(_sized(docs, row, "source", "doc_id", "text"), None, BLOCK_BYTES).select("row.*", "block", "phase", "slot")
 
 
 #: Metadata of the key column that names the written table of places.
 PLACES = "tonelake.mix"
 
 
-def slots_of(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> int:
-    """About how many slots a mix of the documents has, one at least: blocks of block_bytes and a started one for each source."""
-    sized = docs.agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 1).alias("n"), F.approx_count_distinct("source").alias("sources")).first()
-    return max(1, (sized.n or 0) // block_bytes + sized.sources)
+def placed_rows(docs: DataFrame) -> DataFrame:
+    """The written places (doc_id, _hash, _copy, mix_slot) of the documents in the mix; _copy tells rows of one id and text apart."""
+    row = F.struct("doc_id", F.xxhash64("text").alias("_hash"))
+    placed = _slots_of(_sized(docs, row, "source", "doc_id", "text"), None, BLOCK_BYTES).select("row.*", F.col("slot").alias("mix_slot"))
+    return materialize(placed.withColumn("_copy", copies("mix_slot")), "places")
 
 
-def mixed(docs: DataFrame) -> DataFrame:
+def mixed(docs: DataFrame, places: DataFrame | None = None) -> DataFrame:
     """The documents with their columns, in the order of the mix within each partition and from one to the next.
 
-    Null texts count as one byte, and a null source is a source of its own. Equal rows each have their place. An empty table
-    gives no rows; columns of the mix's names are kept as they are.
+    places are those of placed_rows(docs). Null texts count as one byte, and a null source is a source of its own. Equal rows each
+    have their place. An empty table gives no rows; columns of any names are kept as they are.
     """
-    own = {c: f"own of {c}" if c in ("_source", "block", "phase", "slot") else c for c in docs.columns}
-    placed = mix(docs.withColumnsRenamed(own))
+    places = placed_rows(docs) if places is None else places
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    plain = [F.col(f"`{f.name}`") for f in docs.schema if not f.dataType.simpleString().startswith("map")]
+    rows = docs.select(row.alias("row"), F.col("doc_id").alias("key"), F.xxhash64("text").alias("hash"), F.xxhash64(*plain).alias("content"))
+    small = lambda t: F.broadcast(t) if t.count() <= BROADCAST_ROWS else t
+    same = F.expr("key <=> doc_id and hash = _hash")
+    twice = materialize(places.filter("_copy = 2").select("doc_id", "_hash"), "twice")
+    if twice.head(1):
+        one = rows.join(small(twice), same, "left_anti").withColumn("copy", F.lit(1))
+        copy = F.row_number().over(W.partitionBy("key", "hash").orderBy("content"))
+        rows = one.unionByName(rows.join(small(twice), same, "left_semi").withColumn("copy", copy))
+        same = same & F.expr("copy = _copy")
+    placed = rows.join(small(places), same).select("row", "mix_slot", "key")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    end = (places.agg(F.max("mix_slot")).first()[0] or 0) + 1
     # Slots are bytes, nearly, so that equal runs of them are parts of equal size: no sampling is needed to cut them.
-    ordered = placed.repartitionById(n, F.expr(f"int(least({n - 1}, slot * {n} div {slots_of(docs)}))")).sortWithinPartitions("slot", "doc_id")
-    return ordered.select(*(F.col(f"`{x}`").alias(c) for c, x in own.items()))
+    ordered = placed.repartitionById(n, F.expr(f"int(mix_slot * {n} div {end})")).sortWithinPartitions("mix_slot", "key")
+    return ordered.select("row.*")
 
 
 def with_places(docs: DataFrame) -> DataFrame:
@@ -203,10 +221,9 @@ def with_places(docs: DataFrame) -> DataFrame:
 
     Parquet files keep the metadata, so that the slots reach later stages though the columns stay what they are.
     """
-    placed = mix(docs.select("doc_id", "source", "text", F.xxhash64("text").alias("_hash"))).select("doc_id", "_hash", "slot")
-    path = new_path(docs.sparkSession, "places")
-    placed.withColumn("_copy", copies("slot")).withColumnRenamed("slot", "mix_slot").write.parquet(path)
-    return mixed(docs).withMetadata("doc_id", docs.schema["doc_id"].metadata | {PLACES: path})
+    placed = placed_rows(docs)
+    (path,) = {f.rpartition("/")[0] for f in placed.inputFiles()} or {None}
+    return mixed(docs, placed).withMetadata("doc_id", docs.schema["doc_id"].metadata | {PLACES: path})
 
 
 def places(docs: DataFrame) -> DataFrame | None:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from ..session import prepare
-from .common import by_ids, connected_components, documents, materialize, pieces, tidy, with_keys
+from .common import HEAVY, by_ids, connected_components, documents, materialize, pieces, tidy, with_heavy, with_keys
 
 WORDS = 5
 #: Words whose hashes a Python worker remembers.
@@ -213,9 +213,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, key: str, name: str) -> DataFra
     """Those of the (a, b) pairs of document ids whose sets have a Jaccard similarity of at least 0.8."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     sets = materialize(_sets(docs, materialize(ids, f"{name}_ids"), key), f"{name}_sets")
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-    both = pairs.join(right, "b").join(left, "a")
+    both = pairs.join(right, "b")
+    # A centre may have very many copies around it; sets of one id with several texts are so many rows.
+    uses = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    heavy = uses.filter(F.col("n") > HEAVY).head(1)
+    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
+    both = with_heavy(both, materialize(left.join(uses, "a"), f"{name}_centres"), "a") if heavy else both.join(left, "a")
     shared = both.select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), F.size(F.array_intersect("x", "y")).alias("same"))
     return materialize(shared.filter("100 * same >= 80 * (nx + ny - same)").select("a", "b"), f"{name}_links")
 
@@ -254,8 +258,8 @@ def similar_components(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     prepare(docs.sparkSession)
     signed, lead, shared = ordered_signatures(docs, key)
     rows = signed.select("doc_id", "n", "digest", "prefix_key").filter("n > 0")
-    classes = rows.groupBy("digest", "prefix_key", "n").agg(F.min("doc_id").alias("rep")).filter("rep is not null")
-    classes = materialize(classes, "classes")
+    every = materialize(rows.groupBy("digest", "prefix_key", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    classes = every.filter("rep is not null").drop("copies")
     groups = classes.groupBy("prefix_key").agg(F.min("rep").alias("group"), F.count("*").alias("members"))
     members = materialize(classes.join(groups, "prefix_key").select("digest", "rep", "n", "group", "members"), "members")
     # A posting's place in its prefix and the set's size share a number, for the shuffle's sake.
@@ -297,12 +301,11 @@ def similar_components(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     rest = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "rest")
     if rest.head(1):
         component = connected_components(links.unionByName(_verified(rest, docs, key, "rest")))
-    named = members.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("found"))
-    return (
-        signed.select("doc_id", "n", "digest")
-        .join(named, "digest", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("found", "doc_id").alias("component_id"))
-    )
+    named = every.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("found"), F.col("copies").alias("n"))
+    named = materialize(named, "named")
+    of = signed.filter("n > 0").select("doc_id", F.col("n").alias("n_shingles"), "digest")
+    grouped = with_heavy(of, named, "digest").select("doc_id", "n_shingles", F.coalesce("found", "doc_id").alias("component_id"))
+    return grouped.unionByName(signed.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -160,7 +160,9 @@ def assign_shards(df: DataFrame, shards: int = SHARDS, text: str = "text", key:
     _crc. Repeated rows are kept, each with its own slot, and rows without a key stand anywhere in their shard. An empty table
     gives an empty result.
     """
-    return _assign(with_content(df.drop("_size", "_crc", "_digest", "shard", "slot"), text), shards, key)
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in ("_size", "_crc", "_digest", "shard", "slot")]
+    rows = df.select(F.struct(*kept).alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
+    return _assign(with_content(rows, "text").drop("text"), shards, "key").select("row.*", "_size", "_crc", "_digest", "shard", "slot")
 
 
 def _assign(content: DataFrame, shards: int, key: str, order: str | None = None) -> DataFrame:
@@ -226,4 +228,5 @@ def shard_mixed(docs: DataFrame, places: DataFrame | None) -> DataFrame:
         on = F.expr("c.doc_id <=> p.doc_id and c._hash = p._hash and c._copy = p._copy")
         content = materialize(content.join(places.alias("p"), on).select("c.*", "mix_slot"), "content")
     placed = _assign(content, SHARDS, "doc_id", None if places is None else "mix_slot")
-    return placed.select("doc_id", F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), "shard", "slot", "mix_slot")
+    doc_id = F.col("doc_id").alias("doc_id", metadata={})  # it may name the table of places, which goes
+    return placed.select(doc_id, F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), "shard", "slot", "mix_slot")
