@@ -230,7 +230,7 @@ def test_measurement_documents(spark):
     rows = [(1, '{"fingerprint_version": 1, "spectrum": {"tilt": -3.5, "note": "x"}}'), (2, '{"fingerprint_version": 2}'), (3, '{"fingerprint_version": 1, "odd": {}}'), (4, "[1]"), (5, None)]
     df = documents.measurement_faults(spark.createDataFrame(rows, "i int, json string"))
     assert {r.i: r.fault for r in df.collect()} == {1: None, 2: "version", 3: "unknown odd", 4: "not an object", 5: "not an object"}
-    assert [tuple(r) for r in documents.numeric_leaves(df.filter("i = 1"), "i").collect()] == [(1, "spectrum.tilt", -3.5)]
+    assert [tuple(r) for r in documents.numeric_leaves(df.filter("i = 1"), "i").collect()] == [(1, "fingerprint_version", 1.0), (1, "spectrum/tilt", -3.5)]
 
 
 def test_audio(spark, tmp_path):

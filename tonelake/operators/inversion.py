@@ -53,6 +53,89 @@ def fit_bands(curves: DataFrame, basis: np.ndarray, low: float, high: float) ->
     return curves.withColumn("gains", F.pandas_udf(fit, "array<double>")("curve"))
 
 
+#: The range of full weight, and the weight outside it.
+FULL_HZ, OUTSIDE = (50.0, 16_000.0), 0.15
+
+
+def bounded_fits(basis: np.ndarray, targets: np.ndarray, weights: np.ndarray, low: float, high: float, rounds: int = 2000) -> np.ndarray:
+    """For each row of targets the x within [low, high] that minimises |weights * (basis x - target)|.
+
+    Sweeps over the controls bring all rows near their minima at once; then, for the rows that share the same controls at the
+    ends of the range, the free ones are solved for, until no free control leaves the range and none at an end is pulled inwards.
+    """
+    a = basis * weights[:, None]
+    g, c = a.T @ a, (targets * weights) @ a
+    moves = np.flatnonzero(np.diag(g) > 1e-12)
+    x = np.zeros_like(c)
+    for _ in range(rounds):
+        last = x.copy()
+        for j in moves:
+            x[:, j] = np.clip(x[:, j] + (c[:, j] - x @ g[:, j]) / g[j, j], low, high)
+        if np.abs(x - last).max(initial=0) < 1e-10:
+            break
+    at = np.where(x <= low + 1e-7, -1, np.where(x >= high - 1e-7, 1, 0))
+    at[:, np.setdiff1d(np.arange(len(g)), moves)] = 2  # controls without an effect stay at zero
+    for held in np.unique(at, axis=0):
+        rows, free = np.flatnonzero((at == held).all(1)), np.flatnonzero(held == 0)
+        fixed = np.select([held == -1, held == 1], [low, high], 0.0)
+        if len(free):
+            solved = np.linalg.lstsq(g[np.ix_(free, free)], (c[rows][:, free] - fixed @ g[:, free]).T, rcond=None)[0].T
+            y = np.tile(fixed, (len(rows), 1))
+            y[:, free] = solved
+            pull = c[rows] - y @ g
+            good = ((solved >= low) & (solved <= high)).all(1) & ((pull <= 1e-7) | (held != -1)).all(1) & ((pull >= -1e-7) | (held != 1)).all(1)
+            x[rows[good]] = y[good]
+    return x
+
+
+def optimality(basis: np.ndarray, targets: np.ndarray, weights: np.ndarray, x: np.ndarray, low: float, high: float) -> np.ndarray:
+    """How far each row of x is from the conditions of a bounded minimum: 0 at one."""
+    a = basis * weights[:, None]
+    pull = (targets * weights) @ a - x @ (a.T @ a)
+    wrong = np.where(x <= low, np.maximum(pull, 0), np.where(x >= high, np.maximum(-pull, 0), np.abs(pull)))
+    return np.maximum(wrong.max(1, initial=0), np.maximum(low - x, x - high).max(1, initial=0))
+
+
+def weighted_fits(curves: DataFrame, key: str, basis: np.ndarray, hz: Sequence[float], low: float, high: float, noise: str) -> DataFrame:
+    """(key, gains, residual, effect, noise_max, margin, gap, note) for curves (key, curve array, noise array or null, handled array or null).
+
+    Bands within FULL_HZ have full weight, others OUTSIDE. What something else in the chain handles is taken off first, but for
+    its mean. Gains are rounded to two places; they stand only if the change that they make together exceeds the noise in any band of
+    full weight, else they are zero with a note. margin is the largest excess, gap how far the fit is from a minimum's conditions. A
+    null curve, one of another length or with null or non-finite numbers has null gains; null noise is none.
+    """
+    prepare(curves.sparkSession)
+    f = np.asarray(hz, float)
+    full = (f >= FULL_HZ[0]) & (f <= FULL_HZ[1])
+    weights, compared = np.where(full, 1.0, OUTSIDE), full if full.any() else np.ones(len(f), bool)
+    schema = "gains array<double>, residual double, effect double, noise_max double, margin double, gap double, note string"
+
+    def fit(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for curve, floor, handled in batches:
+            out = pd.DataFrame({c: pd.Series([None] * len(curve), dtype=object) for c in ("gains", "residual", "effect", "noise_max", "margin", "gap", "note")})
+            sound = lambda v: v is not None and len(v) == len(f) and all(x is not None for x in v) and bool(np.isfinite(np.asarray(v, float)).all())
+            good = [k for k, v in enumerate(curve) if sound(v)]
+            if good:
+                array = lambda s: np.array([np.asarray(s.iloc[k], float) if sound(s.iloc[k]) else np.zeros(len(f)) for k in good])
+                other = array(handled)
+                target, floors = array(curve) - (other - other.mean(1, keepdims=True)), np.maximum(array(floor), 0)
+                x = bounded_fits(basis, target, weights, low, high)
+                gains = np.round(x, 2)
+                effect = np.abs(gains @ basis.T)[:, compared]
+                margin = (effect - floors[:, compared]).max(1)
+                emitted = np.where(margin[:, None] > 0, gains, 0.0)
+                residual = np.sqrt(((emitted @ basis.T - target) ** 2).mean(1))
+                gap = optimality(basis, target, weights, x, low, high)
+                for n, k in enumerate(good):
+                    none = not emitted[n].any() and bool(target[n].any())
+                    out.iloc[k] = pd.Series([emitted[n].tolist(), round(residual[n], 3), round(effect[n].max(), 6), round(floors[n][compared].max(), 6), round(margin[n], 6), gap[n], "within the noise" if none else None], index=out.columns)
+            yield out
+
+    floor = F.col(noise) if noise else F.lit(None).cast("array<double>")
+    handled = F.col("handled") if "handled" in curves.columns else F.lit(None).cast("array<double>")
+    return curves.select(key, F.pandas_udf(fit, schema)("curve", floor, handled).alias("f")).select(key, "f.*")
+
+
 def bell_basis(analysis_hz: Sequence[float], centres: Sequence[float], q: float = 1.4) -> np.ndarray:
     """The responses of bell controls at the analysis bands, where no basis was measured."""
     f, c = np.array(analysis_hz)[:, None], np.array(centres)[None, :]

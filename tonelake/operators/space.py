@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import values as V
+from ..session import cut
 
 
 def exclusions(specs: DataFrame, guesses: bool = False) -> DataFrame:
@@ -152,16 +153,25 @@ def gates(parameters: DataFrame) -> DataFrame:
     return both.groupBy("module", "key").agg(F.max_by("gate", F.struct(rank, F.col("gate"))).alias("gate"))
 
 
-def ancestors(links: DataFrame, child: str, parent: str, depth: int = 8) -> DataFrame:
-    """(node, ancestor, steps): all ancestors up to a depth; a chain ends where it would come back to a node it has passed."""
-    up = links.select(F.col(child).alias("ancestor"), F.col(parent).alias("next"))
-    step = links.select(F.col(child).alias("node"), F.col(parent).alias("ancestor"), F.lit(1).alias("steps"), F.array(child, parent).alias("seen"))
-    out = step
-    for k in range(2, depth + 1):
-        step = step.join(up, "ancestor").filter(~F.array_contains("seen", F.col("next")))
-        step = step.select("node", F.col("next").alias("ancestor"), F.lit(k).alias("steps"), F.array_append("seen", F.col("next")).alias("seen"))
-        out = out.unionByName(step)
-    return out.select("node", "ancestor", "steps")
+def ancestors(links: DataFrame, child: str, parent: str) -> DataFrame:
+    """(node, ancestor, steps): all ancestors, however far; a chain ends where it would come back to a node it has passed.
+
+    Chains of up to twice the steps are made in each round, of those with all steps so far and any that go on where they end, so
+    that there are as many rounds as the longest chain has doublings.
+    """
+    chains = cut(links.select(F.col(child).alias("node"), F.col(parent).alias("ancestor"), F.lit(1).alias("steps"), F.array(child, parent).alias("seen")))
+    out, length = [chains], 1
+    while True:
+        whole = out[-1].filter(F.col("steps") == length)
+        if not whole.head(1):
+            break
+        on = chains.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("next"), F.col("steps").alias("more"), F.expr("slice(seen, 2, size(seen) - 1)").alias("ahead"))
+        further = whole.join(on, "ancestor").filter(~F.arrays_overlap("seen", "ahead"))
+        further = cut(further.select("node", F.col("next").alias("ancestor"), (F.col("steps") + F.col("more")).alias("steps"), F.concat("seen", "ahead").alias("seen")))
+        out.append(further)
+        chains = chains.unionByName(further)
+        length *= 2
+    return chains.select("node", "ancestor", "steps")
 
 
 def active(dimensions: DataFrame, chain: DataFrame, settings: DataFrame) -> DataFrame:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[1])
 
@@ -17,3 +19,34 @@ def prepare(spark: SparkSession) -> SparkSession:
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
     return spark
+
+
+_own_dir: str | None = None
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder named in spark.checkpoint.dir; a temporary one only where none is set and the master is local."""
+    global _own_dir
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    _own_dir = _own_dir or tempfile.mkdtemp(prefix="tonelake-")
+    return f"file://{_own_dir}"
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read from there, for loops whose plans would grow."""
+    path = new_folder(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

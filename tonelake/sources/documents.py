@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 PARAMETER = (
     "struct<kind:string,unit:string,min:double,max:double,range_source:string,centre_hz:double,enum:string,members:map<string,string>,ui:string,note:string,"
     "writable:boolean,searchable:boolean,needs_confirmation:boolean,needs_review:boolean,switch_encoding:string>"
@@ -69,10 +71,33 @@ def measurement_faults(documents: DataFrame, json: str = "json") -> DataFrame:
 
 
 def numeric_leaves(documents: DataFrame, key: str, json: str = "json") -> DataFrame:
-    """(key, path, value): the finite numbers of flat two-level documents; booleans aren't numbers."""
-    sections = documents.select(key, F.explode(F.from_json(json, "map<string,string>")).alias("section", "body"))
-    leaves = sections.select(key, "section", F.explode(F.from_json("body", "map<string,string>")).alias("name", "v"))
-    return leaves.select(key, F.concat_ws(".", "section", "name").alias("path"), F.col("v").try_cast("double").alias("value")).filter("value is not null and not isnan(value)")
+    """(key, path, value): the finite numbers of JSON documents of any depth; paths name members and places in arrays.
+
+    Booleans and texts aren't numbers. A null or malformed document has no leaves. Each round opens one level of all documents, until no
+    object or array is left.
+    """
+    level = documents.select(F.col(key).alias("doc"), F.lit("").alias("path"), F.try_parse_json(json).alias("v")).filter("v is not null")
+    out, depth = [], 0
+    while True:
+        level = level.withColumn("kind", F.schema_of_variant("v"))
+        number = F.col("kind").isin("BIGINT", "DOUBLE", "FLOAT") | F.startswith("kind", F.lit("DECIMAL"))
+        value = F.when(number, F.try_variant_get("v", "$", "double"))
+        inner = F.startswith("kind", F.lit("OBJECT")) | F.startswith("kind", F.lit("ARRAY"))
+        # Variants can't be written as plain columns everywhere, so what is left goes on as JSON.
+        level = cut(level.select("doc", "path", value.alias("value"), F.when(inner, F.to_json("v")).alias("rest")).filter("value is not null or rest is not null"))
+        out.append(level.filter("value is not null and not isnan(value) and abs(value) != double('infinity')").select("doc", "path", "value"))
+        left = level.filter("rest is not null")
+        if not left.head(1):
+            break
+        spark = documents.sparkSession
+        opened = left.select("doc", "path", F.parse_json("rest").alias("whole")).lateralJoin(spark.tvf.variant_explode(F.col("whole").outer()))
+        name = F.coalesce("key", F.col("pos").cast("string"))
+        level = opened.select("doc", F.when(F.lit(depth) == 0, name).otherwise(F.concat("path", F.lit("/"), name)).alias("path"), F.col("value").alias("v")).filter("v is not null")
+        depth += 1
+    leaves = out[0]
+    for more in out[1:]:
+        leaves = leaves.unionByName(more)
+    return leaves.select(F.col("doc").alias(key), "path", "value")
 
 
 def write_summaries(rows: DataFrame, path: str) -> None:
