@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import values as V
+from ..session import cut
 
 #: How far a published control has to move to count, and numbers may differ and be the same.
 MOVED, SAME = 1e-9, 1e-9
@@ -140,3 +141,38 @@ def without_files(parameters: DataFrame, custom: str = "10") -> DataFrame:
     mic = F.when(F.col("key") == "leftMicType", "0").when(F.col("key") == "rightMicType", "4")
     here = F.col("module") == "cabParameters"
     return parameters.withColumn("value", F.when(here & path, "").when(here & mic.isNotNull() & (F.col("value") == custom), mic).otherwise(F.col("value")))
+
+
+#: Cells of a logarithmic scale in which numbers are looked up; each is wider than any tolerance up to COARSEST.
+CELL, COARSEST = 4e-3, 1e-3
+
+
+def resolved(asked: DataFrame, log: DataFrame, key: str, context: list[str], numbers: list[str], settings: str, tolerance: float = 1e-9) -> DataFrame:
+    """Asked rows with the key of the only logged row that has their context, numbers and settings, else null, and how many have (hits).
+
+    Numbers agree within a relative tolerance (absolute below 1), of settings (maps of texts) the logged ones have to be among the asked ones,
+    with the same texts or numbers, and there have to be some. Null contexts and numbers match nothing. Each number is looked up in the cell that
+    holds it and in a neighbour, if that is within the tolerance, so that no pair of rows is made that agrees in no cell.
+    """
+    if tolerance > COARSEST:
+        raise ValueError(f"a tolerance of more than {COARSEST} needs wider cells")
+    scale = lambda x: F.signum(x) * F.log1p(F.abs(x))
+    reach = 1.5 * tolerance
+    cell = lambda x: F.floor(scale(x) / CELL)
+    ask = asked.withColumn("_row", F.monotonically_increasing_id())
+    ask = cut(ask)
+    probe = ask.select("_row", *context, *(F.col(n).alias(f"_ask_{n}") for n in numbers), F.col(settings).alias("_ask"))
+    for n in numbers:
+        x = scale(F.col(f"_ask_{n}").cast("double"))
+        probe = probe.withColumn(f"_cell_{n}", F.explode(F.array_distinct(F.array(F.floor((x - reach) / CELL), F.floor((x + reach) / CELL)))))
+    known = log.select(F.col(key).alias("_key"), *context, *(F.col(n).cast("double").alias(f"_log_{n}") for n in numbers), *(cell(F.col(n).cast("double")).alias(f"_cell_{n}") for n in numbers), F.col(settings).alias("_log"))
+    both = probe.join(known, [*context, *(f"_cell_{n}" for n in numbers)])
+    for n in numbers:
+        a, b = F.col(f"_ask_{n}").cast("double"), F.col(f"_log_{n}")
+        both = both.filter(F.abs(a - b) <= tolerance * F.greatest(F.lit(1.0), F.abs(a), F.abs(b)))
+    keys = F.map_keys("_log")
+    one = lambda k: V.same_number(V.number(F.try_element_at("_ask", k)), V.number(F.element_at("_log", k))) | F.try_element_at("_ask", k).eqNullSafe(F.element_at("_log", k))
+    within = F.forall(keys, lambda k: F.coalesce(F.array_contains(F.map_keys("_ask"), k) & one(k), F.lit(False)))
+    hits = both.filter((F.size("_log") > 0) & within).groupBy("_row").agg(F.count_distinct("_key").alias("hits"), F.min("_key").alias("found"))
+    out = ask.join(hits, "_row", "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
+    return out.withColumn("found", F.when(F.col("hits") == 1, F.col("found"))).drop("_row")

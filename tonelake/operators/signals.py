@@ -346,3 +346,60 @@ def strongest_peaks(values: Column, places: Column, most: int = 6) -> Column:
     """The places of the highest peaks, highest first, then earliest."""
     ranked = F.array_sort(F.transform(places, lambda p: F.struct((-F.get(values, p)).alias("v"), p.alias("p"))))
     return F.slice(F.transform(ranked, lambda e: e["p"]), 1, most)
+
+
+#: The periodicity above which a frame has a pitch, how far the pitch may leave the run's first, the harmonics that are
+#: told apart, how near a line lies to one, and where a spectrum counts as high.
+PERIODIC, DRIFT, HARMONICS, NEAR, HIGH_HZ = 0.55, 0.05, 24, 0.02, 4000.0
+
+
+def pitched_run(framed: DataFrame, clip: str = "clip", frame: str = "frame") -> DataFrame:
+    """(clip, start, frames, pitch, periodicity): the longest run of periodic frames (clip, frame, pitch, score) that stay near the run's first pitch.
+
+    A run ends at a frame that isn't periodic or whose pitch leaves the first one's by more than DRIFT of it, where the next begins; the
+    earliest of equals stands. pitch and periodicity are medians over the run. Frames are gapless by clip, a null score isn't periodic. Rows
+    without a break in periodicity are gathered into an array of two numbers each and split by one fold.
+    """
+    w = W.partitionBy(clip).orderBy(frame)
+    x = framed.withColumn("_n", F.row_number().over(w)).filter(F.col("score") > PERIODIC)
+    x = x.withColumn("_island", F.col("_n") - F.row_number().over(w))
+    islands = x.groupBy(clip, "_island").agg(F.array_sort(F.collect_list(F.struct(F.col(frame).cast("long").alias("f"), F.col("pitch").cast("double").alias("p"), F.col("score").cast("double").alias("s")))).alias("rows"))
+    run = "struct<start:bigint,first:double,n:bigint>"
+    begin = F.struct(F.lit(None).cast("bigint").alias("start"), F.lit(None).cast("double").alias("first"), F.lit(0).cast("bigint").alias("n"))
+    state = F.struct(F.array().cast(f"array<{run}>").alias("done"), begin.alias("now"))
+
+    def step(a: Column, r: Column) -> Column:
+        new = F.struct(r["f"].alias("start"), r["p"].alias("first"), F.lit(1).cast("bigint").alias("n"))
+        stays = F.abs(r["p"] - a["now"]["first"]) <= DRIFT * a["now"]["first"]
+        longer = F.struct(a["now"]["start"].alias("start"), a["now"]["first"].alias("first"), (a["now"]["n"] + 1).alias("n"))
+        ended = F.when(a["now"]["n"] > 0, F.array_append(a["done"], a["now"])).otherwise(a["done"])
+        return F.struct(F.when(stays, a["done"]).otherwise(ended).alias("done"), F.when(stays, longer).otherwise(new).alias("now"))
+
+    runs = islands.select(clip, "rows", F.explode(F.aggregate("rows", state, step, lambda a: F.array_append(a["done"], a["now"]))).alias("r"))
+    own = F.filter("rows", lambda q: (q["f"] >= F.col("r.start")) & (F.col("r.n") > 0)).alias("own")
+    best = runs.select(clip, F.col("r.n").alias("n"), F.col("r.start").alias("start"), own).withColumn("own", F.expr("slice(own, 1, int(n))"))
+    first = F.min(F.struct((-F.col("n")).alias("less"), "start", "own")).alias("b")
+    rows = best.groupBy(clip).agg(first).select(clip, F.col("b.start").alias("start"), (-F.col("b.less")).alias("frames"), F.explode("b.own").alias("o"))
+    return rows.groupBy(clip, "start", "frames").agg(F.median("o.p").alias("pitch"), F.median("o.s").alias("periodicity"))
+
+
+def harmonic_balance(lines: DataFrame, pitches: DataFrame, clip: str = "clip", resolution: float = 1.0, nyquist: float = float("inf")) -> DataFrame:
+    """(clip, hnr_db, odd_even_ratio, hf_residual_index) from spectral lines (clip, hz, power) and pitches (clip, f0).
+
+    A line belongs to each of the first HARMONICS below nyquist that it lies near: within two lines, or NEAR of the harmonic. The ratio
+    is of odd ones from the third to even ones. Measures without a denominator are null; clips without a pitch are left out.
+    """
+    near = F.filter(F.sequence(F.lit(1), F.lit(HARMONICS)), lambda k: (F.abs(F.col("hz") - k * F.col("f0")) <= F.greatest(F.lit(2 * resolution), k * F.col("f0") * NEAR)) & (k * F.col("f0") < nyquist))
+    x = lines.join(pitches.filter("f0 > 0").select(clip, "f0"), clip).withColumn("near", near)
+    odd, even = F.size(F.filter("near", lambda k: (k % 2 == 1) & (k > 1))), F.size(F.filter("near", lambda k: k % 2 == 0))
+    p = F.col("power")
+    sums = x.groupBy(clip).agg(
+        F.sum(p).alias("total"), F.sum(p * F.size("near")).alias("harmonic"), F.sum(p * odd).alias("odd"), F.sum(p * even).alias("even"), F.sum(F.when((F.col("hz") >= HIGH_HZ) & (F.size("near") == 0), p).otherwise(0.0)).alias("fizz")
+    )
+    rest = F.greatest(F.col("total") - F.col("harmonic"), F.lit(0.0))
+    return sums.select(
+        clip,
+        F.when((rest > 0) & (F.col("harmonic") > 0), 10 * F.log10(F.col("harmonic") / rest)).alias("hnr_db"),
+        F.when(F.col("even") > 0, F.col("odd") / F.col("even")).alias("odd_even_ratio"),
+        F.when(F.col("total") > 0, F.col("fizz") / F.col("total")).alias("hf_residual_index"),
+    )
