@@ -10,18 +10,27 @@ verified.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+from zlib import crc32
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, documents, materialize, tidy, with_heavy
+from ..session import prepare
+from .common import BROADCAST_IDS, documents, materialize, pieces, tidy, with_heavy
 
-RUNS = "[A-Za-zÀ-ÿ]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Runs of letters, once A-Z are lower-cased.
+RUNS = "[a-zÀ-ÿ]+"
 #: Runs whose crc32 together with the document's id this number divides lose a letter.
 DROP = 97
 LENGTH, COUNT = 5, 3
 #: A form has at least so many times the word's occurrences.
 TIMES = 2
+#: Distinct words that a worker holds.
+HELD = 200_000
 #: Pairs of index and probe rows of one segment beyond which what the segment leaves is cut again.
 PAIRS = 10_000
 
@@ -29,15 +38,35 @@ PAIRS = 10_000
 def words(docs: DataFrame, drop: int = DROP, length: int = LENGTH, least: int = COUNT) -> DataFrame:
     """The written (word, n): all words of at least length code points and least occurrences in the whole texts.
 
-    A null text has no words; a null id counts as an empty one; rows that repeat are counted each.
+    A null text has no words; a null id counts as an empty one; rows that repeat are counted each. Workers count the words of many
+    texts before they pass them on.
     """
-    run = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.explode(F.expr(f"regexp_extract_all(text, '{RUNS}', 0)")).alias("run"))
-    run = run.select("id", F.translate("run", UPPER, LOWER).alias("run"))
-    h = F.crc32(F.encode(F.concat("id", F.lit(":"), "run"), "UTF-8"))
-    at = (F.col("h") % F.length("run")).cast("int")
-    cut = F.when(F.col("h") % drop == 0, F.concat(F.substring("run", F.lit(1), at), F.expr("substring(run, int(h % length(run)) + 2)"))).otherwise(F.col("run"))
-    found = run.withColumn("h", h).select(cut.alias("word")).filter(F.length("word") >= length)
-    return materialize(found.groupBy("word").agg(F.count("*").alias("n")).filter(f"n >= {least}"), "words")
+    prepare(docs.sparkSession)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, found = re.compile(RUNS).findall, Counter()
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
+            found.clear()
+            return out
+
+        for b in pieces(batches):
+            for i, text in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                seed = crc32(f"{i}:".encode())
+                for run, n in Counter(find(text.lower().decode())).items():  # bytes are lower-cased in A-Z alone
+                    h = crc32(run.encode(), seed)
+                    if not h % drop:
+                        at = h % len(run)
+                        run = run[:at] + run[at + 1 :]
+                    if len(run) >= length:
+                        found[run] += n
+                if len(found) > HELD:
+                    yield flush()
+        yield flush()
+
+    texts = docs.filter("text is not null").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.col("text").cast("binary").alias("text"))
+    return materialize(texts.mapInArrow(rows, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(f"n >= {least}"), "words")
 
 
 def segments(rows: DataFrame) -> DataFrame:
