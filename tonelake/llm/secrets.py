@@ -1,15 +1,18 @@
 """Secret scans: patterns, and character Markov models of random strings against ordinary identifiers.
 
 Two first-order models over the characters of tokens, one of random strings and one of ordinary words and identifiers, are
-trained on labelled samples. A token is reported where its log-likelihood ratio favours the random model, and every match of
+trained on labelled samples: made strings and matched values here, a sample's shorter words and identifiers of many spellings
+there. A token is reported where its log-likelihood ratio favours the random model, and every match of
 the patterns carries the ratio of its secret part.
 """
 
 from __future__ import annotations
 
+import importlib
 import random
 import re
 import string
+import sys
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -39,6 +42,10 @@ IDENTIFIER = re.compile(r"[A-Za-z0-9+/_-]{4,}")
 TRAIN_ROWS, RANDOM_STRINGS = 4_000, 4_000
 ALPHABETS = (string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits + "_-", string.ascii_lowercase + string.digits, string.hexdigits[:16])
 SMOOTHING = 0.5
+#: Modules of the standard library whose names are labelled samples of identifiers, and how many joints are made of their words.
+NAMED = ("argparse", "ast", "asyncio", "collections", "concurrent.futures", "configparser", "email.message", "http.client", "http.server", "io", "logging", "os", "pathlib", "shutil", "socket", "ssl", "string", "subprocess", "tarfile", "threading", "unittest.mock", "urllib.request", "xml.dom.minidom", "zipfile")
+JOINTS = 12_000
+WORD = re.compile("[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 @dataclass(frozen=True, order=True)
@@ -108,11 +115,42 @@ def random_strings(n: int = RANDOM_STRINGS, seed: int = 17) -> list[str]:
     return ["".join(rng.choices(ALPHABETS[k % len(ALPHABETS)], k=rng.randrange(TOKEN_MIN, 49))) for k in range(n)]
 
 
+def _joint(parts: list[str], style: int) -> str:
+    """Words written as one identifier: snake, kebab or path, capitals within, an acronym first, or all in capitals."""
+    if style < 4:
+        return ("_", "-", "/", "_")[style].join(parts)
+    if style < 6:
+        return "".join([parts[0] if style == 4 else parts[0].title(), *(w.title() for w in parts[1:])])
+    return parts[0][:4].upper() + "".join(w.title() for w in parts[1:]) if style == 6 else "_".join(parts).upper()
+
+
+def identifiers(seed: int = 29) -> list[str]:
+    """Labelled samples of the ordinary class: names of the standard library, and joints of their words with numbers here and there."""
+    names = set(sys.stdlib_module_names)
+    for m in NAMED:
+        for name, value in vars(importlib.import_module(m)).items():
+            names |= {name, *(vars(value) if isinstance(value, type) else ())}
+    names = {n for n in names if isinstance(n, str) and n.isascii()}
+    words = sorted({w.lower() for n in names for w in WORD.findall(n) if len(w) > 1})
+    rng = random.Random(seed)
+    out = sorted(names)
+    for k in range(JOINTS):
+        parts = rng.choices(words, k=rng.randrange(2, 7))
+        for at in range(1, len(parts)):
+            if rng.random() < 0.15:
+                parts[at] = rng.choice([str(rng.randrange(10 ** rng.randrange(1, 5))), parts[at] + str(rng.randrange(100)), "v" + str(rng.randrange(20))])
+        if k % 24 == 2:
+            parts[0] = "/" + parts[0]
+        out.append(_joint(parts, k % 8))
+    return out
+
+
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> MarkovPair:
     """The models from at most rows documents.
 
     Random samples are the values that the base patterns match there and made strings; ordinary samples are the
-    shorter words and identifiers outside them. Only counts of character pairs reach the driver.
+    shorter words and identifiers outside them, and labelled identifiers, which weigh as much as all of those together.
+    Only counts of character pairs reach the driver.
     """
     spark = docs.sparkSession
     ids = materialize(docs.select("doc_id").filter("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).distinct(), "sample")
@@ -138,7 +176,14 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> MarkovPair:
     counts: Counter = Counter({(r.label, r.a, r.b): r.n for r in found.collect()})
     for t in random_strings():
         counts.update(_pairs(t, 1))
-    return MarkovPair(dict(counts))
+    return MarkovPair(dict(counts + weighed(counts)))
+
+
+def weighed(counts: Counter) -> Counter:
+    """Counts of the labelled identifiers, as many times over as makes them no fewer than the ordinary pairs counted so far."""
+    named = Counter(p for t in identifiers() for p in _pairs(t, 0))
+    times = max(1, -(-sum(n for (label, _, _), n in counts.items() if label == 0) // named.total()))
+    return Counter({p: n * times for p, n in named.items()})
 
 
 def _apart(spans: list[Span]) -> tuple[list[int], list[int]]:
@@ -153,14 +198,16 @@ def _apart(spans: list[Span]) -> tuple[list[int], list[int]]:
     return starts, ends
 
 
-def scan_text(text: str | None, model: MarkovPair) -> list[tuple[Span, float]]:
+def scan_text(text: str | None, model: MarkovPair | None) -> list[tuple[Span, float | None]]:
     """All spans by start, then kind, with the ratios of their secret parts: the base ones, and tokens that look random.
 
-    A token that overlaps a base span adds none of its own. The work is in proportion to the text, up to a logarithm.
+    Without a model there are base spans alone, and no ratios. A token that overlaps a base span adds none of its own. The work is in proportion to the text, up to a logarithm.
     """
     if not text:
         return []
     base = sorted(base_spans(text))
+    if model is None:
+        return [(s, None) for s in base]
     out = [(s, model.score(text[s.value : s.end])) for s in base]
     if any(len(w) >= TOKEN_MIN for w in text.split()):
         starts, ends = _apart(base)
@@ -171,7 +218,7 @@ def scan_text(text: str | None, model: MarkovPair) -> list[tuple[Span, float]]:
     return sorted(out)
 
 
-def scan(docs: DataFrame, model: MarkovPair) -> DataFrame:
+def scan(docs: DataFrame, model: MarkovPair | None) -> DataFrame:
     """(doc_id, found) for every row, found being an array of (kind, start, end, text, ratio) in code points, end exclusive.
 
     ratio is the log-likelihood ratio of the secret part, in nats; above zero the random model has won. A null or empty text
@@ -190,24 +237,29 @@ def scan(docs: DataFrame, model: MarkovPair) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, found array<struct<kind:string,start:long,end:long,text:string,ratio:double>>")
 
 
+_SPAN = "x -> concat_ws(':', x.kind, string(x.start), string(x.end))"
+#: Columns of base spans, from found.
+BASE = (
+    "doc_id",
+    *(f"bigint(size(filter(found, x -> x.kind = '{k}'))) AS n_{k}" for k in KINDS[:3]),
+    f"sha2(array_join(transform(filter(found, x -> x.kind != 'markov'), {_SPAN}), ','), 256) AS base_sha256",
+)
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The secrets of all documents, as counts and digests of their spans.
 
     n_markov counts the spans that the models add, n_random the base spans that they would have reported too.
     """
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    found = scan(docs, train(docs))
-    span = "x -> concat_ws(':', x.kind, string(x.start), string(x.end))"
-    return found.select(
-        "doc_id",
-        *(F.expr(f"bigint(size(filter(found, x -> x.kind = '{k}')))").alias(f"n_{k}") for k in KINDS[:3]),
-        F.expr(f"sha2(array_join(transform(filter(found, x -> x.kind != 'markov'), {span}), ','), 256)").alias("base_sha256"),
-        F.expr(f"array_join(transform(found, {span}), ',')").alias("spans"),
-        F.expr("bigint(size(filter(found, x -> x.kind = 'markov')))").alias("n_markov"),
-        F.expr(f"bigint(size(filter(found, x -> x.kind != 'markov' and x.ratio >= {IN_ALL})))").alias("n_random"),
+    return scan(docs, train(docs)).selectExpr(
+        *BASE,
+        f"array_join(transform(found, {_SPAN}), ',') AS spans",
+        "bigint(size(filter(found, x -> x.kind = 'markov'))) AS n_markov",
+        f"bigint(size(filter(found, x -> x.kind != 'markov' and x.ratio >= {IN_ALL}))) AS n_random",
     )
 
 
 def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What op6 finds by the base patterns alone, which SQL can express too."""
-    return op6(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+    """The base spans of op6 by a scan without models, which SQL can express too."""
+    return scan(documents(spark, sf_dir).select("doc_id", "text"), None).selectExpr(*BASE)
