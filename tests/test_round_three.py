@@ -5,8 +5,26 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tonelake.functions import values as V
+from tonelake.operators import atlas as L
 
 
 def test_stamps_beyond_four_digits(spark):
     out = spark.range(1).select(V.iso_stamp(F.lit(2932897 * 86400)).alias("far"), V.iso_stamp(F.lit(86400)).alias("near"), F.array_join(V.rotated(F.array(F.lit("a"), F.lit("b"), F.lit("c")), F.lit(3 * 10**12 + 1)), "").alias("turned"))
     assert tuple(out.first()) == ("10000-01-01T00:00:00Z", "1970-01-02T00:00:00Z", "bca")
+
+
+def test_blend_zero_never_beats_itself(spark):
+    """A table that gives other last digits whenever it is read, as sums over a cluster do."""
+    s = spark.range(4000).select((F.col("id") % 1000).alias("t"), (F.floor(F.col("id") / 1000) * 0.25).alias("b"), F.expr("1 + 1e-12 * rand()").alias("x"))
+    got = {r.b: (r.wins, r.chosen) for r in L.best_blend(s, "t", "b", "x").collect()}
+    assert got[0.0][0] == 0 and set(got) == {0.0, 0.25, 0.5, 0.75}
+    rows = [(1, 0.0, 2.0), (1, 0.5, 1.0), (2, 0.5, 0.0), (3, 0.0, None), (3, 0.5, 1.0), (None, 0.0, 9.0)]
+    got = {r.b: (r.mean, r.wins, r.chosen) for r in L.best_blend(spark.createDataFrame(rows, "t int, b double, x double"), "t", "b", "x").collect()}
+    assert got == {0.0: (2.0, 0, False), 0.5: (1.0, 1, True)}
+
+
+def test_steady_mean(spark):
+    rows = [(k, 0.1 * 0 + v / 100) for k, vs in ((1, [1, 2, 3, 5, 8, 10, 7, 70, 9, 1]), (2, [70, 10, 9, 8, 7, 5, 3, 2, 1, 1])) for v in vs]
+    rows += [(3, 1e-9), (3, 3e-9), (4, float("nan")), (5, None), (6, 1e30), (7, -0.25), (7, None)]
+    got = dict(map(tuple, spark.createDataFrame(rows, "g int, x double").repartition(3).groupBy("g").agg(V.steady_mean(F.col("x"))).collect()))
+    assert got[1] == got[2] == 0.116 and abs(got[3] - 2e-9) < 1e-20 and got[4] != got[4] and got[5] is None and got[6] == 1e30 and got[7] == -0.25

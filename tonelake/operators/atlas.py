@@ -51,9 +51,14 @@ def blended(nearest: Column, predicted: Column, share: Column, movable: Column,
 
 
 def best_blend(scores: DataFrame, target: str, blend: str, score: str) -> DataFrame:
-    """Per blend its mean, median and how often it beats blend 0, with the chosen one: the least mean, then the least blend."""
-    base = scores.filter(F.col(blend) == 0).select(target, F.col(score).alias("_base"))
-    s = scores.join(base, target).groupBy(blend).agg(F.avg(score).alias("mean"), F.median(score).alias("median"), F.count_if(F.col(score) < F.col("_base")).alias("wins"))
+    """Per blend its mean, median and how often it beats blend 0, with the chosen one: the least mean, then the least blend.
+
+    A target has one score for each blend; targets without one for blend 0 are left out.
+    """
+    neutral, own = F.col(blend) == 0, W.partitionBy(target)
+    # A target's scores are held against one that was worked out with them: made again, it could differ in its last digits.
+    s = scores.filter(F.col(target).isNotNull()).withColumns({"_has": F.count_if(neutral).over(own), "_base": F.max(F.when(neutral, F.col(score))).over(own)}).filter("_has > 0")
+    s = s.groupBy(blend).agg(F.avg(score).alias("mean"), F.median(score).alias("median"), F.count_if(F.col(score) < F.col("_base")).alias("wins"))
     first = F.row_number().over(W.orderBy(F.round("mean", 12), blend))  # a row for each blend
     return s.withColumn("chosen", first == 1)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import values as V
 from ..operators import atlas as L
 from ..operators import audit as A
 from .tables import TRIALS, table, trials
@@ -161,7 +162,7 @@ def atlas_scale(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {TRIALS}, s AS (SELECT run, (k % 4) * 0.25 AS blend, avg(score) AS score FROM trials GROUP BY ALL), z AS (SELECT s.*, b.score AS base FROM s JOIN (SELECT run, score FROM s WHERE blend = 0) b USING (run)), g AS (SELECT blend, avg(score) AS mean, median(score) AS med, count(*) FILTER (score < base) AS wins FROM z GROUP BY blend)
 SELECT blend, round(mean, 6) AS mean, round(med, 6) AS median, wins, row_number() OVER (ORDER BY round(mean, 12), blend) = 1 AS chosen FROM g""")
 def blend_choice(spark: SparkSession, sf: str) -> DataFrame:
-    s = trials(spark, sf).groupBy("run", (F.col("k") % 4 * 0.25).alias("blend")).agg(F.avg("score").alias("score"))
+    s = trials(spark, sf).groupBy("run", (F.col("k") % 4 * 0.25).alias("blend")).agg(V.steady_mean(F.col("score")).alias("score"))
     return L.best_blend(s, "run", "blend", "score").select("blend", _r("mean"), _r("median"), "wins", "chosen")
 
 
