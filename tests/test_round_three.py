@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tonelake.functions import values as V
 from tonelake.operators import atlas as L
+from tonelake.operators import calibration as K
 
 
 def test_stamps_beyond_four_digits(spark):
@@ -28,3 +29,13 @@ def test_steady_mean(spark):
     rows += [(3, 1e-9), (3, 3e-9), (4, float("nan")), (5, None), (6, 1e30), (7, -0.25), (7, None)]
     got = dict(map(tuple, spark.createDataFrame(rows, "g int, x double").repartition(3).groupBy("g").agg(V.steady_mean(F.col("x"))).collect()))
     assert got[1] == got[2] == 0.116 and abs(got[3] - 2e-9) < 1e-20 and got[4] != got[4] and got[5] is None and got[6] == 1e30 and got[7] == -0.25
+
+
+def test_regression_at_the_tolerance_in_any_order(spark):
+    """The mean of 20 values lies at the tolerance exactly: what rows come first mustn't tell."""
+    values = [5] * 10 + [10, 1, 4, 6, 2, 8, 3, 7, 9, 1]
+    assert sum(values) == 101
+    tables = [spark.createDataFrame([(1, v / 100) for v in vs], "k int, x double").coalesce(1).groupBy("k").agg(V.steady_mean(F.col("x")).alias("v")) for vs in (values, values[::-1], sorted(values))]
+    assert {t.first().v for t in tables} == {0.0505}
+    before = spark.createDataFrame([(1, 0.05)], "k int, v double")
+    assert len({len(K.regressions(before, t, ["k"], "v").collect()) for t in tables}) == 1

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import values as V
 from ..operators import calibration as K
 from .tables import table
 
@@ -68,7 +69,7 @@ SELECT k AS l_partkey, was, round(now, 6) AS now FROM a JOIN b USING (k) WHERE n
 def regressions(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "lineitem")
     b = e.filter("l_returnflag = 'R'").groupBy("l_partkey").agg(F.min("l_discount").alias("v"))
-    a = e.filter("l_returnflag = 'A'").groupBy("l_partkey").agg(F.avg("l_discount").alias("v"))
+    a = e.filter("l_returnflag = 'A'").groupBy("l_partkey").agg(V.steady_mean(F.col("l_discount")).alias("v"))
     return K.regressions(b, a, ["l_partkey"], "v").select("l_partkey", "was", _r("now"))
 
 
