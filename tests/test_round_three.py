@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tonelake.functions import values as V
 from tonelake.operators import atlas as L
 from tonelake.operators import calibration as K
+from tonelake.operators import paths
 
 
 def test_stamps_beyond_four_digits(spark):
@@ -39,3 +40,18 @@ def test_regression_at_the_tolerance_in_any_order(spark):
     assert {t.first().v for t in tables} == {0.0505}
     before = spark.createDataFrame([(1, 0.05)], "k int, v double")
     assert len({len(K.regressions(before, t, ["k"], "v").collect()) for t in tables}) == 1
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString(), df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_packs_are_never_broadcast(spark):
+    manifests = spark.createDataFrame([("a", '{"signal_paths": {"x": {"volume_control": "v"}}, "output_gain_control": "o"}', {}), ("b", None, {})], "pack string, calibration string, amps map<string,string>")
+    spec = "pack string, path string, kind string, unit string, low double, high double, writable boolean, needs_review boolean, encoding string"
+    specs = spark.createDataFrame([("a", p, "metered", "dB", None, None, True, False, None) for p in ("v", "o")], spec)
+    found, faults = paths.signal_paths(manifests, specs, spark.createDataFrame([], "pack string, path string, member long, label string"))
+    asked = spark.createDataFrame([("a", "X")], "pack string, asked string")
+    for df in (found, paths.resolved(asked, found, manifests)):
+        assert "BroadcastHashJoin" not in _plan(df)[1]
+    assert [r.name for r in found.collect()] == ["x"] and [(r.pack, r.rule) for r in faults.collect()] == [("b", "no signal path")]

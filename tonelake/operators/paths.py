@@ -30,6 +30,11 @@ def canonical(path: Column) -> Column:
     return F.when(F.contains(path, F.lit("/")), path).otherwise(F.concat(F.lit("/"), path))
 
 
+def _many(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the packs: it is never broadcast, however small its files are."""
+    return df.hint("merge")
+
+
 def _texts(v: str) -> str:
     """An object as a map of texts; null for what is no object."""
     return f"transform_values(try_variant_get({v}, '$', 'map<string,variant>'), (k, x) -> try_variant_get(x, '$', 'string'))"
@@ -98,7 +103,7 @@ def _by_amp(top: DataFrame, specs: DataFrame) -> DataFrame:
     amps = top.select("pack", F.posexplode("amps").alias("at", "display", "name")).filter("name is not null").groupBy("pack", "name").agg(F.min_by("display", "at").alias("display"))
     candidates = F.array(*(F.struct(F.lit(role).alias("role"), F.lit(k).alias("k"), F.lit(path).alias("path")) for role, all_ in NAMED.items() for k, path in enumerate(all_)))
     asked = amps.select("*", F.inline(candidates)).withColumn("path", F.replace("path", F.lit("{}"), "name"))
-    found = asked.join(specs.select("pack", "path"), ["pack", "path"], "left_semi")
+    found = asked.join(_many(specs.select("pack", "path")), ["pack", "path"], "left_semi")
     one = lambda role: F.max(F.when(F.col("role") == role, F.col("path")))
     some = lambda role: F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("k", "path"))))
     g = found.groupBy("pack", "name", "display").agg(*(one(r).alias(r) for r in ("volume", "hpf", "lpf", "output", "gate")), some("bands").alias("b"), some("enables").alias("e"))
@@ -125,8 +130,8 @@ def _refused(paths: DataFrame, specs: DataFrame, members: DataFrame) -> DataFram
     # validate reads a value many times, and a filter would repeat its rules, so both sides of it are stored.
     named = cut(named.select("pack", "name", "role", "control", "path", "value"))
     is_setting, keyed = F.col("role") == "setting", specs.select(key, "kind", "unit", "low", "high", "writable", "needs_review", "encoding")
-    settings = cut(P.validate(named.filter(is_setting), keyed)).filter("error is not null")
-    there = named.filter(~is_setting).join(keyed, "path", "left")
+    settings = cut(P.validate(named.filter(is_setting), _many(keyed))).filter("error is not null")
+    there = named.filter(~is_setting).join(_many(keyed), "path", "left")
     others = there.withColumn("error", F.when(F.col("kind").isNull(), "unknown").when(~F.col("writable"), "read-only")).filter("error is not null")
     out = ["pack", "name", F.concat(F.col("role"), F.lit(": "), "error").alias("rule"), F.col("control").alias("detail")]
     return settings.select(*out).unionByName(others.select(*out))
@@ -151,15 +156,15 @@ def signal_paths(manifests: DataFrame, specs: DataFrame, members: DataFrame) ->
     known = specs.withColumn("path", canonical(F.col("path")))
     named = _by_amp(top.filter("not declares and not broken"), known)
     both = cut(declared.unionByName(named))
-    checked = _refused(both.join(top.filter("declares").select("pack"), "pack", "left_semi"), known, members)
-    units = both.filter("output is not null").select("pack", "name", "output", canonical(F.col("output")).alias("path")).join(known.select("pack", "path", "unit"), ["pack", "path"])
+    checked = _refused(both.join(_many(top.filter("declares").select("pack")), "pack", "left_semi"), known, members)
+    units = both.filter("output is not null").select("pack", "name", "output", canonical(F.col("output")).alias("path")).join(_many(known.select("pack", "path", "unit")), ["pack", "path"])
     no_db = units.filter(F.coalesce(F.lower("unit"), F.lit("")) != "db").select("pack", "name", F.lit("output is not in dB").alias("rule"), F.col("output").alias("detail"))
     nothing = F.lit(None).cast("string")
     unread = top.filter("broken").select("pack", nothing.alias("name"), F.lit("calibration is no object").alias("rule"), nothing.alias("detail"))
     faults = form.unionByName(checked).unionByName(no_db).unionByName(unread)
-    empty = top.filter("not declares and not broken").select("pack").join(both.select("pack"), "pack", "left_anti")
+    empty = top.filter("not declares and not broken").select("pack").join(_many(both.select("pack")), "pack", "left_anti")
     faults = cut(faults.unionByName(empty.select("pack", nothing.alias("name"), F.lit("no signal path").alias("rule"), nothing.alias("detail"))))
-    return both.join(faults.select("pack").distinct(), "pack", "left_anti").select(*PATH), faults
+    return both.join(_many(faults.select("pack").distinct()), "pack", "left_anti").select(*PATH), faults
 
 
 def resolved(requests: DataFrame, paths: DataFrame, manifests: DataFrame) -> DataFrame:
@@ -169,7 +174,7 @@ def resolved(requests: DataFrame, paths: DataFrame, manifests: DataFrame) -> Dat
     """
     own = F.concat(F.array("name"), F.map_values("selection"))
     aliases = paths.select("pack", "name", F.explode(own).alias("alias"))
-    shown = manifests.select("pack", F.explode("amps").alias("alias", "name")).join(paths.select("pack", "name"), ["pack", "name"], "left_semi")
+    shown = manifests.select("pack", F.explode("amps").alias("alias", "name")).join(_many(paths.select("pack", "name")), ["pack", "name"], "left_semi")
     known = aliases.unionByName(shown).groupBy("pack", F.lower("alias").alias("token")).agg(F.min("name").alias("name"))
-    found = requests.withColumn("token", F.lower("asked")).join(known, ["pack", "token"], "left").drop("token")
-    return found.join(paths.select("pack", "name", "selection"), ["pack", "name"], "left").select(*requests.columns, "name", "selection")
+    found = requests.withColumn("token", F.lower("asked")).join(_many(known), ["pack", "token"], "left").drop("token")
+    return found.join(_many(paths.select("pack", "name", "selection")), ["pack", "name"], "left").select(*requests.columns, "name", "selection")
