@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tonelake.functions import values as V
 from tonelake.operators import atlas as L
 from tonelake.operators import calibration as K
+from tonelake.operators import parameters as P
 from tonelake.operators import paths
 
 
@@ -55,3 +56,12 @@ def test_packs_are_never_broadcast(spark):
     for df in (found, paths.resolved(asked, found, manifests)):
         assert "BroadcastHashJoin" not in _plan(df)[1]
     assert [r.name for r in found.collect()] == ["x"] and [(r.pack, r.rule) for r in faults.collect()] == [("b", "no signal path")]
+
+
+def test_members_meet_entries_where_they_are(spark):
+    """Three values in many rows would be three tasks after a shuffle."""
+    members = spark.createDataFrame([("flag", 0, " a "), ("flag", 1, "N"), ("flag", 2, None)], "path string, member int, label string")
+    entries = spark.range(6).select(F.lit("flag").alias("path"), F.expr("array('A', 'n', '1', '2', 'R', null)[id]").alias("value"), "id")
+    out = P.resolve_members(entries, F.broadcast(members))
+    assert "BroadcastHashJoin" in _plan(out)[1] and "SortMergeJoin" not in _plan(out)[1]
+    assert {r.id: r.member for r in out.collect()} == {0: 0, 1: 1, 2: 1, 3: 2, 4: None, 5: None}

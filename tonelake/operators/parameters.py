@@ -48,9 +48,11 @@ def expand_prefix(entries: DataFrame, prefix: Column, module: str = "module") ->
 
 
 def resolve_members(entries: DataFrame, members: DataFrame, value: str = "value") -> DataFrame:
-    """Adds member, the stored number of an enum value given by number or name; members: (path, member, label)."""
-    named = members.select("path", "member", V.normal_name(F.col("label")).alias("token"))
-    tokens = named.unionByName(members.select("path", "member", F.col("member").cast("string").alias("token"))).distinct()
+    """Adds member, the stored number of an enum value given by number or name; members: (path, member, label).
+
+    Values of an enum are few and rows with them many, so members of a bounded catalog come with a broadcast hint, which holds here.
+    """
+    tokens = members.select("path", "member", F.explode(F.array(V.normal_name(F.col("label")), F.col("member").cast("string"))).alias("token")).distinct()
     asked = entries.withColumn("token", V.selector_token(F.col(value).cast("string")))
     return asked.join(tokens, ["path", "token"], "left").drop("token")
 

@@ -105,7 +105,7 @@ def observed_catalog(spark: SparkSession, sf: str) -> DataFrame:
 def enum_resolution(spark: SparkSession, sf: str) -> DataFrame:
     members = spark.createDataFrame([("flag", 0, " a "), ("flag", 1, "N")], "path string, member int, label string")
     e = table(spark, sf, "lineitem").select(F.lit("flag").alias("path"), "l_orderkey", "l_linenumber", "l_partkey", F.col("l_returnflag").alias("value"))
-    return P.resolve_members(e, members).drop("path")
+    return P.resolve_members(e, F.broadcast(members)).drop("path")
 
 
 @query("""SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN replace('{amp}Amp', '{amp}', p_brand) ELSE '{amp}Amp' END AS module, CASE WHEN p_size % 2 = 1 THEN 'no amp for a templated module' END AS error FROM part""")
