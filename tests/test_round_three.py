@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tonelake.functions import values as V
 from tonelake.operators import atlas as L
 from tonelake.operators import calibration as K
+from tonelake.operators import compare as C
 from tonelake.operators import parameters as P
 from tonelake.operators import paths
 
@@ -65,3 +67,28 @@ def test_members_meet_entries_where_they_are(spark):
     out = P.resolve_members(entries, F.broadcast(members))
     assert "BroadcastHashJoin" in _plan(out)[1] and "SortMergeJoin" not in _plan(out)[1]
     assert {r.id: r.member for r in out.collect()} == {0: 0, 1: 1, 2: 1, 3: 2, 4: None, 5: None}
+
+
+def test_nearest_shapes_equal_all_pairs(spark, monkeypatch):
+    """Against every pair, with copies, levels, odd vectors and groups of several tiles and stretches."""
+    monkeypatch.setattr(C, "TILE", 7)
+    monkeypatch.setattr(C, "STRETCH", 40)
+    g = np.random.default_rng(3)
+    vectors = [(g.integers(-20, 20, 8) / 8).tolist() for _ in range(60)]  # sums of such are exact
+    rows = [(k, k % 3 if k % 41 else None, vectors[k % 60] if k % 5 else [x + 0.5 for x in vectors[7]]) for k in range(300)]
+    rows += [(300, 1, None), (301, 1, [1.0, 2.0]), (302, 1, [float("nan")] * 8), (303, 9, [1.0] * 8), (304, 9, None), (305, 1, [])]
+    df = spark.createDataFrame(rows, "i long, g int, v array<double>")
+    targets, entries = df.filter("i % 10 = 0 or i > 300").select("g", F.col("i").alias("t"), F.col("v").alias("a")), df.select("g", F.col("i").alias("e"), F.col("v").alias("b"))
+    got = {(r.t, r.rank): (r.e, r.distance) for r in C.nearest_shapes(targets, entries, "g", "t", "e", "a", "b", 4).collect()}
+    want = {}
+    for t, gt, a in rows:
+        near = []
+        for e, ge, b in rows:
+            if (t % 10 == 0 or t > 300) and e != t and gt is not None and ge == gt:
+                d = np.subtract(a, b) if a and b and len(a) == len(b) else None
+                d = None if d is None else float(np.sqrt(np.mean((d - d.mean()) ** 2)))
+                near.append((2 if d is None else 1 if d != d else 0, 0 if d is None or d != d else round(d, 9), e, d))
+        want |= {(t, k): (e, d) for k, (_, _, e, d) in enumerate(sorted(near, key=lambda x: x[:3])[:4], 1)}
+    assert got.keys() == want.keys()
+    for k, (e, d) in want.items():
+        assert got[k][0] == e and (d is got[k][1] is None or d != d and got[k][1] != got[k][1] or abs(d - got[k][1]) < 1e-9), (k, got[k], e, d)

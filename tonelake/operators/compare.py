@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..session import prepare
+
 # Weights and scales of the loss profiles.
 PROFILES = {
     "unpaired-v1": {
@@ -133,6 +138,127 @@ def nearest(targets: DataFrame, entries: DataFrame, group: str, target: str, ent
     return both.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+#: Targets and entries of a group that meet in one task, and entries of a matrix product.
+TILE, STRETCH, SLICE = 8192, 32768, 256
+#: Up to what share of the squares involved a product of matrices may err.
+SLACK = 1e-12
+
+
+def _regular(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The length of each vector (-1 for null), whether all its components are finite, and the vectors."""
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    n = np.array(pc.fill_null(pc.list_value_length(lists), -1))
+    flat = pc.list_flatten(lists).to_numpy(zero_copy_only=False).astype(np.float64)
+    starts = np.cumsum(np.maximum(n, 0)) - np.maximum(n, 0)
+    bad = np.concatenate(([0], np.cumsum(~np.isfinite(flat))))
+    whole = (n >= 0) & (bad[starts + np.maximum(n, 0)] == bad[starts])
+    return n, whole, np.split(flat, starts[1:]) if len(n) else []
+
+
+def _least(target: np.ndarray, entry: np.ndarray, distance: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The k first rows of each target by distance, then entry, and their targets' first places."""
+    order = np.lexsort((entry, distance, target))
+    target, entry, distance = target[order], entry[order], distance[order]
+    first = np.flatnonzero(np.concatenate(([True], target[1:] != target[:-1]))) if len(target) else np.zeros(0, np.int64)
+    rank = np.arange(len(target)) - np.repeat(first, np.diff(np.append(first, len(target))))
+    keep = rank < k
+    return target[keep], entry[keep], distance[keep], rank[keep]
+
+
+def _shapes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The distances of band_shape between rows."""
+    d = a - b
+    d -= np.cumsum(d, 1)[:, -1:] / d.shape[1]
+    return np.sqrt(np.cumsum(d * d, 1)[:, -1] / d.shape[1])
+
+
+def _nearest_of(t_ids: np.ndarray, t: np.ndarray, e_ids: np.ndarray, e: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of the target, entry, distance): at least the k nearest of the entries to each target; all finite, of one length."""
+    # Of equal vectors the least ids will do, k and those of the target's own.
+    most = k + np.unique(e_ids, return_counts=True)[1].max()
+    order = np.argsort(e_ids, kind="stable")
+    e_ids, e = e_ids[order], np.ascontiguousarray(e[order]) + 0.0
+    _, same = np.unique(e.view(np.dtype((np.void, e.shape[1] * 8))).ravel(), return_inverse=True)
+    by = np.argsort(same, kind="stable")
+    begins = np.searchsorted(same[by], np.arange(same.max() + 1))
+    keep = np.sort(by[np.arange(len(by)) - begins[same[by]] < most])
+    e_ids, e = e_ids[keep], e[keep]
+    x, y = t - t.mean(1, keepdims=True), e - e.mean(1, keepdims=True)
+    xx, yy = (x * x).sum(1), (y * y).sum(1)
+    bound = np.full(len(t), np.inf)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    waiting = 0
+
+    def closed() -> None:
+        nonlocal found, waiting
+        target, entry, distance, rank = _least(*(np.concatenate(c) for c in zip(*found)), k)
+        last = rank == k - 1
+        bound[target[last]] = np.minimum(bound[target[last]], distance[last] ** 2 * e.shape[1] * (1 + 1e-9))
+        found, waiting = [(target, entry, distance)], 0
+
+    for at in range(0, len(e), SLICE):
+        part = slice(at, at + SLICE)
+        squares = xx[:, None] + yy[part] - 2 * (x @ y[part].T)
+        squares[t_ids[:, None] == e_ids[part]] = np.inf
+        slack = SLACK * (xx + yy[part].max())
+        if squares.shape[1] > k:
+            np.minimum(bound, np.partition(squares, k - 1, 1)[:, k - 1] + slack, out=bound)
+        row, col = np.nonzero(squares <= np.minimum(bound + slack, np.finfo(np.float64).max)[:, None])
+        for b in range(0, len(row), 1 << 16):
+            r, c = row[b : b + (1 << 16)], col[b : b + (1 << 16)] + at
+            found.append((r, e_ids[c], _shapes(t[r], e[c])))
+            waiting += len(r)
+            if waiting > k * len(t) + (1 << 16):
+                closed()
+    return tuple(np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
+def nearest_shapes(targets: DataFrame, entries: DataFrame, group: str, target: str, entry: str, t: str, e: str, k: int) -> DataFrame:
+    """(target, entry, rank, distance): the k nearest other entries to each target within its group by band_shape, then entry.
+
+    Ids are longs, vectors arrays of numbers below 1e150. Distances that can't be told come last: those of components that are missing or not finite as
+    NaN, those of null vectors or other lengths as null. Tiles of a group's targets meet stretches of its entries in a task each, which
+    finds candidates by products of matrices, works their distances out again and keeps k of them. The work is the product of both numbers
+    in a group.
+    """
+    parts = lambda df, most: df.groupBy(group).agg(F.ceil(F.count("*") / most).cast("int").alias("n")).filter("n > 1")
+    tiles, stretches = (F.broadcast(parts(df, most).withColumnRenamed("n", name)) for df, most, name in ((targets, TILE, "_tiles"), (entries, STRETCH, "_stretches")))  # a row per large group
+
+    def dealt(df: DataFrame, key: str, v: str, own: str, other: str) -> DataFrame:
+        """Rows by their own part of the group, once for each of the other side's parts."""
+        x = df.select(group, F.col(key).cast("long").alias("_id"), F.col(v).cast("array<double>").alias("_v")).join(tiles, group, "left").join(stretches, group, "left")
+        mine = F.pmod(F.xxhash64("_id"), F.coalesce(own, F.lit(1))).cast("int")
+        return x.select(F.col(group).alias("_group"), mine.alias(f"{own}_at"), F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1)).alias(f"{other}_at"), "_id", "_v")
+
+    def met(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        t_ids, e_ids = left["_id"].to_numpy(), right["_id"].to_numpy()
+        (tn, t_ok, tv), (en, e_ok, ev) = _regular(left["_v"]), _regular(right["_v"])
+        out = []
+        for n in np.unique(tn):
+            here = np.flatnonzero(tn == n)
+            like = (en == n) & (n > 0)
+            good, fine = here[t_ok[here]], np.flatnonzero(like & e_ok)
+            if n > 0 and len(good) and len(fine):
+                at, ids, d = _nearest_of(t_ids[good], np.array([tv[j] for j in good]), e_ids[fine], np.array([ev[j] for j in fine]), k)
+                out.append((good[at], ids, d, np.zeros(len(at), np.int8)))
+            for which, rows, kind in ((good, like & ~e_ok, 1), (here[~t_ok[here]], like, 1), (here, ~like, 2)):
+                first = np.sort(e_ids[rows])[: k + np.bincount(np.unique(e_ids[rows], return_inverse=True)[1]).max()] if rows.any() else e_ids[:0]
+                a, b = np.repeat(which, len(first)), np.tile(first, len(which))
+                other = t_ids[a] != b
+                out.append((a[other], b[other], np.full(int(other.sum()), np.nan), np.full(int(other.sum()), kind, np.int8)))
+        at, ids, d, kind = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int8))
+        shown = pa.array(d, mask=kind == 2)
+        return pa.table({"target": pa.array(t_ids[at]), "entry": pa.array(ids), "kind": pa.array(kind.astype(np.int32)), "distance": shown})
+
+    prepare(targets.sparkSession)
+    # The groups' own values are keys of both sides; a null group meets nothing.
+    left = dealt(targets.filter(F.col(group).isNotNull()), target, t, "_tiles", "_stretches").groupBy("_group", "_tiles_at", "_stretches_at")
+    right = dealt(entries.filter(F.col(group).isNotNull()), entry, e, "_stretches", "_tiles").groupBy("_group", "_tiles_at", "_stretches_at")
+    found = left.cogroup(right).applyInArrow(met, "target long, entry long, kind int, distance double")
+    rank = F.row_number().over(W.partitionBy("target").orderBy("kind", "distance", "entry"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select(F.col("target").alias(target), F.col("entry").alias(entry), "rank", "distance")
+
+
 def feature_ranges(entries: DataFrame, group: str, features: Sequence[str]) -> DataFrame:
     """(group, feature, low, high) over finite values; features without any are left out."""
     long = entries.select(group, F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), finite(F.col(f).cast("double")).alias("x")) for f in features))).alias("e"))

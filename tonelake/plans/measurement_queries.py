@@ -41,9 +41,7 @@ def nearest_topk(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
     targets = e.filter("vec_id % 50 = 0").select("label", F.col("vec_id").alias("target"), F.col("embedding").alias("t"))
     entries = e.select("label", F.col("vec_id").alias("entry"), F.col("embedding").alias("e"))
-    both = C.band_shape(F.transform("t", lambda x: x.cast("double")), F.transform("e", lambda x: x.cast("double")))
-    distance = F.when(F.col("target") != F.col("entry"), both)
-    out = C.nearest(targets, entries.filter("e is not null"), "label", "target", "entry", F.coalesce(distance, F.lit(float("inf"))), 5)
+    out = C.nearest_shapes(targets, entries, "label", "target", "entry", "t", "e", 5)
     return out.select("target", "entry", "rank", _r("distance"))
 
 
