@@ -11,6 +11,7 @@ from tonelake.operators import calibration as K
 from tonelake.operators import compare as C
 from tonelake.operators import parameters as P
 from tonelake.operators import paths
+from tonelake.streaming import state
 
 
 def test_stamps_beyond_four_digits(spark):
@@ -92,3 +93,16 @@ def test_nearest_shapes_equal_all_pairs(spark, monkeypatch):
     assert got.keys() == want.keys()
     for k, (e, d) in want.items():
         assert got[k][0] == e and (d is got[k][1] is None or d != d and got[k][1] != got[k][1] or abs(d - got[k][1]) < 1e-9), (k, got[k], e, d)
+
+
+def test_state_over_batches_is_that_of_all_trials(spark, tmp_path):
+    """Trials that come twice, late or with another outcome, and few messages to the state's store."""
+    g = np.random.default_rng(5)
+    rows = [(int(r), int(t), float(x), bool(f)) for r, t, x, f in zip(g.integers(0, 9, 400), g.integers(0, 40, 400), g.integers(0, 50, 400) / 4, g.random(400) < 0.7)]
+    rows += [(20, 5, None, True), (20, 5, float("nan"), False), (21, 1, 2.0, True), (None, 1, 1.0, False), (22, 7, 1.0, None)]
+    t = spark.createDataFrame(rows, "run long, trial long, score double, failed boolean")
+    t.repartition(6).write.parquet(f"{tmp_path}/log")
+    own = spark.newSession()
+    own.conf.set(*state.PROVIDER)
+    got = state.states_of(own, own.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/log"), f"file://{tmp_path}/s")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, state.batch_state(t).collect()))
