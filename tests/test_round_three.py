@@ -11,6 +11,7 @@ from tonelake.operators import calibration as K
 from tonelake.operators import compare as C
 from tonelake.operators import parameters as P
 from tonelake.operators import paths
+from tonelake.sources import documents
 from tonelake.streaming import state
 
 
@@ -106,3 +107,13 @@ def test_state_over_batches_is_that_of_all_trials(spark, tmp_path):
     own.conf.set(*state.PROVIDER)
     got = state.states_of(own, own.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/log"), f"file://{tmp_path}/s")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, state.batch_state(t).collect()))
+
+
+def test_leaves_are_written_once_for_several_levels(spark, monkeypatch):
+    written = []
+    cut = documents.cut
+    monkeypatch.setattr(documents, "cut", lambda df: written.append(1) or cut(df))
+    rows = [(1, '{"a": {"b": {"c": [1, {"d": -2.5}, {}, [], null, true, "3"]}}, "e": 4}'), (2, "5"), (3, "{}"), (4, None), (5, "{x"), (6, '{"": {"": 6}}')]
+    got = {(r.i, r.path): r.value for r in documents.numeric_leaves(spark.createDataFrame(rows, "i int, json string"), "i").collect()}
+    assert got == {(1, "a/b/c/0"): 1.0, (1, "a/b/c/1/d"): -2.5, (1, "e"): 4.0, (2, ""): 5.0, (6, "/"): 6.0}
+    assert len(written) == 1

@@ -70,30 +70,37 @@ def measurement_faults(documents: DataFrame, json: str = "json") -> DataFrame:
     return documents.withColumn("fault", fault)
 
 
+#: Levels of documents that are opened before what is left is written.
+OPENED = 5
+
+
 def numeric_leaves(documents: DataFrame, key: str, json: str = "json") -> DataFrame:
     """(key, path, value): the finite numbers of JSON documents of any depth; paths name members and places in arrays.
 
-    Booleans and texts aren't numbers. A null or malformed document has no leaves. Each round opens one level of all documents, until no
-    object or array is left.
+    Booleans and texts aren't numbers. A null or malformed document has no leaves. Each round opens OPENED levels of all documents and
+    is written once, until no object or array is left.
     """
+    spark, out, first = documents.sparkSession, [], True
     level = documents.select(F.col(key).alias("doc"), F.lit("").alias("path"), F.try_parse_json(json).alias("v")).filter("v is not null")
-    out, depth = [], 0
     while True:
+        for _ in range(OPENED):
+            # A number stays as it is while objects and arrays beside it are opened: only rows of these have a place.
+            opened = level.withColumnRenamed("v", "whole").lateralJoin(spark.tvf.variant_explode_outer(F.col("whole").outer()))
+            name = F.coalesce("key", F.col("pos").cast("string"))
+            path = F.when(F.col("pos").isNull(), F.col("path")).otherwise(name if first else F.concat("path", F.lit("/"), name))
+            level = opened.select("doc", path.alias("path"), F.when(F.col("pos").isNull(), F.col("whole")).otherwise(F.col("value")).alias("v")).filter("v is not null")
+            first = False
         level = level.withColumn("kind", F.schema_of_variant("v"))
         number = F.col("kind").isin("BIGINT", "DOUBLE", "FLOAT") | F.startswith("kind", F.lit("DECIMAL"))
         value = F.when(number, F.try_variant_get("v", "$", "double"))
-        inner = F.startswith("kind", F.lit("OBJECT")) | F.startswith("kind", F.lit("ARRAY"))
+        inner = (F.startswith("kind", F.lit("OBJECT")) | F.startswith("kind", F.lit("ARRAY"))) & ~F.to_json("v").isin("{}", "[]")
         # Variants can't be written as plain columns everywhere, so what is left goes on as JSON.
         level = cut(level.select("doc", "path", value.alias("value"), F.when(inner, F.to_json("v")).alias("rest")).filter("value is not null or rest is not null"))
         out.append(level.filter("value is not null and not isnan(value) and abs(value) != double('infinity')").select("doc", "path", "value"))
         left = level.filter("rest is not null")
         if not left.head(1):
             break
-        spark = documents.sparkSession
-        opened = left.select("doc", "path", F.parse_json("rest").alias("whole")).lateralJoin(spark.tvf.variant_explode(F.col("whole").outer()))
-        name = F.coalesce("key", F.col("pos").cast("string"))
-        level = opened.select("doc", F.when(F.lit(depth) == 0, name).otherwise(F.concat("path", F.lit("/"), name)).alias("path"), F.col("value").alias("v")).filter("v is not null")
-        depth += 1
+        level = left.select("doc", "path", F.parse_json("rest").alias("v"))
     leaves = out[0]
     for more in out[1:]:
         leaves = leaves.unionByName(more)
