@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tonelake.functions import values as V
+from tonelake.llm import lm_scoring as lm
 from tonelake.operators import atlas as L
 from tonelake.operators import calibration as K
 from tonelake.operators import compare as C
@@ -117,3 +118,34 @@ def test_leaves_are_written_once_for_several_levels(spark, monkeypatch):
     got = {(r.i, r.path): r.value for r in documents.numeric_leaves(spark.createDataFrame(rows, "i int, json string"), "i").collect()}
     assert got == {(1, "a/b/c/0"): 1.0, (1, "a/b/c/1/d"): -2.5, (1, "e"): 4.0, (2, ""): 5.0, (6, "/"): 6.0}
     assert len(written) == 1
+
+
+def test_counters_are_worth_what_all_texts_say():
+    """Each bit against its counter without it; every counter has a say, new contexts stay new."""
+    none, ones = np.array([0, 1, 3, 0]), np.array([0, 1, 1, 5])
+    got, want = lm.came(none, ones), np.zeros((2, 256), np.int64)
+    for n0, n1 in zip(none, ones):
+        for bit, times in enumerate((n0, n1)):
+            for _ in range(times):
+                want[bit, int(lm.odds(np.array([n0 - (bit == 0)]), np.array([n1 - (bit == 1)]))[0]) + 128] += 1
+    assert (got == want).all() and got.sum() == 11
+    assert (np.abs(lm.worth(np.zeros((2, 256), np.int64)) - np.arange(-128, 128)) <= 1).all()
+    seen = np.zeros((2, 256), np.int64)
+    seen[:, 128 + 40] = 1000, 1000
+    seen[:, 128] = 0, 1000
+    w = lm.worth(seen)
+    assert 0 < w[128 + 40] <= 2 and w[128] == 0 and w[128 + 41] == 41
+
+
+def test_model_learns_from_every_training_text(spark):
+    """Odds, and what they are worth, sum up to the bits of all texts, short or long, however the rows are dealt."""
+    texts = ["ab ba " * k for k in range(1, 401)] + ["abcd" * 9000]
+    rows = spark.createDataFrame([(t.encode(),) for t in texts], "text binary")
+    made = [lm.learned(rows.repartition(n)) for n in (2, 5)]
+    assert all((x == y).all() for x, y in zip(made[0].tables, made[1].tables))
+    tables = lm.tables_of(rows, made[0].code, made[0].bits)
+    bits = sum(int(lm.Read(parts, made[0].code, 1).real.sum()) for _, parts in lm.together([t.encode() for t in texts]))
+    seen = {m: 0 for m in range(lm.MODELS)}
+    for r in tables.filter("block is null").collect():
+        seen[r.model] += int(np.frombuffer(r.came, np.int64).sum())
+    assert set(seen.values()) == {bits}
