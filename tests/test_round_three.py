@@ -10,8 +10,10 @@ from tonelake.llm import lm_scoring as lm
 from tonelake.operators import atlas as L
 from tonelake.operators import calibration as K
 from tonelake.operators import compare as C
+from tonelake.operators import inversion
 from tonelake.operators import parameters as P
 from tonelake.operators import paths
+from tonelake.plans.registry import QUERIES
 from tonelake.sources import documents
 from tonelake.streaming import state
 
@@ -149,3 +151,15 @@ def test_model_learns_from_every_training_text(spark):
     for r in tables.filter("block is null").collect():
         seen[r.model] += int(np.frombuffer(r.came, np.int64).sum())
     assert set(seen.values()) == {bits}
+
+
+def test_absolute_bands_in_tasks_of_bounded_size(spark, tmp_path, monkeypatch):
+    """More rows are dealt to more tasks from the aggregate to the end, which changes no result."""
+    line = "l_suppkey long, l_partkey long, l_linenumber int, l_quantity double"
+    spark.createDataFrame([(k % 40, k % 173, k % 7, float(k % 50 + 1)) for k in range(6000)], line).write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = sorted(map(tuple, QUERIES["absolute_bands"](spark, str(tmp_path)).collect()), key=str)
+    monkeypatch.setattr(inversion, "ROWS", 500)
+    out = QUERIES["absolute_bands"](spark, str(tmp_path))
+    assert sorted(map(tuple, out.collect()), key=str) == want and len(want) > 1000
+    dealt = [x for x in out._jdf.queryExecution().sparkPlan().toString().splitlines() if "Exchange" in x]
+    assert len(dealt) == 3 and all(", 13), REPARTITION_BY_NUM" in x for x in dealt), dealt

@@ -13,6 +13,9 @@ from pyspark.sql import Window as W
 from ..functions.levels import bell, butterworth_db
 from ..session import prepare
 
+#: Rows for which a task is enough.
+ROWS = 500_000
+
 
 def best_corners(bands: DataFrame, group: str, hz: str, delta: str, highpass: Sequence[float], lowpass: Sequence[float]) -> DataFrame:
     """(group, hpf, lpf, rms): the pair of filter corners whose response is nearest to a curve, up to its level.
@@ -169,14 +172,16 @@ def corrected(baseline: Column, correction: Column, low: Column, high: Column) -
     return F.when(wanted.isNotNull(), F.least(F.greatest(wanted, low), high))
 
 
-def absolute_bands(corrections: DataFrame, settings: DataFrame, run: str, control: str) -> DataFrame:
+def absolute_bands(corrections: DataFrame, settings: DataFrame, run: str, control: str, parts: int | None = None) -> DataFrame:
     """(run, control, value, note) of the fitted bands' absolute settings; notes stand for what couldn't be done.
 
     corrections: (run, control, change, low, high); settings: (run, control, current, eq_on). A band that isn't moved is left
     out where the equaliser is on already; where the corrections turn it on, all bands are written from neutral, so that stored
-    values of a bypassed equaliser don't sound. A band without a stored value is left for the search.
+    values of a bypassed equaliser don't sound. A band without a stored value is left for the search. parts: how many tasks
+    the runs are dealt to (one for ROWS rows, where Spark's own choice makes few large ones); tables dealt by run and control are joined so.
     """
     both = corrections.join(settings, [run, control], "left")
+    both = both.repartition(parts, run) if parts else both
     on = F.coalesce(F.bool_and("eq_on").over(W.partitionBy(run)), F.lit(False))
     moves = F.coalesce(F.max((F.col("change") != 0).cast("int")).over(W.partitionBy(run)) == 1, F.lit(False))
     x = both.withColumns({"_on": on, "_moves": moves}).filter("_moves and not (coalesce(change, 0) = 0 and _on)")

@@ -124,9 +124,11 @@ def provenance_conflicts(spark: SparkSession, sf: str) -> DataFrame:
 w AS (SELECT *, change + CASE WHEN on_ THEN current WHEN current IS NOT NULL THEN 0 END AS wanted, max(CAST(change != 0 AS INTEGER)) OVER (PARTITION BY run) AS moves FROM b)
 SELECT run, control, round(CASE WHEN wanted IS NOT NULL THEN least(greatest(wanted, -12), 12) END, 2) AS value, CASE WHEN wanted IS NULL THEN 'no stored value' WHEN abs(least(greatest(wanted, -12), 12) - wanted) > 0.005 THEN 'held at the range''s end' END AS note FROM w WHERE moves = 1 AND NOT (change = 0 AND on_)""")
 def absolute_bands(spark: SparkSession, sf: str) -> DataFrame:
-    l = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("run"), F.col("l_partkey").alias("control")).agg(F.max(F.expr("CASE WHEN l_linenumber % 3 = 0 THEN 0 ELSE l_quantity - 25 END")).alias("change"))  # noqa: E741
+    rows = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("run"), F.col("l_partkey").alias("control"), F.expr("CASE WHEN l_linenumber % 3 = 0 THEN 0 ELSE l_quantity - 25 END").alias("change"))
+    parts = rows.count() // I.ROWS + 1
+    l = rows.repartition(parts, "run", "control").groupBy("run", "control").agg(F.max("change").alias("change"))  # noqa: E741
     settings = l.select("run", "control", F.expr("CASE WHEN control % 5 != 0 THEN (control % 20) / 2D END AS current"), F.expr("run % 3 = 0 AS eq_on"))
-    return I.absolute_bands(l.withColumns({"low": F.lit(-12.0), "high": F.lit(12.0)}), settings, "run", "control")
+    return I.absolute_bands(l.withColumns({"low": F.lit(-12.0), "high": F.lit(12.0)}), settings, "run", "control", parts)
 
 
 @query("""WITH k AS (SELECT p_partkey AS path, CASE WHEN p_size % 3 = 0 THEN 2 WHEN p_size % 3 = 1 AND p_size % 4 > 0 THEN p_size % 4 END AS n FROM part), a AS (SELECT o_custkey AS run, o_orderkey % 60 + 1 AS path, 400 AS b FROM orders WHERE o_orderkey % 5 = 0),
