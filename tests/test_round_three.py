@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tonelake.functions import values as V
 from tonelake.llm import lm_scoring as lm
+from tonelake.llm import ngram_join
 from tonelake.operators import atlas as L
 from tonelake.operators import calibration as K
 from tonelake.operators import compare as C
@@ -163,3 +164,19 @@ def test_absolute_bands_in_tasks_of_bounded_size(spark, tmp_path, monkeypatch):
     assert sorted(map(tuple, out.collect()), key=str) == want and len(want) > 1000
     dealt = [x for x in out._jdf.queryExecution().sparkPlan().toString().splitlines() if "Exchange" in x]
     assert len(dealt) == 3 and all(", 13), REPARTITION_BY_NUM" in x for x in dealt), dealt
+
+
+def test_postings_are_dealt_once(spark):
+    """Shingles of two or more documents with their centres, in one shuffle; heavy ones are summed up apart, to the same rows."""
+    g = np.random.default_rng(8)
+    sets = [(k, int(g.integers(5, 40)), [int(x) for x in g.permutation(60)[: int(g.integers(1, 6))]]) for k in range(50)]
+    lead = spark.createDataFrame(sets + [(7, 9, [100]), (7, 8, [100])], "doc_id long, n long, prefix array<long>")
+    held = {}
+    for d, n, prefix in sets:
+        for pos, h in enumerate(prefix):
+            held.setdefault(h, []).append((pos, n, d))
+    want = sorted((h, pos, d, n, min(x)[2], min(x)[1], len(x)) for h, x in held.items() if len(x) > 1 for pos, n, d in x)
+    none, some = np.empty(0, np.uint64), np.array([h for h, x in held.items() if len(x) > 3] + [100], np.uint64)
+    for heavy in (none, some):
+        assert sorted(map(tuple, ngram_join.postings(lead, heavy).collect())) == want
+    assert len(some) > 2 and _plan(ngram_join.postings(lead, none))[1].count("Window") and "Join" not in _plan(ngram_join.postings(lead, none))[1]

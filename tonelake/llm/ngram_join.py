@@ -18,10 +18,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from xxhash import xxh3_64_intdigest
 
 from ..session import prepare
-from .common import HEAVY, by_ids, connected_components, documents, materialize, pieces, tidy, with_heavy, with_keys
+from .common import HEAVY, by_ids, connected_components, documents, materialize, pieces, tidy, with_heavy
 
 WORDS = 5
 #: Words whose hashes a Python worker remembers.
@@ -138,7 +139,7 @@ def prefix_of(shingles: np.ndarray, known: np.ndarray, counts: np.ndarray, maybe
 
 
 def ordered_signatures(docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The written signatures(), those of one document for each prefix, and the written (h, n) of all shingles that two or more of these hold.
+    """The written signatures(), those of one document for each prefix, and the written postings() of these.
 
     A shingle may recur too thinly for one block of documents to show it, and still head many prefixes of a large table. Such
     shingles are counted in the prefixes themselves; those that head LONG or more join the known ones, and the prefixes are
@@ -151,10 +152,10 @@ def ordered_signatures(docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame,
         leaders = rows.groupBy("prefix_key").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
         others = materialize(rows.select("doc_id").join(leaders, "doc_id", "left_anti").distinct(), "others")
         lead = by_ids(rows, others, "doc_id", "left_anti")
-        shared = materialize(lead.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
+        shared = materialize(postings(lead, known[counts >= HEAVY]), "postings")
         if not again:
             break
-        long = shared.filter(F.col("n") >= LONG).orderBy(F.desc("n"), "h").limit(max(0, KNOWN - len(known))).toPandas()  # at most KNOWN rows
+        long = shared.filter(F.col("times") >= LONG).select("h", F.col("times").alias("n")).distinct().orderBy(F.desc("n"), "h").limit(max(0, KNOWN - len(known))).toPandas()  # at most KNOWN rows
         h, n = long.h.to_numpy(np.int64).view(np.uint64), long.n.to_numpy(np.int64)
         new = ~np.isin(h, known)
         if not new.any():
@@ -165,6 +166,27 @@ def ordered_signatures(docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame,
     return signed, lead, shared
 
 
+def postings(lead: DataFrame, heavy: np.ndarray) -> DataFrame:
+    """(h, pos, group, n, c, cn, times) for each shingle in the prefixes of two or more documents: its place, the document, the set's size, the centre and its set's size, the shingle's rows.
+
+    The centre of a shingle's groups has the fewest rarer shingles before it: of near copies, the one changed least. Rows pass
+    once, to their shingle's task, as most shingles stand alone. Those counted HEAVY times are summed up instead and meet their
+    rows by broadcast; what no block of documents showed has few rows in each.
+    """
+    # A posting's place in its prefix and the set's size share a number, for the shuffle's sake.
+    rows = lead.select(F.posexplode("prefix").alias("pos", "h"), F.col("doc_id").alias("group"), "n").select("h", "group", F.expr("shiftleft(bigint(pos), 32) + n").alias("place"))
+    what = {"times": F.count("*"), "least": F.min("group"), "last": F.max("group"), "centre": F.min(F.struct("place", "group"))}
+    hot = rows.sparkSession.createDataFrame([(h,) for h in heavy.view(np.int64).tolist()], "h long") if len(heavy) else None  # at most as many as rows over HEAVY
+    light = rows.join(F.broadcast(hot), "h", "left_anti") if hot else rows
+    found = light.select("*", *(x.over(W.partitionBy("h")).alias(k) for k, x in what.items())).filter("least != last")
+    if hot:
+        few = rows.join(F.broadcast(hot), "h", "left_semi")
+        heads = few.groupBy("h").agg(*(x.alias(k) for k, x in what.items())).filter("least != last")
+        found = found.unionByName(few.join(F.broadcast(heads), "h"))
+    size = "{} & 4294967295"
+    return found.select("h", F.expr("shiftright(place, 32)").alias("pos"), "group", F.expr(size.format("place")).alias("n"), F.col("centre.group").alias("c"), F.expr(size.format("centre.place")).alias("cn"), "times")
+
+
 def signatures(docs: DataFrame, key: str, known: np.ndarray, counts: np.ndarray) -> DataFrame:
     """(doc_id, n, digest, prefix_key, prefix) of each document: set size, digests of the set and of its prefix, the prefix."""
     shared = docs.sparkSession.sparkContext.broadcast((known, counts))
@@ -262,15 +284,6 @@ def similar_components(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     classes = every.filter("rep is not null").drop("copies")
     groups = classes.groupBy("prefix_key").agg(F.min("rep").alias("group"), F.count("*").alias("members"))
     members = materialize(classes.join(groups, "prefix_key").select("digest", "rep", "n", "group", "members"), "members")
-    # A posting's place in its prefix and the set's size share a number, for the shuffle's sake.
-    postings = lead.select(F.posexplode("prefix").alias("pos", "h"), F.col("doc_id").alias("group"), "n").select("h", "group", F.expr("shiftleft(bigint(pos), 32) + n").alias("place"))
-    postings = materialize(with_keys(postings, shared.select("h", "n"), "h"), "postings")
-    # The centre of a shingle's groups has the fewest rarer shingles before it: of near copies, the one changed least.
-    heads = postings.groupBy("h").agg(F.min("group").alias("least"), F.max("group").alias("last"), F.min("place").alias("first"), F.min_by("group", "place").alias("c"), F.count("*").alias("n"))
-    heads = materialize(heads.filter("least != last").select("h", "n", "c", "first"), "heads")
-    size = "{} & 4294967295"
-    shared = with_keys(postings, heads, "h").select("h", F.expr("shiftright(place, 32)").alias("pos"), "group", F.expr(size.format("place")).alias("n"), "c", F.expr(size.format("first")).alias("cn"))
-    shared = materialize(shared, "postings_of_heads")
 
     # Each group against the centres of its shingles, and each member of a group against its leader.
     starred = (
